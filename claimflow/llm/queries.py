@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from claimflow.llm.language import op8_language_id
+from claimflow.llm.licenses import OP7_SQL, op7_license_scan
 from claimflow.llm.line_dedup import OP3_SQL, op3_line_dedup
 from claimflow.llm.packing import op5_best_fit_packing
 from claimflow.llm.sharding import op10_sharding
@@ -10,8 +11,9 @@ from claimflow.llm.sharding import op10_sharding
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_license_scan": op7_license_scan,
     "op8_language_id": op8_language_id,
     "op10_sharding": op10_sharding,
 }
 
-SQL = {"op3_line_dedup": OP3_SQL}
+SQL = {"op3_line_dedup": OP3_SQL, "op7_license_scan": OP7_SQL}
