@@ -80,6 +80,11 @@ def stored(frame: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def broadcast_if_small(frame: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """``frame``, a few narrow columns, with a broadcast hint if it has ``most_rows`` rows at most; else as it is."""
+    return F.broadcast(frame) if frame.limit(most_rows + 1).count() <= most_rows else frame
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -89,11 +94,11 @@ def crc_mod(id_column: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit(""))) % modulus
 
 
-def chunks(texts: list[str], most_chars: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that hold about ``most_chars`` characters each, one row at least."""
+def chunks(texts: list[str], most_chars: int, most_rows: int = 4096) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold about ``most_chars`` characters and ``most_rows`` rows each, one row at least."""
     start = size = 0
     for i, text in enumerate(texts):
-        if i > start and size + len(text) > most_chars:
+        if i > start and (size + len(text) > most_chars or i - start >= most_rows):
             yield start, i
             start, size = i, 0
         size += len(text)

@@ -17,12 +17,14 @@ CHUNK_CHARS = 500_000
 UNDETERMINED = "und"
 
 
-def gram_buckets(texts: list[str], orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def gram_buckets(
+    texts: list[str], orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS, lower: bool = True
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each n-gram order: bucket and row number of every n-gram of the texts, in order.
 
-    Texts are lower-cased; n-grams are of code points and don't cross texts.
+    Texts are lower-cased if ``lower``; n-grams are of code points and don't cross texts.
     """
-    lowered = [x.lower() for x in texts]
+    lowered = [x.lower() for x in texts] if lower else texts
     codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     row = np.repeat(np.arange(len(lowered)), [len(x) for x in lowered])
     mixed = np.zeros(len(codes), dtype=np.uint32)

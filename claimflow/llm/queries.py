@@ -6,10 +6,14 @@ from claimflow.llm.language import op8_language_id
 from claimflow.llm.licenses import OP7_SQL, op7_license_scan
 from claimflow.llm.line_dedup import OP3_SQL, op3_line_dedup
 from claimflow.llm.packing import op5_best_fit_packing
+from claimflow.llm.quality_classifier import op4_quality_classifier
+from claimflow.llm.quality_rules import op2_quality_rules
 from claimflow.llm.sharding import op10_sharding
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op3_line_dedup": op3_line_dedup,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_license_scan": op7_license_scan,
     "op8_language_id": op8_language_id,
