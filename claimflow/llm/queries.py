@@ -9,15 +9,17 @@ from claimflow.llm.packing import op5_best_fit_packing
 from claimflow.llm.quality_classifier import op4_quality_classifier
 from claimflow.llm.quality_rules import op2_quality_rules
 from claimflow.llm.sharding import op10_sharding
+from claimflow.llm.substring_dedup import OP6_SQL, op6_substring_dedup
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_line_dedup": op3_line_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_license_scan": op7_license_scan,
     "op8_language_id": op8_language_id,
     "op10_sharding": op10_sharding,
 }
 
-SQL = {"op3_line_dedup": OP3_SQL, "op7_license_scan": OP7_SQL}
+SQL = {"op6_substring_dedup": OP6_SQL, "op3_line_dedup": OP3_SQL, "op7_license_scan": OP7_SQL}
