@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from claimflow.llm.decontamination import op1_decontamination
 from claimflow.llm.language import op8_language_id
 from claimflow.llm.licenses import OP7_SQL, op7_license_scan
 from claimflow.llm.line_dedup import OP3_SQL, op3_line_dedup
@@ -12,6 +13,7 @@ from claimflow.llm.sharding import op10_sharding
 from claimflow.llm.substring_dedup import OP6_SQL, op6_substring_dedup
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
     "op3_line_dedup": op3_line_dedup,
     "op4_quality_classifier": op4_quality_classifier,
