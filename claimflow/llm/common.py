@@ -85,6 +85,17 @@ def broadcast_if_small(frame: DataFrame, most_rows: int = 1_000_000) -> DataFram
     return F.broadcast(frame) if frame.limit(most_rows + 1).count() <= most_rows else frame
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows whose id and text hash are in ``gone`` (columns id and th)."""
+    keys = broadcast_if_small(gone.select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct())
+    same_id = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)) == F.coalesce(keys["__id"].cast("long"), F.lit(NO_ID))
+    return docs.join(keys, same_id & (text_hash(docs[text_col]) == keys["__th"]), "left_anti")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

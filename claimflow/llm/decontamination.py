@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimflow.llm.common import broadcast_if_small, stored, table
+from claimflow.llm.common import broadcast_if_small, stored, table, without
 
 BITS = 64
 
@@ -138,6 +138,11 @@ def find_leaks(
     return best.select("id", "th", "item_id", F.col("best.start").alias("start"), F.col("best.m").alias("n_words"), (-F.col("best.col1")).alias("similarity"))
 
 
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the documents in which :func:`find_leaks` finds an item of ``benchmark``."""
+    return without(docs, find_leaks(docs, benchmark, id_col, text_col, **options), id_col, text_col)
+
+
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
     """Items of ``benchmark`` found in ``documents``; a row for each document and item, clean documents have none."""
     found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

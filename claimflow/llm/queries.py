@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from claimflow.llm.decontamination import op1_decontamination
+from claimflow.llm.jaccard_join import OP9_SQL, op9_jaccard_join
 from claimflow.llm.language import op8_language_id
 from claimflow.llm.licenses import OP7_SQL, op7_license_scan
 from claimflow.llm.line_dedup import OP3_SQL, op3_line_dedup
@@ -21,7 +22,8 @@ QUERIES = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_license_scan": op7_license_scan,
     "op8_language_id": op8_language_id,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_sharding": op10_sharding,
 }
 
-SQL = {"op6_substring_dedup": OP6_SQL, "op3_line_dedup": OP3_SQL, "op7_license_scan": OP7_SQL}
+SQL = {"op9_jaccard_join": OP9_SQL, "op6_substring_dedup": OP6_SQL, "op3_line_dedup": OP3_SQL, "op7_license_scan": OP7_SQL}

@@ -1,10 +1,65 @@
-"""A corpus, cleaned in stages: each reads what the one before it kept."""
+"""A training corpus in five stages: each works on all that the one before it kept.
+
+Quality classifier, line dedup, near duplicates, benchmark decontamination, packing. All
+stages but the last return the columns of ``documents``; the last returns pieces and their places.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from claimflow.llm.common import stored, table
+from claimflow.llm.decontamination import drop_leaks
+from claimflow.llm.jaccard_join import drop_near_duplicates
+from claimflow.llm.line_dedup import dedup_lines
+from claimflow.llm.packing import best_fit_packing, default_tokenizer
+from claimflow.llm.quality_classifier import quality_scores
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts to be good."""
+    scored = quality_scores(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return scored.where("predicted = 1").select(COLUMNS)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that an earlier one holds; n_chars counts what is left."""
+    return dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(COLUMNS)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return drop_near_duplicates(docs).select(COLUMNS)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark")).select(COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents left and their places in sequences."""
+    return best_fit_packing(docs, default_tokenizer())
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", keep_one_of_each_group),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("best-fit packing", pack),
+]
+
+#: Scores and tokens have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``; each result but the last is a written table."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
