@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "match_status_counts"
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from claimflow.plans import metrics
+
+FLAGSHIP = "a3_rollup_operational"
+_GROUPS = [metrics]
+QUERIES = {name: query for group in _GROUPS for name, query in group.QUERIES.items()}
+SQL = {name: sql for group in _GROUPS for name, sql in group.SQL.items()}
