@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from claimflow.plans import metrics, quality
+from claimflow.plans import linkage, metrics, quality
 
-FLAGSHIP = "a3_rollup_operational"
-_GROUPS = [metrics, quality]
+FLAGSHIP = "match_status_counts"
+_GROUPS = [linkage, metrics, quality]
 QUERIES = {name: query for group in _GROUPS for name, query in group.QUERIES.items()}
 SQL = {name: sql for group in _GROUPS for name, sql in group.SQL.items()}
