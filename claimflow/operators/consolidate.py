@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 PRIMARY_TYPES = ["pdf", "docx", "xlsx", "image"]
 #: Wordings of a conditional acceptance (fixed values).
-CONDITIONAL = ["unter vorbehalt", "vorbehaltlich", "sofern", "vorausgesetzt", "unter der bedingung", "nur wenn"]
+CONDITIONAL = ["nur wenn", "vorbehaltlich", "sofern", "rate", "raten", "einmalzahlung"]
 
 
 def grade(confidence: Column) -> Column:
