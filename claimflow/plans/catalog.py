@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from claimflow.plans import linkage, metrics, quality, texts
+from claimflow.plans import linkage, metrics, quality, records, texts
 
 FLAGSHIP = "match_status_counts"
-_GROUPS = [linkage, metrics, quality, texts]
+_GROUPS = [linkage, metrics, quality, texts, records]
 QUERIES = {name: query for group in _GROUPS for name, query in group.QUERIES.items()}
 SQL = {name: sql for group in _GROUPS for name, sql in group.SQL.items()}
