@@ -139,9 +139,14 @@ def extract_names(text: Column) -> Column:
     return F.struct(*[c.alias(n) for n, c in parts.items()])
 
 
-@F.pandas_udf("string")
-def nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: unicodedata.normalize("NFKC", x) if isinstance(x, str) else None)
+def nfkc(column: Column) -> Column:
+    """The text with compatibility characters replaced, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def normal(text: pd.Series) -> pd.Series:
+        return text.map(lambda x: unicodedata.normalize("NFKC", x) if isinstance(x, str) else None)
+
+    return normal(column)
 
 
 def normalize_german(texts: DataFrame, dictionary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
