@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_CURRENCY = r"(?i)\s*(EUR|Euro|€)\s*"
+_CURRENCY = r"(?i)\s*(EURO?|€)\s*"
 _DATE = r"^\d{1,2}\.\d{1,2}\.\d{2,4}$"
 _NUMBER = r"\d{1,3}(?:[.,]\d{3})*(?:[.,]\d{1,2})?"
 
