@@ -107,6 +107,14 @@ def apply_amounts(clients: DataFrame, approved: DataFrame) -> DataFrame:
     return apply_updates(clients, named, ["current_debt_amount", "creditor_response_amount", "amount_source", "contact_status"])
 
 
+def apply_settlements(clients: DataFrame, settlements: DataFrame) -> DataFrame:
+    """Settlement answers (client_id, pos, at, decision, offer, conditions) on the lists' elements; amounts stay untouched."""
+    named = settlements.select(
+        "client_id", "pos", "at", F.col("decision").alias("settlement_response_status"), F.col("offer").alias("settlement_counter_offer_amount"), F.col("conditions").alias("settlement_response_conditions")
+    )
+    return apply_updates(clients, named, ["settlement_response_status", "settlement_counter_offer_amount", "settlement_response_conditions"])
+
+
 def build_outbox(approved: DataFrame, existing: DataFrame) -> DataFrame:
     """One pending message per new idempotency key; ``existing`` has the keys already stored. Null keys send nothing."""
     new = approved.where(F.col("idempotency_key").isNotNull()).join(existing.select("idempotency_key"), "idempotency_key", "left_anti")

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from claimflow.operators import intake as ops
@@ -101,7 +104,39 @@ def s3_over_limit(spark, sf):
     return streams.over_limit(_messages(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (i1_parse_inbound, i2_dedup_inbound, i5_archive, i6_export, n3_dedup_inquiries, n6_resolve_tenant, c1_intent, c2_headers, c3_bounces, c4_apply_bounces, s3_probing_report, s3_over_limit)}
+def _drained(frame, name):
+    """All that a stream gives for the input there is, written to the shared folder and read again."""
+    spark = frame.sparkSession
+    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='claimflow-')}/{name}-{uuid.uuid4().hex}"
+    query = frame.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").option("path", f"{base}/rows").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(frame.schema).parquet(f"{base}/rows")
+
+
+def _event_stream(spark, sf):
+    path = f"{sf}/events.parquet"
+    found = spark.read.parquet(path)
+    return spark.readStream.schema(found.schema).parquet(path + "*")
+
+
+def s1_stream_intake(spark, sf):
+    e = _event_stream(spark, sf)
+    data = F.struct(F.concat(F.lit("w"), F.floor(F.col("event_id") / 2).cast("string")).alias("email_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), F.lit("a@b.example").alias("from"))
+    raw = e.select(F.to_json(F.struct(F.when(F.col("event_type") == "error", "email.sent").otherwise("email.received").alias("type"), data.alias("data"))).alias("value"))
+    return _drained(streams.stream_intake(raw, "30 minutes"), "intake").select("webhook_id", "from_email")
+
+
+def s4_stream_idempotency(spark, sf):
+    keys = _event_stream(spark, sf).select(F.concat(F.lit("k"), F.floor(F.col("event_id") / 3).cast("string")).alias("key"), F.col("ts").cast("timestamp").alias("at"))
+    return _drained(streams.stream_idempotency(keys), "keys").select("key")
+
+
+def s6_stream_metrics(spark, sf):
+    m = _event_stream(spark, sf).select(F.col("event_type").alias("metric_type"), F.col("value").alias("metric_value"), F.lit('{"queue": "q"}').alias("labels"), F.col("ts").cast("timestamp").alias("recorded_at"))
+    return _drained(streams.stream_metrics(m), "metrics").select("date", "metric_type", "labels_key", "count", F.round("sum", 4).alias("sum"), "min", "max")
+
+
+QUERIES = {f.__name__: f for f in (i1_parse_inbound, i2_dedup_inbound, i5_archive, i6_export, n3_dedup_inquiries, n6_resolve_tenant, c1_intent, c2_headers, c3_bounces, c4_apply_bounces, s1_stream_intake, s3_probing_report, s3_over_limit, s4_stream_idempotency, s6_stream_metrics)}
 
 _PARSED = """p AS (SELECT 'w' || (id % 9000) AS webhook_id, CASE WHEN part % 3 = 0 THEN 'm' || id ELSE 'w' || (id % 9000) END AS message_ref, from_email, 'Mr X' AS from_name, 1 + CAST(part % 2 = 0 AS INT) AS n_to, received_at
   FROM emails WHERE part % 10 <> 0)"""
@@ -135,5 +170,9 @@ SQL = {
     + """, b AS (SELECT upper(routing_id) AS rid, arg_max(CASE part % 3 WHEN 0 THEN 'hard_bounce' WHEN 1 THEN 'soft_bounce' ELSE 'unknown_bounce' END, (received_at, id)) AS kind
        FROM emails WHERE regexp_full_match(upper(routing_id), '[A-Z]{2,3}-[A-Z0-9]+-[0-9]+') GROUP BY 1)
      SELECT coalesce(kind, status) AS status, count(*) AS inquiries FROM inquiries LEFT JOIN b ON upper(routing_id) = rid GROUP BY 1""",
+    "s1_stream_intake": "SELECT DISTINCT 'w' || (event_id // 2) AS webhook_id, 'a@b.example' AS from_email FROM events WHERE event_type <> 'error'",
+    "s4_stream_idempotency": "SELECT DISTINCT 'k' || (event_id // 3) AS key FROM events",
+    "s6_stream_metrics": """SELECT CAST(ts AS DATE) AS date, event_type AS metric_type, 'queue:q' AS labels_key, count(*) AS count, round(sum(value), 4) AS sum, min(value) AS min, max(value) AS max FROM events
+     WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1, 2""",
     "s3_over_limit": f"WITH {_EVENTS} SELECT x.id, len(list_distinct(flatten(list(y.a)))) > 20 AS over FROM m x JOIN m y ON x.d = y.d AND y.t > x.t - 60000 AND y.t <= x.t GROUP BY x.id",
 }

@@ -90,6 +90,21 @@ def m2_m6_fuzzy(spark, sf):
     return ranked.where("rank <= 3").select("email_id", "inquiry_id", "rank", F.round("score", 6).alias("score"), "strategy_used", "level")
 
 
+def m11_explain(spark, sf):
+    m, scored = _scored_exact(spark, sf, False)
+    found = match.explain(match.decide_match(m, match.rank_candidates(scored)))
+    shape = "match_status string, score double, gap double, filters_applied struct<lookback_days:int>, candidates array<struct<inquiry_id:long>>"
+    read = F.from_json("explanation", shape)
+    return found.select("email_id", read["match_status"].alias("status"), read["gap"].alias("gap"), read["filters_applied"]["lookback_days"].alias("days"), F.try_element_at(read["candidates"]["inquiry_id"], F.lit(1)).alias("top_inquiry"))
+
+
+def m13_second_letter(spark, sf):
+    m, scored = _scored_exact(spark, sf, False)
+    decided = match.decide_match(m, match.rank_candidates(scored)).where("status <> 'no_recent_inquiry'")
+    wanted = decided.join(m.select(F.col("id").alias("email_id"), "intent", F.lit("v1").alias("version")), "email_id")
+    return match.prefer_second_letter(wanted).select("email_id", "chosen")
+
+
 def m12_score_v1(spark, sf):
     m, scored = _scored_exact(spark, sf, False)
     refs = m.select(F.col("id").alias("email_id"), F.array_compact(F.array("reference_number")).alias("references"), "received_at", F.col("from_email"))
@@ -104,7 +119,7 @@ def m14_review_payload(spark, sf):
     return found.select("email_id", "reason", "priority", F.coalesce(F.size("top"), F.lit(0)).alias("n_top"))
 
 
-QUERIES = {f.__name__: f for f in (match_status_counts, n1_normalize, n4_parse_routing_id, n5_client_hash, r_route_deterministic, r8_unique_senders, m1_candidates, m1_candidates_wide, m2_m6_fuzzy, m9_decide, m10_match_results, m12_score_v1, m14_review_payload)}
+QUERIES = {f.__name__: f for f in (match_status_counts, n1_normalize, n4_parse_routing_id, n5_client_hash, r_route_deterministic, r8_unique_senders, m1_candidates, m1_candidates_wide, m2_m6_fuzzy, m9_decide, m10_match_results, m11_explain, m12_score_v1, m13_second_letter, m14_review_payload)}
 
 _CANDIDATES = """pairs AS (
   SELECT e.id AS email_id, i.id AS inquiry_id, CASE WHEN e.from_email = i.creditor_email THEN 1 ELSE 2 END AS tier
@@ -169,6 +184,9 @@ SQL = {
     "m9_decide": f"{_BOTH}, {_DECIDED} SELECT email_id, status, score, gap, n_candidates, CASE WHEN status = 'auto_matched' THEN top_inquiry END AS inquiry_id FROM decided",
     "m10_match_results": f"""{_BOTH}, {_DECIDED} SELECT email_id, inquiry_id, CAST(rank AS INT) AS rank, r.score, status = 'auto_matched' AND rank = 1 AS selected, status AS method
        FROM ranked r JOIN (SELECT email_id, status FROM decided) d USING (email_id) WHERE rank <= 3""",
+    "m11_explain": f"{_BOTH}, {_DECIDED} SELECT email_id, status, gap, 90 AS days, top_inquiry FROM decided",
+    "m13_second_letter": f"""{_BOTH}, {_RANKED}, t AS (SELECT email_id, arg_min(inquiry_id, rank) AS top, arg_min(letter_type, rank) AS kind, arg_min(inquiry_id, rank) FILTER (letter_type = 'second') AS second FROM ranked WHERE rank <= 3 GROUP BY 1)
+     SELECT email_id, CASE WHEN kind = 'first' AND e.intent = 'payment_plan' AND second IS NOT NULL THEN second ELSE top END AS chosen FROM t JOIN emails e ON e.id = email_id""",
     "m12_score_v1": f"""{_BOTH}, {_RANKED}, d AS (SELECT *, date_diff('second', sent_at, received_at) // 86400 AS days FROM scored)
      SELECT email_id, inquiry_id, round(score * 0.4::DOUBLE + 0.3::DOUBLE + CASE WHEN days < 0 THEN 0 WHEN days <= 7 THEN 1 WHEN days <= 14 THEN 0.9 WHEN days <= 30 THEN 0.7 WHEN days <= 60 THEN 0.5 ELSE 0.2 END::DOUBLE * 0.2::DOUBLE
        + CASE WHEN contains(reference_number, eref) OR contains(eref, reference_number) THEN 0.1 ELSE 0 END::DOUBLE, 6) AS score_v1 FROM d""",

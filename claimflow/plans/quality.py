@@ -76,6 +76,18 @@ def c9_validate(spark, sf):
     return found.select("id", "amount", "confidence", "intent", F.array_join("errors", ",").alias("errors"), "needs_review")
 
 
+def c10_checkpoint(spark, sf):
+    found = cons.consolidate(domain(spark, sf, "sources"))
+    conflicts = F.when(F.col("email_id") % 4 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    return found.select("email_id", cons.checkpoint(F.col("confidence"), conflicts).alias("c")).select("email_id", "c.confidence", "c.needs_review")
+
+
+def c14_case_number(spark, sf):
+    m = domain(spark, sf, "emails")
+    refs = F.array(F.lit("AZ"), F.lit("12"), F.when(F.col("part") % 2 == 0, F.concat(F.lit("20/"), F.col("order_id").cast("string"))), F.lit("99-99"))
+    return m.select("id", cons.case_number(refs).alias("case_number"))
+
+
 def c11_merge(spark, sf):
     p = cons.consolidate(domain(spark, sf, "sources")).select("email_id", "amount").join(cons.pick_best_name(domain(spark, sf, "sources")), "email_id", "left")
     m = domain(spark, sf, "emails").where("line = 1")
@@ -96,7 +108,7 @@ def c13_settlement(spark, sf):
     return m.select("id", F.array_join(warnings, ",").alias("warnings"), ((F.size(warnings) > 0) | (F.col("confidence") < 0.7)).alias("needs_review"))
 
 
-QUERIES = {f.__name__: f for f in (k1_extraction_confidence, k3_overall_route, k5_amount_guard, k6_intent_gate, k7_replay, c5_consolidate, c6_best_name, c7_majority, c8_conflicts, c9_validate, c11_merge, c12_match_gate, c13_settlement)}
+QUERIES = {f.__name__: f for f in (k1_extraction_confidence, k3_overall_route, k5_amount_guard, k6_intent_gate, k7_replay, c5_consolidate, c6_best_name, c7_majority, c8_conflicts, c9_validate, c10_checkpoint, c11_merge, c12_match_gate, c13_settlement, c14_case_number)}
 
 _GRADE = "CASE {} WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END"
 _BEST_NAME = """SELECT email_id, arg_max(client_name, (CAST(client_name_confidence = 'HIGH' AS INT), length(client_name), -source_idx)) AS client_name
@@ -149,6 +161,10 @@ SQL = {
     + """, k AS (SELECT id, CASE WHEN part % 6 <> 0 THEN debt_amount END AS a, CASE WHEN part % 5 <> 0 THEN confidence END AS c, intent FROM emails)
      SELECT id, a AS amount, c AS confidence, intent, concat_ws(',', CASE WHEN a IS NULL THEN 'amount' END, CASE WHEN c IS NULL THEN 'confidence' END) AS errors,
        a IS NULL OR c IS NULL AS needs_review FROM k""",
+    "c10_checkpoint": inlined("sources")
+    + f""", c AS ({_CONSOLIDATED})
+     SELECT email_id, CASE weakest WHEN 3 THEN 0.9 WHEN 2 THEN 0.7 ELSE 0.5 END::DOUBLE AS confidence, email_id % 4 = 0 OR weakest = 1 AS needs_review FROM c""",
+    "c14_case_number": inlined("emails") + " SELECT id, CASE WHEN part % 2 = 0 THEN '20/' || order_id ELSE '99-99' END AS case_number FROM emails",
     "c11_merge": inlined("sources", "emails")
     + f""", c AS ({_CONSOLIDATED}), n AS ({_BEST_NAME}), e AS (SELECT * FROM emails WHERE line = 1)
      SELECT c.email_id, coalesce(c.amount, e.debt_amount) AS amount, coalesce(n.client_name, e.client_name) AS client_name,

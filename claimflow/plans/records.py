@@ -51,6 +51,16 @@ def k11_apply_amounts(spark, sf):
     return after.select("client_id", "pos", "e.id", "e.claim_amount", "e.current_debt_amount", "e.amount_source")
 
 
+def k12_settlements(spark, sf):
+    c = domain(spark, sf, "creditors")
+    none = lambda kind: F.lit(None).cast(kind)
+    element = F.struct("pos", "claim_amount", none("string").alias("settlement_response_status"), none("double").alias("settlement_counter_offer_amount"), none("string").alias("settlement_response_conditions"))
+    clients = c.groupBy("client_id").agg(F.array_sort(F.collect_list(element)).alias("final_creditor_list"))
+    m = domain(spark, sf, "emails").select("id", F.struct("received_at", "id").alias("at"), F.when(F.col("part") % 2 == 0, "accepted").otherwise("counter_offer").alias("decision"), F.col("debt_amount").alias("offer"), F.lit("sofern").alias("conditions"))
+    after = wb.apply_settlements(clients, k9_find_creditor(spark, sf).join(m, "id")).select("client_id", F.posexplode("final_creditor_list").alias("pos", "e"))
+    return after.select("client_id", "pos", "e.claim_amount", F.col("e.settlement_response_status").alias("status"), F.col("e.settlement_counter_offer_amount").alias("offer"))
+
+
 def k13_outbox(spark, sf):
     m = domain(spark, sf, "emails")
     a = m.select("id", F.col("received_at").alias("at"), F.concat(F.lit("k"), (F.col("order_id") % 500).cast("string")).alias("idempotency_key"))
@@ -161,7 +171,7 @@ def q12_eval_sample(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        k8_find_client, k9_find_creditor, k10_overlap, k11_apply_amounts, k13_outbox, k14_backfill, x1_reconcile, x2_reconcile_summary, x3_outbox, x4_audit, x5_audit_summary, x6_audit_samples,
+        k8_find_client, k9_find_creditor, k10_overlap, k11_apply_amounts, k12_settlements, k13_outbox, k14_backfill, x1_reconcile, x2_reconcile_summary, x3_outbox, x4_audit, x5_audit_summary, x6_audit_samples,
         q1_enqueue, q2_low_confidence, q3_pending, q4_queue_stats, q5_calibration, q6_calibration_summary, q7_reports, q8_reports, q9_job_status, q9_newest_jobs, q10_reprocess, q11_recent_inquiries, q12_eval_sample,
     )
 }
@@ -203,6 +213,8 @@ SQL = {
      SELECT id, arg_max(pos, (score, -pos)) AS pos, round(max(score), 6)::DOUBLE AS score FROM s WHERE score >= 0.4 GROUP BY id""",
     "k11_apply_amounts": f"""{_BOTH}, {_FOUND}, u AS (SELECT f.client_id, f.pos, arg_max(e.debt_amount, (e.received_at, e.id)) AS amount FROM found f JOIN emails e USING (id) GROUP BY 1, 2)
      SELECT c.client_id, c.pos, creditor_id AS id, claim_amount, amount AS current_debt_amount, CASE WHEN amount IS NOT NULL THEN 'creditor_response' END AS amount_source FROM creditors c LEFT JOIN u ON u.client_id = c.client_id AND u.pos = c.pos""",
+    "k12_settlements": f"""{_BOTH}, {_FOUND}, u AS (SELECT f.client_id, f.pos, arg_max((CASE WHEN part % 2 = 0 THEN 'accepted' ELSE 'counter_offer' END, e.debt_amount), (e.received_at, e.id)) AS v FROM found f JOIN emails e USING (id) GROUP BY 1, 2)
+     SELECT c.client_id, c.pos, claim_amount, v[1] AS status, v[2] AS offer FROM creditors c LEFT JOIN u ON u.client_id = c.client_id AND u.pos = c.pos""",
     "k13_outbox": inlined("emails")
     + """, a AS (SELECT id, received_at AS moment, 'k' || (order_id % 500) AS idempotency_key FROM emails)
      SELECT id, idempotency_key FROM a WHERE idempotency_key NOT IN (SELECT idempotency_key FROM a WHERE id % 7 = 0) QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY moment, id) = 1""",

@@ -20,6 +20,12 @@ def t2_clean_conversations(spark, sf):
     return ex.clean_bodies(c.select("conv_id", "turn", text.alias("raw_body_text"), F.lit(None).cast("string").alias("raw_body_html"))).select("conv_id", "turn", "cleaned_body", "tokens_before", "tokens_after")
 
 
+def t3_signature(spark, sf):
+    s = spark.read.parquet(f"{sf}/supplier.parquet")
+    text = F.concat(F.lit("Gruss\n"), F.when(F.col("s_suppkey") % 2 == 0, "Muster Inkasso GmbH").otherwise("ohne"), F.lit("\nTel: +49 761 "), F.col("s_suppkey").cast("string"))
+    return s.select("s_suppkey", ex.signature_info(text).alias("i")).select("s_suppkey", F.col("i.company").isNotNull().alias("has_company"), "i.phone")
+
+
 def t4_token_savings(spark, sf):
     return ex.token_savings(t2_clean_conversations(spark, sf))
 
@@ -92,7 +98,7 @@ def t19_entity_guard(spark, sf):
     return ex.entity_guard(m).select("id", "is_creditor_reply", "confidence", F.round("debt_amount", 2).alias("debt_amount"))
 
 
-QUERIES = {f.__name__: f for f in (t1_clean_pages, t2_clean_conversations, t4_token_savings, t5_amount_candidates, t6_best_amount, t7_parse_amount, t9_names, t10_normalize, t11_validate, t12_cells, t13_attachments, t15_model_json, t17_case_refs, t19_entity_guard)}
+QUERIES = {f.__name__: f for f in (t1_clean_pages, t2_clean_conversations, t3_signature, t4_token_savings, t5_amount_candidates, t6_best_amount, t7_parse_amount, t9_names, t10_normalize, t11_validate, t12_cells, t13_attachments, t15_model_json, t17_case_refs, t19_entity_guard)}
 
 _CONV = """WITH c AS (SELECT conv_id, turn, text || chr(10) || '> quoted' || chr(10) || CASE WHEN turn % 2 = 0 THEN 'On 2024-01-01, A wrote:' || chr(10) || 'old text' ELSE '' END AS raw, text FROM conversations),
  q AS (SELECT *, CASE WHEN length(raw) < 200 THEN raw WHEN length(text) + 1 < 200 AND length(text) + 1 < length(raw) * 0.2 THEN raw ELSE text || chr(10) END AS cut FROM c),
@@ -100,6 +106,7 @@ _CONV = """WITH c AS (SELECT conv_id, turn, text || chr(10) || '> quoted' || chr
 
 SQL = {
     "t2_clean_conversations": _CONV + " SELECT conv_id, turn, cleaned_body, length(raw) // 4 AS tokens_before, length(cleaned_body) // 4 AS tokens_after FROM d",
+    "t3_signature": "SELECT s_suppkey, s_suppkey % 2 = 0 AS has_company, '+49 761 ' || s_suppkey AS phone FROM supplier",
     "t4_token_savings": _CONV + ", s AS (SELECT CAST(sum(length(raw) // 4) AS BIGINT) AS before, CAST(sum(length(cleaned_body) // 4) AS BIGINT) AS after FROM d) SELECT before, after, round((1 - after / before) * 100, 2) AS percent FROM s",
     "t7_parse_amount": inlined("inquiries")
     + """, k AS (SELECT id, CASE WHEN id % 3 = 2 THEN floor(debt_amount) ELSE floor(debt_amount) + (id % 100) / 100.0::DOUBLE END::DOUBLE AS v FROM inquiries)
