@@ -58,13 +58,13 @@ def score_references(pairs: DataFrame, references: str, stored: str) -> DataFram
     """
     norm = lambda c: F.upper(F.trim(c))
     exact = F.coalesce(F.exists(references, lambda r: norm(r) == norm(F.col(stored))), F.lit(False))
-    distinct = pairs.where(~exact).select(F.explode(references).alias("__r"), F.col(stored).alias("__s")).distinct()
-    scored = distinct.withColumn("__score", reference_similarity(F.col("__r"), F.col("__s")))
-    rest = pairs.where(~exact).withColumn("__row", F.struct(*pairs.columns))
-    best = rest.select("__row", F.explode(references).alias("__r"), F.col(stored).alias("__s")).join(scored, ["__r", "__s"]).groupBy("__row").agg(F.max("__score").alias("__best"))
-    joined = pairs.join(best, F.struct(*[pairs[c] for c in pairs.columns]).eqNullSafe(best["__row"]), "left")
+    asked = pairs.where(~exact).select(F.col(references).alias("__refs"), F.col(stored).alias("__stored")).distinct()
+    each = asked.withColumn("__ref", F.explode("__refs"))
+    scored = each.select("__ref", "__stored").distinct().withColumn("__score", reference_similarity(F.col("__ref"), F.col("__stored")))
+    best = each.join(scored, ["__ref", "__stored"]).groupBy("__refs", "__stored").agg(F.max("__score").alias("__best"))
+    joined = pairs.join(best, pairs[references].eqNullSafe(best["__refs"]) & pairs[stored].eqNullSafe(best["__stored"]), "left")
     score = F.when(exact, 1.0).otherwise(F.coalesce("__best", F.lit(0.0)))
-    return joined.select(*[pairs[c] for c in pairs.columns], score.alias("reference_score"))
+    return joined.withColumn("reference_score", score).drop("__refs", "__stored", "__best")
 
 
 def score_exact(same_name: Column, same_reference: Column) -> Column:

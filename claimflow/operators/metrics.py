@@ -37,27 +37,33 @@ def labels_key(labels: Column) -> Column:
     return F.coalesce(*known, F.concat(first, F.lit(":"), F.try_element_at(F.map_values(parsed), F.lit(1))), F.lit("all"))
 
 
-def rollup_operational(raw: DataFrame) -> DataFrame:
-    """Per day, type and label key: count, sum, avg, min, max and exact p95, all dates in one job.
+def rollup_operational(raw: DataFrame, accuracy: int = 10_000) -> DataFrame:
+    """Per day, type and label key: count, sum, avg, min, max and exact p95, all dates in one job. Null values don't count.
 
-    p95 is the sorted value at place min(int(0.95 n), n - 1), counted from 0. Values
-    are first counted by value, so a hot group is ranked by its distinct values and
-    its rows are summed before the shuffle.
+    p95 is the sorted value at place min(int(0.95 n), n - 1), counted from 0. An approximate percentile, off
+    by a rank of n / ``accuracy`` at most, brackets it; only the thousandth of a group inside the bracket
+    is ranked, all below it are one count. So no task sorts a hot group.
     """
-    keyed = raw.select(F.to_date("recorded_at").alias("date"), "metric_type", labels_key(F.col("labels")).alias("labels_key"), "metric_value")
+    keyed = raw.where(F.col("metric_value").isNotNull()).select(
+        F.to_date("recorded_at").alias("date"), "metric_type", labels_key(F.col("labels")).alias("labels_key"), "metric_value"
+    )
     keys = ["date", "metric_type", "labels_key"]
-    counted = keyed.groupBy(*keys, "metric_value").agg(F.count("*").alias("n"))
-    order = Window.partitionBy(*keys).orderBy("metric_value")
-    ranked = counted.withColumn("upto", F.sum("n").over(order)).withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
-    place = F.least(F.floor(F.col("total") * F.lit(0.95)), F.col("total") - 1)
-    return ranked.groupBy(*keys).agg(
-        F.sum("n").alias("count"),
-        F.sum(F.col("metric_value") * F.col("n")).alias("sum"),
-        (F.sum(F.col("metric_value") * F.col("n")) / F.sum("n")).alias("avg"),
+    margin = 5 / accuracy
+    sums = keyed.groupBy(*keys).agg(
+        F.count("*").alias("count"),
+        F.sum("metric_value").alias("sum"),
+        F.avg("metric_value").alias("avg"),
         F.min("metric_value").alias("min"),
         F.max("metric_value").alias("max"),
-        F.min(F.when(F.col("upto") > place, F.col("metric_value"))).alias("p95"),
+        F.percentile_approx("metric_value", [0.95 - margin, 0.95 + margin], accuracy).alias("bracket"),
     )
+    place = F.least(F.floor(F.col("count") * F.lit(0.95)), F.col("count") - 1)
+    near = keyed.join(sums.select(*keys, place.alias("place"), F.col("bracket")[0].alias("low"), F.col("bracket")[1].alias("high")), keys)
+    inside = near.where("metric_value <= high").withColumn("value", F.when(F.col("metric_value") >= F.col("low"), F.col("metric_value")))
+    counted = inside.groupBy(*keys, "place", "value").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy(F.col("value").asc_nulls_first()))
+    p95 = counted.withColumn("upto", upto).where("upto > place").groupBy(*keys).agg(F.min("value").alias("p95"))
+    return sums.drop("bracket").join(p95, keys)
 
 
 def rollup_prompts(raw: DataFrame) -> DataFrame:
