@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from claimflow.plans import intake, linkage, metrics, quality, records, texts
+from claimflow.plans import intake, jobs, linkage, metrics, quality, records, texts
 
 FLAGSHIP = "match_status_counts"
-_GROUPS = [linkage, intake, metrics, quality, texts, records]
+_GROUPS = [linkage, intake, metrics, quality, texts, records, jobs]
 QUERIES = {name: query for group in _GROUPS for name, query in group.QUERIES.items()}
 SQL = {name: sql for group in _GROUPS for name, sql in group.SQL.items()}
