@@ -1,4 +1,4 @@
-"""Substring dedup: repeated lines and sentences, found by their digests, with original offsets."""
+"""Substring dedup: repeated lines and runs of sentences, found by their digests, with original offsets."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from claimflow.llm.common import LOWER, NO_ID, UPPER, stored, table
 
@@ -35,18 +36,48 @@ def unit_key(unit: str) -> str:
     return _BREAKS.sub(" ", unit.translate(_LOWERED)).strip(" ")
 
 
+def digested_units(text: str, min_words: int, min_chars: int) -> Iterator[tuple[int, int, str]]:
+    """Start, end and normal form of all that is keyed: runs of whole lines and sentences, and short lines.
+
+    From each sentence the shortest run onwards that is long enough, and the shortest run back from its end; a long
+    sentence is both. So a passage of whole sentences that is long enough lies in such runs from end to end, however
+    short its sentences are. A line under the bounds is keyed too, by itself.
+    """
+    pieces = [(start, end, key, key.count(" ") + 1) for start, end in units_of(text) if (key := unit_key(text[start:end]))]
+    keys, n, line = [p[2] for p in pieces], len(pieces), 0
+    for i, (start, end, key, words) in enumerate(pieces):
+        chars, last = len(key), i
+        if words >= min_words and chars >= min_chars:
+            yield start, end, key
+        else:
+            while last + 1 < n and (words < min_words or chars < min_chars):
+                last += 1
+                words, chars = words + pieces[last][3], chars + 1 + len(keys[last])
+            if words >= min_words and chars >= min_chars:
+                yield start, pieces[last][1], " ".join(keys[i : last + 1])
+            words, chars, first = pieces[i][3], len(key), i
+            while first and (words < min_words or chars < min_chars):
+                first -= 1
+                words, chars = words + pieces[first][3], chars + 1 + len(keys[first])
+            if words >= min_words and chars >= min_chars:
+                yield pieces[first][0], end, " ".join(keys[first : i + 1])
+        if i + 1 == n or "\n" in text[end - 1 : pieces[i + 1][0]]:
+            if len(whole := " ".join(keys[line : i + 1])) < min_chars or whole.count(" ") + 1 < min_words:
+                yield pieces[line][0], end, whole
+            line = i + 1
+
+
 def unit_rows(docs: DataFrame, min_words: int, min_chars: int) -> DataFrame:
-    """Place and 128-bit digest of each unit that is long enough."""
+    """Place and 128-bit digest of each unit that is keyed, once."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows, digests = [], []
             for doc, th, text in zip(batch["id"], batch["th"], batch["text"], strict=True):
-                for start, end in units_of(text):
-                    if end - start < min_chars:
-                        continue
-                    key = unit_key(text[start:end])
-                    if len(key) >= min_chars and key.count(" ") + 1 >= min_words:
+                seen = set()
+                for start, end, key in digested_units(text, min_words, min_chars):
+                    if (start, end) not in seen:
+                        seen.add((start, end))
                         rows.append((doc, th, start, end))
                         digests.append(xxhash.xxh3_128_digest(key.encode("utf-8", "surrogatepass")))
             out = pd.DataFrame(rows, columns=["id", "th", "start", "end"], dtype=np.int64)
@@ -59,15 +90,18 @@ def unit_rows(docs: DataFrame, min_words: int, min_chars: int) -> DataFrame:
 def repeated_units(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8, min_chars: int = 40
 ) -> DataFrame:
-    """Every unit that an earlier place holds too: id, th, start, end, first_id, first_start.
-
-    Texts are cut into lines and these into sentences, so a passage that starts inside
-    a line is found but for its ragged ends. Units of at least ``min_words``
-    words and ``min_chars`` characters of normal form are keyed by a 128-bit digest; of
-    each key the place with the smallest (id, text hash, start) stays and all
-    others are returned. Offsets are code points of the original text, the end
-    exclusive. Digests meet in sums made before the shuffle; only those found
-    twice or more are joined back, a join that Spark may split at a hot digest.
+    """Every span that an earlier place holds too: id, th, start, end, first_id, first_start.
+
+    Texts are cut into lines and these into sentences. Keyed by a 128-bit digest are the shortest
+    runs of them, from each one on and from each one back, that have ``min_words`` words and
+    ``min_chars`` characters of normal form, and whole lines under these bounds. So every
+    repeated passage of that length is found in full but for its ragged ends: a sentence
+    of which it holds only a part. Of each key the place with the smallest (id, text hash, start)
+    stays; all others are returned, none twice: what lies in an earlier span of
+    its text is left out, and one that begins in such a span begins at its end
+    (first_start is then where the uncut run began). Every removed word has an earlier copy that stays.
+    Offsets are code points of the original text, the end exclusive. Digests meet in sums made before the
+    shuffle; only those found twice or more are joined back, a join that Spark may split at a hot digest.
 
     Null or empty text: no units. Null id: largest id. Rows of one id and text are
     one place; rows of one id and several texts are told apart by the text hash ``th``. No rows: no
@@ -81,7 +115,10 @@ def repeated_units(
     places = places.where(F.col("first") != F.col("last")).drop("last")
     met = units.join(places, ["h1", "h2"]).where(F.struct("id", "th", "start") != F.col("first"))
     met = met.select("id", "th", "start", "end", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"))
-    return met.dropDuplicates(["id", "th", "start"])
+    met = met.dropDuplicates(["id", "th", "start", "end"])
+    before = Window.partitionBy("id", "th").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    met = met.withColumn("done", F.coalesce(F.max("end").over(before), F.lit(0))).where("end > done")
+    return met.withColumn("start", F.greatest("start", "done")).drop("done")
 
 
 def drop_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -198,6 +198,51 @@ def test_substring_dedup_keeps_offsets(docs, none, rows):
     assert substring_dedup.repeated_units(none).count() == 0
 
 
+def test_substring_dedup_finds_short_sentences_and_lines(spark):
+    rng = random.Random(7)
+    passage = "".join(f"Kurz {prose(rng, 3)}. " for _ in range(15))
+    texts = [f"{prose(rng, 20)}. {passage}{prose(rng, 20)}", f"{prose(rng, 25)}. {passage}{prose(rng, 25)}", f"Nur eins\n{prose(rng, 20)}", f"{prose(rng, 20)}\nnur EINS\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = [r["text"] for r in substring_dedup.drop_repeated_units(docs).orderBy("doc_id").collect()]
+    assert len(words_of(passage)) > 50
+    assert kept == [texts[0], texts[1].replace(passage, ""), texts[2], texts[3].replace("nur EINS\n", "")]
+
+
+def test_substring_dedup_matches_brute_force(spark):
+    rng = random.Random(11)
+    pool = [f"{prose(rng, rng.choice([1, 2, 3, 5, 9, 12]), f'w{i}x')}{end}" for i in range(40) for end in (". ", "\n")]
+    made = [[rng.choice(pool) for _ in range(rng.randrange(1, 40))] for _ in range(60)]
+    for other in made[30:]:
+        start, at = rng.randrange(20), rng.randrange(10)
+        other[at:at] = rng.choice(made[:30])[start : start + rng.randrange(2, 12)]
+    earlier, want = set(), set()
+    for doc, sentences in enumerate(made):
+        keys = [substring_dedup.unit_key(s) for s in sentences]
+        for i in range(len(keys)):
+            for j in range(i + 1, len(keys) + 1):
+                joined = " ".join(keys[i:j])
+                long = len(joined) >= 40 and len(joined.split()) >= 8
+                line = (i == 0 or sentences[i - 1].endswith("\n")) and (j == len(keys) or sentences[j - 1].endswith("\n"))
+                line = line and not any(s.endswith("\n") for s in sentences[i : j - 1])
+                if long or line:
+                    if joined in earlier:
+                        want |= {(doc, k) for k in range(i, j)}
+                    earlier.add(joined)
+    docs = spark.createDataFrame([(i, "".join(s)) for i, s in enumerate(made)], "doc_id long, text string")
+    got, spans = set(), defaultdict(list)
+    for r in substring_dedup.repeated_units(docs).collect():
+        spans[r["id"]].append((r["start"], r["end"]))
+    for doc, found in spans.items():
+        found.sort()
+        assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+        at = 0
+        for k, s in enumerate(made[doc]):
+            if any(a <= at and at + len(s) <= b for a, b in found):
+                got.add((doc, k))
+            at += len(s)
+    assert want and got == want
+
+
 def test_license_base_matches_brute_force(docs, none, rows):
     def scan(t):
         low = (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
