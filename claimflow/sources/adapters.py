@@ -54,7 +54,7 @@ SELECT l.oid * 10 + l.ln AS id, l.oid AS order_id, l.ln AS line, l.part, l.supp,
        i.routing_id, i.letter_type, i.sent_at
 FROM (
   SELECT l_orderkey AS oid, l_linenumber AS ln, min(l_partkey) AS part, min(l_suppkey) AS supp, min(l_extendedprice) AS price
-  FROM {{lineitem}} WHERE l_linenumber <= 2 GROUP BY l_orderkey, l_linenumber
+  FROM {{lineitem}} GROUP BY l_orderkey, l_linenumber
 ) l JOIN ({_INQUIRIES}) i ON l.oid = i.id
 """
 
