@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from claimflow.operators import review as rv
 from claimflow.operators import writeback as wb
+from claimflow.plans.jobs import audit_period
 from claimflow.sources.adapters import domain, inlined
 
 NOW = dt.datetime(1999, 6, 1)
@@ -94,7 +95,7 @@ def x4_audit(spark, sf):
 
 
 def x5_audit_summary(spark, sf):
-    return wb.audit_summary(x4_audit(spark, sf), 5000)
+    return audit_period(_mails(spark, sf), domain(spark, sf, "creditors"), NOW, days=400)
 
 
 def x6_audit_samples(spark, sf):
