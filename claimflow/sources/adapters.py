@@ -111,11 +111,11 @@ FROM {events}
 
 _TEXTS = """
 SELECT doc_id, CASE doc_id % 8
-    WHEN 0 THEN substr(text, 1, 300) || ' Gesamtforderung: ' || CAST(doc_id % 900 + 100 AS STRING) || ',50 EUR'
-    WHEN 1 THEN 'Mandant: Hans Muster' || chr(10) || 'Betrag 1.' || CAST(doc_id % 900 + 100 AS STRING) || ',25 EUR offen.' || chr(10) || substr(text, 1, 200)
-    WHEN 2 THEN 'noch zu zahlen: ' || CAST(doc_id AS STRING) || ' EUR, Summe 12,30 EUR'
+    WHEN 0 THEN text || ' Gesamtforderung: ' || CAST(doc_id % 900 + 100 AS STRING) || ',50 EUR'
+    WHEN 1 THEN 'Mandant: Hans Muster' || chr(10) || 'Betrag 1.' || CAST(doc_id % 900 + 100 AS STRING) || ',25 EUR offen.' || chr(10) || text
+    WHEN 2 THEN 'noch zu zahlen: ' || CAST(doc_id AS STRING) || ' EUR, Summe 12,30 EUR' || chr(10) || text
     WHEN 3 THEN 'Tel 0761 EUR am 04.12.2024 EUR' || text
-    WHEN 4 THEN 'Az: ' || CAST(doc_id + 10000 AS STRING) || ' Vergleich EUR ' || CAST(doc_id % 50 AS STRING) || ',00'
+    WHEN 4 THEN 'Az: ' || CAST(doc_id + 10000 AS STRING) || ' Vergleich EUR ' || CAST(doc_id % 50 AS STRING) || ',00' || chr(10) || text
     ELSE text END AS text
 FROM {documents}
 """
