@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -49,29 +50,37 @@ def ranked_bytes(path: str) -> dict[bytes, int] | None:
     return {bytes(to_byte[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
 
 
+#: A run of blanks this long is left to ``tokenizers``: the faster encoder's regular expression recurses on blanks.
+LONG_BLANKS = re.compile(r"\s{4096}")
+
+
 class Encoder:
     """Token ids of whole texts as little-endian bytes: the ids that ``tokenizers`` gives for the file.
 
-    Where the file is plain byte-level BPE, a faster encoder is made of its own
-    vocabulary and merges; any other file is left to ``tokenizers``.
+    That is ``encode(text, add_special_tokens=False)``, so an added token that stands in a text is that
+    token. Where the file is plain byte-level BPE, a faster encoder is made of its own
+    vocabulary and merges for all texts that hold no added token and no overlong run of blanks; those texts, and
+    any other file, are left to ``tokenizers``.
     """
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.slow = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.slow.get_added_tokens_decoder().values()]
         ranks = ranked_bytes(path)
+        self.fast = None
         if ranks is not None:
             import tiktoken
 
-            fast = tiktoken.Encoding("file", pat_str=PRE_PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self.encode = fast.encode_ordinary
-        else:
-            from tokenizers import Tokenizer
+            self.fast = tiktoken.Encoding("file", pat_str=PRE_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-            slow = Tokenizer.from_file(path)
-            slow.encode_special_tokens = True
-            self.encode = lambda text: slow.encode(text, add_special_tokens=False).ids
+    def ids(self, text: str) -> list[int]:
+        plain = self.fast and not any(t in text for t in self.added) and not (len(text) >= 4096 and LONG_BLANKS.search(text))
+        return self.fast(text) if plain else self.slow.encode(text, add_special_tokens=False).ids
 
     def __call__(self, text: str) -> bytes:
-        return array("I", self.encode(text)).tobytes() if text else b""
+        return array("I", self.ids(text)).tobytes() if text else b""
 
 
 @functools.cache
@@ -107,28 +116,29 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: st
     return slim.mapInPandas(pieces, "id long, piece int, start long, length long, ids_crc32 long")
 
 
-def knapsack(value: np.ndarray, capacity: int) -> dict[int, int]:
-    """Lengths with their counts that fit into ``capacity`` at the most value; value[l] is that of length l.
+def knapsacks(values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of values, how often each length goes into ``capacity`` at the most value, and that value.
 
-    The dynamic program over room; of equally good lengths the longest is taken.
+    ``values[k, l]`` is the value of length l, -inf if there is none. The dynamic program over room, all rows at
+    once; of equally good lengths the longest is taken.
     """
-    best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
+    rows = np.arange(len(values))
+    best, pick = np.zeros((len(rows), capacity + 1)), np.zeros((len(rows), capacity + 1), dtype=np.int64)
+    backwards = np.ascontiguousarray(values[:, ::-1])
     for room in range(1, capacity + 1):
-        total = best[:room] + value[room:0:-1]
-        at = int(np.argmax(total))
-        if total[at] > best[room - 1]:
-            best[room], pick[room] = total[at], room - at
-        else:
-            best[room] = best[room - 1]
-    counts: Counter[int] = Counter()
-    room = capacity
-    while room > 0:
-        if pick[room]:
-            counts[int(pick[room])] += 1
-            room -= int(pick[room])
-        else:
-            room -= 1
-    return dict(counts)
+        total = best[:, :room] + backwards[:, capacity - room : capacity]
+        at = total.argmax(axis=1)
+        found = total[rows, at]
+        better = found > best[:, room - 1]
+        best[:, room] = np.where(better, found, best[:, room - 1])
+        pick[:, room] = np.where(better, room - at, 0)
+    counts, room = np.zeros(values.shape, dtype=np.int64), np.full(len(rows), capacity)
+    while (room > 0).any():
+        length = pick[rows, room]
+        counts[rows, length] += length > 0
+        room = np.maximum(room - np.maximum(length, 1), 0)
+    counts[:, 0] = 0
+    return counts, best[:, capacity]
 
 
 def best_fit(demand: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -162,54 +172,107 @@ def best_fit(demand: dict[int, int], capacity: int) -> list[tuple[dict[int, int]
 
 
 def configuration_lp(
-    demand: dict[int, int], capacity: int, lean: float = 0.05, rate: float = 0.02, step: float = 1.0, most_rounds: int = 3000
-) -> dict[tuple, float]:
-    """Fractional patterns that cover the histogram with few sequences, by multiplicative weights.
-
-    Each length has a weight, at first its tokens to the power 1 + ``lean`` (long pieces
-    are the harder to place), that shrinks exponentially, at ``rate``,
-    with the share of its demand that is covered. A round prices all patterns at once by
-    the knapsack program, takes the best pattern as often as covers a ``step``
-    of its scarcest length's demand, and updates the weights. Lengths that are covered leave.
+    demand: dict[int, int],
+    capacity: int,
+    rate: float = 0.1,
+    gap: float = 0.005,
+    lean: float = 0.05,
+    most_rounds: int = 120,
+    steps: int = 60,
+    together: int = 64,
+    variants: int = 4,
+) -> tuple[dict[tuple, float], float]:
+    """Fractional patterns that cover the histogram with few sequences, by multiplicative weights, and a lower bound.
+
+    The linear program: as few sequences as possible, each length covered by its demand. A length's weight, at first
+    its tokens to the power 1 + ``lean``, shrinks by the factor exp(-``rate``) each time its whole
+    demand has been covered once; weight over demand is its price. A round prices all patterns at
+    once by the knapsack program (with slightly changed prices too, for ``variants`` patterns), and then
+    makes ``steps`` steps: the patterns within half the rate of the best price, ``together`` at most,
+    are taken as often as covers the scarcest of their lengths once, so no coverage jumps. Prices divided by the best
+    pattern's are a solution of the dual, so their sum over all pieces is a lower bound, as is tokens /
+    capacity. It ends when the covering, scaled to the least covered length, is within ``gap`` of
+    the best bound, or after ``most_rounds``.
     """
-    need, done = np.zeros(capacity + 1), np.zeros(capacity + 1)
-    for length, n in demand.items():
-        need[length] = n
-    taken: dict[tuple, float] = defaultdict(float)
+    size = np.array(sorted(demand))
+    need, place = np.array([demand[x] for x in size], dtype=float), {int(x): i for i, x in enumerate(size)}
+    known: dict[tuple, int] = {}
+    rows, counts = [], []
+
+    def learn(pattern: dict[int, int]) -> None:
+        key = tuple(sorted(pattern.items(), reverse=True))
+        if key not in known:
+            known[key] = len(rows)
+            rows.append(np.array([place[x] for x, _ in key]))
+            counts.append(np.array([n for _, n in key], dtype=float))
+
+    for pattern, _ in best_fit(demand, capacity):
+        learn(pattern)
+    rng = np.random.default_rng(20240229)
+    start = np.log(size ** (1 + lean) * need)
+    covered, taken = np.zeros(len(size)), np.zeros(0)
+    bound = float((size * need).sum() / capacity)
+
+    def prices() -> np.ndarray:
+        log_weight = start - rate * covered
+        return np.exp(log_weight - log_weight.max()) / need
+
     for _ in range(most_rounds):
-        size = np.flatnonzero(need > done + 1e-9)
-        if not len(size):
+        price = prices()
+        values = np.full((variants, capacity + 1), -np.inf)
+        values[:, size] = price
+        values[1:, size] *= 1 + 0.01 * (rng.random((variants - 1, len(size))) - 0.5)
+        found, best = knapsacks(values, capacity)
+        bound = max(bound, float((price * need).sum() / best[0]))
+        for row in found:
+            learn({int(x): int(row[x]) for x in np.flatnonzero(row)})
+        taken = np.concatenate([taken, np.zeros(len(rows) - len(taken))])
+        flat, times = np.concatenate(rows), np.concatenate(counts)
+        first = np.cumsum([0, *[len(r) for r in rows[:-1]]])
+        for _ in range(steps):
+            worth = np.add.reduceat(prices()[flat] * times, first)
+            top = np.argsort(-worth, kind="stable")[:together]
+            top = top[worth[top] >= (1 - rate / 2) * worth[top[0]]]
+            gain = np.zeros(len(size))
+            for t in top:
+                gain[rows[t]] += counts[t]
+            step = (need[gain > 0] / gain[gain > 0]).min()
+            covered += gain * step / need
+            taken[top] += step
+        least = covered.min()
+        if least > 0 and taken.sum() / least <= (1 + gap) * bound:
             break
-        covered = done[size] / need[size]
-        value = np.full(capacity + 1, -np.inf)
-        value[size] = size ** (1 + lean) * np.exp(-rate * (covered - covered.min()))
-        pattern = knapsack(value, capacity)
-        times = min(min(max(step * need[x], 1.0), need[x] - done[x]) / n for x, n in pattern.items())
-        for x, n in pattern.items():
-            done[x] += n * times
-        taken[tuple(sorted(pattern.items(), reverse=True))] += times
-    return taken
-
-
-def pack_histogram(demand: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """Patterns (length -> count) with their numbers of sequences that hold the histogram exactly.
-
-    The configuration LP's patterns are rounded down; what that leaves, a number of
-    pieces bounded by patterns times lengths, is packed best fit decreasing. If
-    plain best fit of the whole histogram needs fewer sequences, that is taken.
+    least = covered.min()
+    return {p: taken[i] / least for p, i in known.items() if taken[i]} if least > 0 else {}, bound
+
+
+def pack_histogram(demand: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[dict[int, int], int]], float]:
+    """Patterns (length -> count) with their numbers of sequences that hold the histogram exactly, and a lower bound of these.
+
+    The configuration LP's patterns are rounded down, then up once each, the largest fractions
+    first, as long as their pieces last. What that leaves, pieces that no pattern in use takes whole and whose number
+    doesn't grow with the corpus, is packed best fit decreasing.
     """
     demand = {int(x): int(n) for x, n in demand.items() if n > 0}
-    plan = [({capacity: 1}, demand.pop(capacity))] if capacity in demand else []
-    left, rounded = dict(demand), []
-    for pattern, times in sorted(configuration_lp(demand, capacity).items(), key=lambda x: -x[1]) if demand else []:
-        whole = min([int(times + 1e-6), *[left[x] // n for x, n in pattern]])
-        if whole:
-            rounded.append((dict(pattern), whole))
+    full = demand.pop(capacity, 0)
+    plan, bound = [({capacity: 1}, full)] if full else [], 0.0
+    left = dict(demand)
+
+    def take(pattern: tuple, times: int) -> None:
+        times = min(times, *[left[x] // n for x, n in pattern])
+        if times > 0:
+            plan.append((dict(pattern), times))
             for x, n in pattern:
-                left[x] -= n * whole
-    rounded += best_fit({x: n for x, n in left.items() if n}, capacity)
-    plain = best_fit(demand, capacity)
-    return plan + min(rounded, plain, key=lambda p: sum(n for _, n in p))
+                left[x] -= n * times
+
+    if demand:
+        fractions, bound = configuration_lp(demand, capacity)
+        for pattern, times in sorted(fractions.items(), key=lambda x: -x[1]):
+            take(pattern, int(times + 1e-6))
+        for pattern, times in sorted(fractions.items(), key=lambda x: int(x[1] + 1e-6) - x[1]):
+            take(pattern, 1 if times - int(times + 1e-6) > 1e-6 else 0)
+    plan += best_fit({x: n for x, n in left.items() if n}, capacity)
+    return plan, full + bound
 
 
 def place_table(plan: list[tuple[dict[int, int], int]], capacity: int) -> dict[str, np.ndarray]:
@@ -251,26 +314,29 @@ def best_fit_packing(
     text_col: str = "text",
     capacity: int = CAPACITY,
     end_id: int = END_ID,
-    slice_rows: int = 50_000,
+    slice_rows: int = 1_000,
 ) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens; a row for each piece.
 
     A document is its ids and ``end_id``; only one longer than ``capacity`` is cut,
     its first piece the short one. Columns: id, piece, start, length, ids_crc32,
     sequence_id, offset; offsets of a sequence are gapless from 0. Only the
-    histogram of lengths reaches the driver. Ranks within a length are
-    counted in slices of about ``slice_rows``, so no length, however
-    frequent, is numbered by one task.
+    histogram of lengths, at most ``capacity`` numbers, reaches the driver. Ranks within a length are
+    counted in slices of about ``slice_rows`` rows, dealt by a number of the row alone, so no
+    length and no repeated row, however frequent, is numbered by one task.
 
-    Null or empty text: the end id alone. Null id: the largest id. Repeated rows are packed
+    Null or empty text: the end id alone. Runs of blanks of any length and added tokens inside texts give
+    the ids that ``tokenizers`` gives. Null id: the largest id. Repeated rows are packed
     each on its own. No rows: no rows. Other columns are ignored.
     """
-    pieces = stored(token_pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id), "pieces")
+    spark = docs.sparkSession
+    cut_up = token_pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id)
+    pieces = stored(cut_up.withColumn("salt", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    places = place_table(pack_histogram(histogram, capacity), capacity)
-    most = max(histogram.values(), default=0) // slice_rows + 1
-    sliced = pieces.withColumn("slice", F.pmod(F.xxhash64("id", "piece", "start", "ids_crc32"), F.lit(most)).cast("int"))
-    order = Window.partitionBy("length", "slice").orderBy("id", "piece", "ids_crc32")
+    places = place_table(pack_histogram(histogram, capacity)[0], capacity)
+    slices_of = spark.createDataFrame([(x, n // slice_rows + 1) for x, n in histogram.items()], "length long, slices long")
+    sliced = pieces.join(F.broadcast(slices_of), "length").withColumn("slice", F.pmod(F.xxhash64("salt"), F.col("slices"))).drop("slices")
+    order = Window.partitionBy("length", "slice").orderBy("id", "piece", "ids_crc32", "salt")
     ranked = sliced.withColumn("within", F.row_number().over(order) - 1)
     slices = sliced.groupBy("length", "slice").agg(F.count("*").alias("rows"))
     before = F.sum("rows").over(Window.partitionBy("length").orderBy("slice")) - F.col("rows")

@@ -302,7 +302,6 @@ def test_packing_holds_all_tokens(docs, none, rows):
 
     path = packing.default_tokenizer()
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     found = packing.best_fit_packing(docs, path, capacity=256, slice_rows=4).collect()
     sequences = defaultdict(list)
     for r in found:
@@ -334,21 +333,32 @@ def test_encoder_gives_the_ids_of_tokenizers():
 
     path = packing.default_tokenizer()
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     encode = packing.encoder(path)
     rng = random.Random(2)
     alphabet = "ab Z9.,'\n\t\r\x1c\x85\xa0　éß中🙂<|endoftext|>"
     for _ in range(300):
         text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(60)))
         assert encode(text) == np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-    assert encode("<|endoftext|> don't") == np.asarray(tokenizer.encode("<|endoftext|> don't", add_special_tokens=False).ids, dtype="<u4").tobytes()
+    for text in ("x <|endoftext|> y", "<|endoftext|> don't", " " * 1_000_000, "a" + "\n" * 1_000_000 + "b", "\x85" * 100_000, "x" * 200_000, "\t " * 300_000 + "z"):
+        assert encode(text) == np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert 50256 in np.frombuffer(encode("x <|endoftext|> y"), dtype="<u4")
+
+
+def test_packing_survives_hard_texts_and_repeats(spark):
+    rows = [(1, " " * 1_000_000), (2, "\n" * 300_000), (3, "x <|endoftext|> y")] + [(None, "gleich")] * 40
+    found = packing.best_fit_packing(spark.createDataFrame(rows, "doc_id long, text string"), packing.default_tokenizer(), slice_rows=4).collect()
+    assert sum(r["doc_id"] is None for r in found) == 40 and {r["doc_id"] for r in found} == {1, 2, 3, None}
+    ends = Counter()
+    for r in found:
+        ends[r["sequence_id"]] += r["length"]
+    assert max(ends.values()) <= 1024 and len({(r["sequence_id"], r["offset"]) for r in found}) == len(found)
 
 
 @pytest.mark.parametrize("seed", range(3))
 def test_pack_histogram_is_whole_and_tight(seed):
     rng = random.Random(seed)
     demand = Counter(min(64, int(rng.expovariate(1 / 20)) + 1) for _ in range(3000))
-    plan = packing.pack_histogram(dict(demand), 64)
+    plan, bound = packing.pack_histogram(dict(demand), 64)
     held = Counter()
     for pattern, times in plan:
         assert times > 0 and sum(x * n for x, n in pattern.items()) <= 64
@@ -356,7 +366,33 @@ def test_pack_histogram_is_whole_and_tight(seed):
             held[x] += n * times
     assert held == demand
     least = -(-sum(x * n for x, n in demand.items()) // 64)
-    assert sum(n for _, n in plan) <= least * 1.01 + 1
+    assert sum(n for _, n in plan) <= least * 1.01 + 1 and bound <= sum(n for _, n in plan)
+
+
+def test_configuration_lp_beats_best_fit_where_gaps_stay():
+    """Pieces of about a third, none short: tokens / capacity is no good bound, and best fit pairs badly."""
+    rng = random.Random(5)
+    demand = dict(Counter(rng.randrange(300, 420) for _ in range(20_000)))
+    fractions, bound = packing.configuration_lp(demand, 1024)
+    assert bound > 1.03 * sum(x * n for x, n in demand.items()) / 1024
+    for x, n in demand.items():
+        assert sum(times * dict(p).get(x, 0) for p, times in fractions.items()) >= n * (1 - 1e-9)
+    used = sum(n for _, n in packing.pack_histogram(demand)[0])
+    assert bound <= used <= 1.05 * bound and used < 0.97 * sum(n for _, n in packing.best_fit(demand, 1024))
+
+
+def test_knapsack_matches_brute_force():
+    rng = random.Random(8)
+    for _ in range(20):
+        values = np.full((2, 13), -np.inf)
+        for x in rng.sample(range(1, 13), 4):
+            values[:, x] = [rng.random(), rng.random()]
+        best = np.zeros((2, 13))
+        for room in range(1, 13):
+            best[:, room] = np.maximum(best[:, room - 1], (best[:, :room] + values[:, room:0:-1]).max(axis=1))
+        counts, found = packing.knapsacks(values, 12)
+        assert np.allclose(found, best[:, 12]) and (counts @ np.arange(13) <= 12).all()
+        assert np.allclose(np.where(counts > 0, counts * np.where(np.isinf(values), 0, values), 0).sum(axis=1), found)
 
 
 def test_sharding_is_even_and_whole(docs, none, rows, spark):
