@@ -1,12 +1,14 @@
 """N-gram Jaccard join: a MinHash LSH forest, then exact verification, then groups of linked documents.
 
 Documents with the same shingles are one class with one representative, so
-copies are never compared. Representatives are signed and put into ``trees``
-sorted tries, one for each slice of the signature; those that share a prefix of a
-trie meet. Prefixes are shortened from the full depth until the chance to meet,
-for a pair at the threshold, reaches the target recall. Groups that
-meet are dealt into cells of bounded size; a cell checks its pairs exactly, each
-pair in the first tree it shares, and gives back a count of links and one edge
+copies are never compared. Each representative has ``trees`` signatures, sequences of minima, and
+stands in a prefix trie of each. All start at the same prefix, the longest at which a lone pair at the threshold meets with
+the recall asked for; those that share it in some trie are a node, and its pairs are checked exactly. The
+similarities found tell how many links of a document the prefixes so far are likely to have missed. Documents for which that
+share is too large have their prefixes shortened, a minimum at a time, and are checked against what
+joins them in the larger nodes, until their own recall reaches its target. Nodes
+are dealt into cells of bounded size; a cell checks its pairs, each
+pair at the longest prefix and in the first tree it shares, and gives back counts and one edge
 for each document, never the pairs.
 """
 
@@ -17,7 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimflow.llm.common import LOWER, NO_ID, UPPER, broadcast_if_small, stored, table, text_hash, without, words_of
@@ -47,42 +49,51 @@ def prefix_depth(trees: int, most_depth: int, threshold: float, recall: float) -
     return depth
 
 
+def chance(similarity: np.ndarray, depth: int, trees: int) -> np.ndarray:
+    """How likely a pair of that Jaccard similarity shares a prefix of ``depth`` minima in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
 class Forest:
-    """Prefix keys of a signature: one for each tree, of ``depth`` minima of random orders."""
+    """Signatures of shingle sets: for each of ``trees`` trees the minima of ``depth`` random orders."""
 
     def __init__(self, trees: int, depth: int):
         rng = np.random.default_rng(20240229)
         self.trees, self.depth = trees, depth
-        self.times = rng.integers(0, 2**63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.mask = rng.integers(0, 2**63, trees * depth, dtype=np.uint64)
+        self.times = rng.integers(0, 2**31, trees * depth, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        self.mask = rng.integers(0, 2**32, trees * depth, dtype=np.uint32)
 
-    def keys(self, shingles: np.ndarray) -> np.ndarray:
-        minima = np.empty(len(self.times), dtype=np.uint64)
-        step = max(1, 2_000_000 // len(shingles))
+    def signature(self, shingles: np.ndarray) -> bytes:
+        own, minima = (shingles >> np.uint64(32)).astype(np.uint32), np.empty(len(self.times), dtype=np.uint32)
+        step = max(1, 250_000 // len(own))
         for a in range(0, len(minima), step):
-            mixed = (shingles[None, :] ^ self.mask[a : a + step, None]) * self.times[a : a + step, None]
-            minima[a : a + step] = (mixed ^ (mixed >> np.uint64(31))).min(axis=1)
-        return np.array(
-            [xxhash.xxh64_intdigest(minima[t * self.depth : (t + 1) * self.depth].tobytes(), t) for t in range(self.trees)], dtype=np.uint64
-        ).astype(np.int64)
+            mixed = own[None, :] ^ self.mask[a : a + step, None]
+            mixed *= self.times[a : a + step, None]
+            minima[a : a + step] = mixed.min(axis=1)
+        return minima.tobytes()
+
+    def prefixes(self, depth: int) -> Column:
+        """A 64-bit key for the prefix of ``depth`` minima in each tree, from the column ``signature``."""
+        keys = [F.xxhash64(F.lit(t), F.substring("signature", 4 * t * self.depth + 1, 4 * depth)) for t in range(self.trees)]
+        return F.array(*keys)
 
 
 def sketches(docs: DataFrame, forest: Forest, size: int) -> DataFrame:
-    """id, th, n (distinct shingles), h1 and h2 (digest of the set), keys (a prefix key for each tree)."""
+    """id, th, n (distinct shingles), h1 and h2 (digest of the set), signature."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
-            counts, digests, keys = [], [], []
+            counts, digests, drawn = [], [], []
             for text in batch["text"]:
                 own = shingle_set(text, hashes, size)
                 counts.append(len(own))
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
-                keys.append(forest.keys(own) if len(own) else None)
+                drawn.append(forest.signature(own) if len(own) else None)
             halves = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"id": batch["id"], "th": batch["th"], "n": counts, "h1": halves[:, 0], "h2": halves[:, 1], "keys": keys})
+            yield pd.DataFrame({"id": batch["id"], "th": batch["th"], "n": counts, "h1": halves[:, 0], "h2": halves[:, 1], "signature": drawn})
 
-    return docs.mapInPandas(sketch, "id long, th long, n long, h1 long, h2 long, keys array<long>")
+    return docs.mapInPandas(sketch, "id long, th long, n long, h1 long, h2 long, signature binary")
 
 
 def by_cell(batches: Iterator[pd.DataFrame], check: Callable[[pd.DataFrame], pd.DataFrame | None]) -> Iterator[pd.DataFrame]:
@@ -112,14 +123,22 @@ def by_cell(batches: Iterator[pd.DataFrame], check: Callable[[pd.DataFrame], pd.
 
 
 def new_pairs(cell: pd.DataFrame) -> np.ndarray:
-    """Which pairs (row below column) of a cell are checked here: they share no earlier tree, and across blocks if it has two."""
-    keys = np.stack(cell["keys"].to_list())
-    tree, block = int(cell["tree"].iloc[0]), cell["block"].to_numpy()
+    """Which pairs (row below column) of a cell are checked here.
+
+    Pairs with an open document that share no longer prefix in any tree and none of this length in an
+    earlier one; across the blocks if the cell has two.
+    """
+    keys, longer = np.stack(cell["keys"].to_list()), np.stack(cell["longer"].to_list())
+    tree, block, open_ = int(cell["tree"].iloc[0]), cell["block"].to_numpy(), cell["open"].to_numpy(bool)
     pairs = np.triu(np.ones((len(cell), len(cell)), dtype=bool), 1)
+    if not open_.all():
+        pairs &= open_[:, None] | open_[None, :]
     if cell["i"].iloc[0] != cell["j"].iloc[0]:
         pairs &= block[:, None] != block[None, :]
-    for t in range(tree):
-        pairs &= keys[:, None, t] != keys[None, :, t]
+    for own in (*longer.T, *keys.T[:tree]):
+        if not pairs.any():
+            break
+        pairs &= own[:, None] != own[None, :]
     return pairs
 
 
@@ -145,8 +164,9 @@ def common_shingles(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
     return both
 
 
-def linked(cell: pd.DataFrame, numerator: int, denominator: int) -> pd.DataFrame | None:
-    """For each member with links: their number, copies counted, and the member of the cell it hangs on."""
+def linked(cell: pd.DataFrame, numerator: int, denominator: int, forest: Forest) -> pd.DataFrame | None:
+    """For each member with links: the member of the cell it hangs on, the number of links, copies counted, and for
+    each depth how many more links like these a prefix of that depth is likely to miss."""
     pairs = new_pairs(cell)
     sets = [np.frombuffer(s, dtype=np.uint64) for s in cell["shingles"]]
     size, copies = np.array([len(s) for s in sets]), cell["copies"].to_numpy()
@@ -155,8 +175,15 @@ def linked(cell: pd.DataFrame, numerator: int, denominator: int) -> pd.DataFrame
     links = pairs & (denominator * both >= numerator * (size[:, None] + size[None, :] - both))
     if not links.any():
         return None
+    at = np.nonzero(links)
+    similarity = both[at] / (size[at[0]] + size[at[1]] - both[at])
     links |= links.T
     count = links @ copies
+    missed = np.zeros((len(cell), forest.depth))
+    for depth in range(1, forest.depth + 1):
+        odds = 1 / chance(similarity, depth, forest.trees) - 1
+        for one, other in (at, at[::-1]):
+            missed[:, depth - 1] += np.bincount(one, weights=odds * copies[other], minlength=len(cell))
     root = np.arange(len(cell))
     while True:  # the least member that links reach
         least = np.minimum(root, np.where(links, root[None, :], len(root)).min(axis=1))
@@ -166,17 +193,18 @@ def linked(cell: pd.DataFrame, numerator: int, denominator: int) -> pd.DataFrame
         root = least
     own = np.flatnonzero(count)
     h1, h2 = cell["h1"].to_numpy(), cell["h2"].to_numpy()
-    return pd.DataFrame({"a1": h1[own], "a2": h2[own], "b1": h1[root[own]], "b2": h2[root[own]], "links": count[own]})
+    return pd.DataFrame({"a1": h1[own], "a2": h2[own], "b1": h1[root[own]], "b2": h2[root[own]], "links": count[own], "missed": list(missed[own])})
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """The least node each node is connected to: c, label. Labels spread along edges and jump to their labels' labels.
 
-    ``edges`` has structs a and b. Every round is a written table.
+    ``edges`` has structs a and b. Every round is a written table; labels only fall, so it ends, and jumps make the
+    rounds grow with the logarithm of a path.
     """
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct(), "edges")
     labels = stored(both.groupBy(F.col("a").alias("c")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels, both["b"] == labels["c"]).groupBy("a").agg(F.min("label").alias("near"))
         spread = labels.join(near, labels["c"] == near["a"]).select("c", "label", F.least("label", "near").alias("new"))
         jump = labels.select(F.col("c").alias("at"), F.col("label").alias("far"))
@@ -186,67 +214,56 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         labels = moved.drop("old")
         if not changed:
             return labels
-    raise RuntimeError(f"labels still move after {most_rounds} rounds")
-
 
-def jaccard_groups(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    shingle: int = 5,
-    similarity: tuple[int, int] = (4, 5),
-    trees: int = 20,
-    most_depth: int = 8,
-    recall: float = 0.999,
-    cell_rows: int = 256,
-) -> DataFrame:
-    """Links of ``similarity`` or more between word-shingle sets, and the groups they make.
 
-    Columns: id, th (text hash), class_id (the smallest id that links reach), n_links (other
-    documents at that similarity, copies counted), first (whether this id and text
-    are the smallest of the group). Words are runs without ASCII blanks, A-Z
-    lower-cased; a text of fewer than ``shingle`` words is one shingle. ``similarity`` is a
-    fraction, compared in whole numbers. A pair at the threshold is found
-    with chance ``recall`` at least, a closer pair with more.
+def node_cells(classes: DataFrame, forest: Forest, depth: int, open_: DataFrame | None, cell_rows: int) -> DataFrame:
+    """Members of the nodes at ``depth`` that may hold new pairs, dealt into cells: key, i, j, block, tree, h1, h2, open, keys, longer.
 
-    A bucket of more than ``cell_rows`` members is dealt into blocks and each pair of
-    blocks is a cell: no bucket is capped and no task holds more than two
-    blocks. Null or empty texts have no links. Null id: largest id. Rows of one id with other
-    texts are documents of their own. No rows: no rows. Other columns are ignored.
+    ``open_`` (h1, h2) names the documents whose prefixes are shortened to this depth; None: all of them. Of
+    the nodes those count that an open document is in and that a longer prefix doesn't hold whole.
     """
-    numerator, denominator = similarity
-    forest = Forest(trees, prefix_depth(trees, most_depth, numerator / denominator, recall))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    drawn = stored(sketches(rows, forest, shingle), "sketches")
-
-    classes = drawn.where("n > 0").groupBy("h1", "h2").agg(
-        F.min(F.struct("id", "th")).alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys")
-    )
-    classes = stored(classes, "classes")
-    placed = classes.select("h1", "h2", F.posexplode("keys").alias("tree", "key"))
-    crowded = placed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    keyed = classes.select("h1", "h2", forest.prefixes(depth).alias("keys"), "signature")
+    none = F.array().cast("array<bigint>")
+    longer = none if open_ is None else forest.prefixes(depth + 1)
+    keyed = keyed.select("h1", "h2", "keys", longer.alias("longer"))
+    if open_ is None:
+        keyed = keyed.withColumn("open", F.lit(True))
+        placed = keyed.select("h1", "h2", F.posexplode("keys").alias("tree", "key"))
+        crowded = placed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    else:
+        marked = broadcast_if_small(open_.select(F.col("h1").alias("o1"), F.col("h2").alias("o2")))
+        keyed = keyed.join(marked, (F.col("h1") == F.col("o1")) & (F.col("h2") == F.col("o2")), "left")
+        keyed = keyed.select("h1", "h2", "keys", "longer", F.col("o1").isNotNull().alias("open"))
+        children = keyed.select("h1", "h2", "open", F.posexplode(F.arrays_zip("keys", "longer")).alias("tree", "z"))
+        placed = children.select("h1", "h2", "open", "tree", F.col("z.keys").alias("key"), F.col("z.longer").alias("child"))
+        crowded = placed.groupBy("key").agg(F.count("*").alias("members"), F.max("open").alias("any"), F.min("child").alias("a"), F.max("child").alias("b"))
+        crowded = crowded.where("any and a != b").select("key", "members")
+        placed = placed.drop("open", "child")
     met = stored(placed.join(crowded, "key"), "met")
-
     blocks = F.ceil(F.col("members") / F.lit(cell_rows)).cast("int")
     dealt = met.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("h2", "h1"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "tree", "h1", "h2")
-    keyed = cells.join(classes.select("h1", "h2", "keys"), ["h1", "h2"])
+    return cells.join(keyed, ["h1", "h2"])
+
+
+def verified_links(rows: DataFrame, classes: DataFrame, cells: DataFrame, forest: Forest, shingle: int, similarity: tuple[int, int]) -> DataFrame:
+    """Exact links of the new pairs of all cells: what :func:`linked` gives, as a written table."""
 
     def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def check(cell: pd.DataFrame) -> pd.DataFrame | None:
             pairs = new_pairs(cell)
             own = pairs.any(axis=0) | pairs.any(axis=1)
-            return cell.loc[own, ["key", "i", "j", "block", "tree", "h1", "h2"]] if own.any() else None
+            return cell.loc[own, ["key", "i", "j", "block", "tree", "h1", "h2", "open"]] if own.any() else None
 
         yield from by_cell(batches, check)
 
-    grouped = keyed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    wanted = stored(grouped.mapInPandas(needed, "key long, i int, j int, block int, tree int, h1 long, h2 long"), "wanted")
+    grouped = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    wanted = stored(grouped.mapInPandas(needed, "key long, i int, j int, block int, tree int, h1 long, h2 long, open boolean"), "wanted")
 
-    chosen = wanted.select("h1", "h2").distinct().join(classes, ["h1", "h2"])
-    chosen = stored(chosen.select("h1", "h2", "copies", "keys", F.col("rep.id").alias("rid"), F.col("rep.th").alias("rth")), "chosen")
+    kept = cells.select("h1", "h2", "keys", "longer").dropDuplicates(["h1", "h2"])
+    chosen = wanted.select("h1", "h2").distinct().join(classes.drop("signature"), ["h1", "h2"]).join(kept, ["h1", "h2"])
+    chosen = stored(chosen.select("h1", "h2", "copies", "keys", "longer", F.col("rep.id").alias("rid"), F.col("rep.th").alias("rth")), "chosen")
     reps = broadcast_if_small(chosen.select("rid", "rth"))
     texts = rows.join(reps, (rows["id"] == reps["rid"]) & (rows["th"] == reps["rth"])).select("id", "th", "text")
 
@@ -257,13 +274,74 @@ def jaccard_groups(
 
     held = texts.mapInPandas(sets, "id long, th long, shingles binary").dropDuplicates(["id", "th"])
     held = held.join(chosen, (held["id"] == chosen["rid"]) & (held["th"] == chosen["rth"]))
-    held = stored(held.select("h1", "h2", "copies", "keys", "shingles"), "sets")
+    held = stored(held.select("h1", "h2", "copies", "keys", "longer", "shingles"), "sets")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from by_cell(batches, lambda cell: linked(cell, numerator, denominator))
+        yield from by_cell(batches, lambda cell: linked(cell, *similarity, forest))
 
     loaded = wanted.join(held, ["h1", "h2"]).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    links = stored(loaded.mapInPandas(verify, "a1 long, a2 long, b1 long, b2 long, links long"), "links")
+    return stored(loaded.mapInPandas(verify, "a1 long, a2 long, b1 long, b2 long, links long, missed array<double>"), "links")
+
+
+def forest_links(
+    rows: DataFrame, classes: DataFrame, forest: Forest, shingle: int, similarity: tuple[int, int], own_recall: float, cell_rows: int
+) -> DataFrame:
+    """Links of all documents: prefixes of full depth first, shortened for those whose measured recall is under ``own_recall``.
+
+    The links found so far are weighed with the chance that a prefix finds one of their similarity; found over
+    found and missed is a document's own recall.
+    """
+    found = verified_links(rows, classes, node_cells(classes, forest, forest.depth, None, cell_rows), forest, shingle, similarity)
+    open_ = None
+    for depth in range(forest.depth, 1, -1):
+        lost = found.groupBy(F.col("a1").alias("h1"), F.col("a2").alias("h2")).agg(F.sum("links").alias("n"), F.sum(F.get("missed", F.lit(depth - 1))).alias("lost"))
+        short = lost.where(F.col("n") < own_recall * (F.col("n") + F.col("lost"))).select("h1", "h2")
+        open_ = stored(short if open_ is None else short.join(open_, ["h1", "h2"], "left_semi"), "open")
+        if open_.isEmpty():
+            break
+        more = verified_links(rows, classes, node_cells(classes, forest, depth - 1, open_, cell_rows), forest, shingle, similarity)
+        found = found.unionByName(more)
+    return found
+
+
+def jaccard_groups(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 5,
+    similarity: tuple[int, int] = (4, 5),
+    trees: int = 20,
+    most_depth: int = 8,
+    recall: float = 0.999,
+    own_recall: float = 0.9999,
+    cell_rows: int = 256,
+) -> DataFrame:
+    """Links of ``similarity`` or more between word-shingle sets, and the groups they make.
+
+    Columns: id, th (text hash), class_id (the smallest id that links reach), n_links (other
+    documents at that similarity, copies counted), first (whether this id and text
+    are the smallest of the group). Words are runs without ASCII blanks, A-Z
+    lower-cased; a text of fewer than ``shingle`` words is one shingle. ``similarity`` is a
+    fraction, compared in whole numbers. A document's prefixes have the longest length up to ``most_depth``
+    at which a pair at the threshold is found with chance ``recall``; where the similarities of its
+    links say that its own recall is under ``own_recall``, they are shortened until it isn't.
+
+    A node of more than ``cell_rows`` members is dealt into blocks and each pair of
+    blocks is a cell: no node is capped and no task holds more than two
+    blocks. Null or empty texts have no links. Null id: largest id. Rows of one id with other
+    texts are documents of their own. No rows: no rows. Other columns are ignored.
+    """
+    numerator, denominator = similarity
+    forest = Forest(trees, prefix_depth(trees, most_depth, numerator / denominator, recall))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    drawn = stored(sketches(rows, forest, shingle), "sketches")
+
+    classes = drawn.where("n > 0").groupBy("h1", "h2").agg(
+        F.min(F.struct("id", "th")).alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature")
+    )
+    classes = stored(classes, "classes")
+    links = forest_links(rows, classes, forest, shingle, similarity, own_recall, cell_rows)
 
     pair = lambda x: F.struct(F.col(f"{x}1").alias("h1"), F.col(f"{x}2").alias("h2"))
     counted = links.groupBy(F.col("a1").alias("h1"), F.col("a2").alias("h2")).agg(F.sum("links").alias("links"))
@@ -289,14 +367,18 @@ def jaccard_groups(
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each group of :func:`jaccard_groups`: that of the smallest id and text hash.
 
-    Of rows with the same id and text one stays too. Texts without words are groups of their own.
+    Of rows with the same id and text one stays too, the first by all its columns as JSON. Texts without words are groups of their own.
     """
     found = stored(jaccard_groups(docs, id_col, text_col, **options).groupBy("id", "th").agg(F.min("first").alias("first"), F.count("*").alias("rows")), "groups")
     repeated = found.where(F.col("first") & (F.col("rows") > 1))
     kept = without(docs, found.where(~F.col("first") | (F.col("rows") > 1)), id_col, text_col)
     ids = broadcast_if_small(repeated.select(F.col("id").alias("__id"), F.col("th").alias("__th")))
-    same = (F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)) == ids["__id"]) & (text_hash(docs[text_col]) == ids["__th"])
-    return kept.unionByName(docs.join(ids, same, "left_semi").dropDuplicates([id_col, text_col]))
+    rows = docs.select(
+        F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), text_hash(docs[text_col]).alias("th"), F.struct(*docs.columns).alias("row")
+    )
+    rest = rows.join(ids, (rows["id"] == ids["__id"]) & (rows["th"] == ids["__th"]), "left_semi").groupBy("id", "th")
+    rest = rest.agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
+    return kept.unionByName(rest)
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:

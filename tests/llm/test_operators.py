@@ -127,6 +127,41 @@ def test_prefix_depth_reaches_recall():
         assert d == 8 or 1 - (1 - 0.8 ** (d + 1)) ** trees < 0.999
 
 
+def test_forest_signatures_meet_as_often_as_the_similarity_says():
+    rng = np.random.default_rng(3)
+    forest = jaccard_join.Forest(20, 5)
+    for share in (0.8, 0.9):
+        met = []
+        for _ in range(200):
+            n = 300
+            common = int(round(2 * n * share / (1 + share)))
+            own = rng.integers(0, 2**64, 2 * n - common, dtype=np.uint64)
+            one, other = own[:n], own[n - common :]
+            a, b = (np.frombuffer(forest.signature(np.sort(x)), dtype=np.uint32).reshape(20, 5) for x in (one, other))
+            met += list((a == b).mean(axis=1))
+        assert abs(np.mean(met) - share) < 0.01
+
+
+def test_prefixes_are_shortened_where_links_are_near_the_threshold(spark):
+    """With one tree and long prefixes many links at the threshold are missed at first; shortening finds them."""
+    rng = random.Random(4)
+    texts = []
+    for g in range(30):
+        base = prose(rng, 120, f"g{g}x").split()
+        for k in range(6):
+            w = list(base)
+            w[8 * k + 8 : 8 * k + 10] = [f"neu{k}"] * 2
+            texts.append((len(texts), " ".join(w)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(116)} for _, t in texts]
+    want = {i: sum(j != i and 5 * len(s & o) >= 4 * len(s | o) for j, o in enumerate(sets)) for i, s in enumerate(sets)}
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    few = {r["id"]: r["n_links"] for r in jaccard_join.jaccard_groups(frame, trees=6, most_depth=6, recall=0.5, own_recall=0.0).collect()}
+    all_ = {r["id"]: r["n_links"] for r in jaccard_join.jaccard_groups(frame, trees=6, most_depth=6, recall=0.5, own_recall=0.9999).collect()}
+    assert all(few[i] <= n and all_[i] <= n for i, n in want.items())
+    total = sum(want.values())
+    assert total > 400 and sum(few.values()) < 0.97 * total and sum(all_.values()) >= 0.999 * total
+
+
 def test_decontamination_matches_brute_force(spark, docs, none, rows):
     rng = random.Random(9)
     item = prose(rng, 40, "bench").split()
