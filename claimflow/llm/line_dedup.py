@@ -6,7 +6,7 @@ has its first document there, so each of its lines in this batch goes; a new key
 belongs to the batch's smallest id and becomes part of the batch's own run. Runs
 are bucketed and sorted by hash, so the join with a run reads it in order and
 shuffles nothing of it; after every ``fanout`` runs of a level they are compacted
-into one run of the next level.
+into one run of the next level. Kept runs take further batches, today's or next month's.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ def line_key(line: Column) -> Column:
 
 
 def batch_bounds(ids: DataFrame, batches: int) -> list[int]:
-    """Ascending first ids of batches 2, 3, ...; few numbers, whatever the input."""
+    """Ascending first ids of batches 2, 3, ...; ``batches`` numbers at most."""
     if batches < 2:
         return []
     at = [i / batches for i in range(1, batches)]
@@ -37,11 +37,15 @@ def batch_bounds(ids: DataFrame, batches: int) -> list[int]:
 
 
 class Runs:
-    """Sorted runs of line hashes in levels; ``fanout`` runs of a level become one of the next."""
+    """Sorted runs of line hashes in levels; ``fanout`` runs of a level become one of the next.
 
-    def __init__(self, spark, buckets: int, fanout: int):
+    The runs are tables of the catalog; ``levels`` names them, so that a later job goes on with
+    ``Runs(spark, buckets, fanout, levels)``.
+    """
+
+    def __init__(self, spark, buckets: int, fanout: int = 2, levels: list[list[str]] | None = None):
         self.spark, self.buckets, self.fanout = spark, buckets, fanout
-        self.levels: list[list[str]] = []
+        self.levels: list[list[str]] = [list(x) for x in levels or []]
 
     def names(self) -> list[str]:
         return [name for level in self.levels for name in level]
@@ -90,6 +94,31 @@ def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
     return lines.where(F.char_length("key") >= min_chars).select("id", "th", "pos", h1.alias("h1"), h2.alias("h2"))
 
 
+def lost_lines(own: DataFrame, keys: DataFrame, hot_share: int = 10_000) -> DataFrame:
+    """Lines of a batch that go: id, th, pos. ``keys`` has owner, n and seen for each key of the batch.
+
+    Keys that hold 1 / ``hot_share`` of the batch's lines or more, ``hot_share`` keys at most, are broadcast, so that
+    no common line's rows meet in one task; all others are joined by hash.
+    """
+    repeated = keys.where(F.col("seen") | (F.col("n") > 1))
+    total = keys.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = F.col("n") * hot_share >= F.lit(total)
+    few = F.broadcast(repeated.where(hot).select(*KEY, "owner", "seen"))
+    goes = F.col("seen") | (F.col("id") > F.col("owner"))
+    common = own.join(few, KEY).where(goes)
+    rare = own.join(few, KEY, "left_anti").join(repeated.where(~hot).select(*KEY, "owner", "seen"), KEY).where(goes)
+    return common.select("id", "th", "pos").unionByName(rare.select("id", "th", "pos"))
+
+
+def lines_left(text: Column, gone: Column) -> Column:
+    """``text`` without the lines at the sorted positions ``gone``; one pass over its lines."""
+    before = lambda i: F.when(i > 0, F.get(gone, i - 1)).otherwise(F.lit(-1))
+    runs = F.transform(F.sequence(F.lit(0), F.size(gone) - 1), lambda i: F.concat(F.array_repeat(F.lit(True), F.get(gone, i) - before(i) - 1), F.array(F.lit(False))))
+    # the lines are an argument of zip_with, not of its function, so a text is split once
+    marked = F.zip_with(F.split(text, "\n"), F.flatten(runs), lambda line, stays: F.when(F.coalesce(stays, F.lit(True)), line))
+    return F.array_join(F.array_compact(marked), "\n")
+
+
 def dedup_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -97,6 +126,8 @@ def dedup_lines(
     min_chars: int = 10,
     batches: int = 4,
     fanout: int = 2,
+    batch_bytes: int = 256 * 2**30,
+    runs: Runs | None = None,
 ) -> DataFrame:
     """Drop lines whose key an earlier document holds; ``docs`` with its columns and three more.
 
@@ -104,7 +135,11 @@ def dedup_lines(
     at least ``min_chars`` code points loses its lines everywhere but in the
     document of the smallest id that holds it, where all of them stay. The text
     column becomes the kept lines joined by ``\\n``; ``n_lines``, ``n_dropped`` and
-    ``original_text`` are added.
+    ``original_text`` are added. There are ``batches`` batches, or as many as keep them under
+    ``batch_bytes`` of text.
+
+    With ``runs`` all documents come after those whose lines the runs hold, whatever their ids; the runs
+    take up the lines of this call too and stay for the next. Without, runs last for this call.
 
     Null or empty text: one empty line, never dropped; the text becomes ''. A null
     id is the largest id. Rows of one id are one document; each keeps its own row.
@@ -112,33 +147,34 @@ def dedup_lines(
     named like the added ones are replaced. Hash keys are 128 bits wide.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"), F.xxhash64(text).alias("th")
     )
-    bounds = batch_bounds(keyed.select("id"), batches)
+    size = keyed.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    bounds = batch_bounds(keyed.select("id"), max(batches, -(-size // batch_bytes)))
     batch = reduce(lambda a, b: a + b, [(F.col("id") >= b).cast("int") for b in bounds], F.lit(0))
     lines = stored(line_rows(keyed, min_chars).withColumn("batch", batch), "lines", "batch")
 
-    runs, dropped = Runs(spark, buckets, fanout), []
-    for b in range(len(bounds) + 1):
-        own = lines.where(F.col("batch") == b).drop("batch")
-        keys = own.groupBy(*KEY).agg(F.min("id").alias("owner"), F.count("*").alias("n"))
-        keys = stored(runs.mark_seen(keys), "line-keys")
-        if b < len(bounds):
-            runs.add(keys.where(~F.col("seen")).select(*KEY))
-        repeated = keys.where(F.col("seen") | (F.col("n") > 1)).select(*KEY, "owner", "seen")
-        dropped.append(own.join(repeated, KEY).where(F.col("seen") | (F.col("id") > F.col("owner"))).select("id", "th", "pos"))
-    runs.drop(runs.names())
-
-    gone = reduce(DataFrame.unionByName, dropped).groupBy("id", "th").agg(F.collect_set("pos").alias("__gone"))
+    kept_runs = runs is not None
+    runs = runs if kept_runs else Runs(spark, int(spark.conf.get("spark.sql.shuffle.partitions")), fanout)
+    dropped = []
+    try:
+        for b in range(len(bounds) + 1):
+            own = lines.where(F.col("batch") == b).drop("batch")
+            keys = own.groupBy(*KEY).agg(F.min("id").alias("owner"), F.count("*").alias("n"))
+            keys = stored(runs.mark_seen(keys), "line-keys")
+            if kept_runs or b < len(bounds):
+                runs.add(keys.where(~F.col("seen")).select(*KEY))
+            dropped.append(lost_lines(own, keys))
+    finally:
+        if not kept_runs:
+            runs.drop(runs.names())
+
+    gone = reduce(DataFrame.unionByName, dropped).groupBy("id", "th").agg(F.array_sort(F.collect_set("pos")).alias("__gone"))
     gone = gone.withColumnsRenamed({"id": "__id", "th": "__th"})
     text_now = F.col("original_text")
-    lines_now = F.split(text_now, "\n")
-    numbers = F.sequence(F.lit(0), F.size(lines_now) - 1)
-    staying = F.transform(F.array_except(numbers, F.col("__gone")), lambda i: F.get(lines_now, i))
-    kept = F.when(F.col("__gone").isNull(), text_now).otherwise(F.array_join(staying, "\n"))
+    kept = F.when(F.col("__gone").isNull(), text_now).otherwise(lines_left(text_now, F.col("__gone")))
     base = docs.drop("original_text", "n_lines", "n_dropped", "__id", "__th", "__gone").withColumn("original_text", text)
     joined = base.join(
         gone,
@@ -148,7 +184,7 @@ def dedup_lines(
     return joined.withColumns(
         {
             text_col: kept,
-            "n_lines": F.size(lines_now).cast("long"),
+            "n_lines": F.size(F.split(text_now, "\n")).cast("long"),
             "n_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"),
         }
     ).drop("__id", "__th", "__gone")
