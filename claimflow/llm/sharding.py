@@ -23,23 +23,26 @@ def _searcher(bounds: list[tuple[int, int]]):
         k, s = key.to_numpy(np.int64), salt.to_numpy(np.int64)
         low, high = np.searchsorted(first, k, "left"), np.searchsorted(first, k, "right")
         out = high.copy()
-        for i in np.flatnonzero(high > low):  # the key is a splitter itself: the salt decides
-            out[i] = low[i] + np.searchsorted(second[low[i] : high[i]], s[i], "right")
+        for at in np.unique(low[high > low]):  # the key is a splitter itself: the salt decides
+            mine = np.flatnonzero((low == at) & (high > low))
+            out[mine] = at + np.searchsorted(second[at : high[mine[0]]], s[mine], "right")
         return pd.Series(out, dtype="int32")
 
     return range_of
 
 
-def splitters(sized: DataFrame, ranges: int, sample_size: int) -> list[tuple[int, int]]:
-    """Quantile boundaries of a size-weighted sample of keys.
+def splitters(sized: DataFrame, total: int, ranges: int, sample_size: int) -> list[tuple[int, int]]:
+    """Quantile boundaries of a size-weighted sample of keys; ``total`` is the sum of all sizes.
 
-    Each row draws the number -log(u) / size, u from a hash of its key; the
-    ``sample_size`` smallest are a weighted sample without replacement that is
-    the same on every run. At most that many keys reach the driver.
+    Each row draws the number -log(u) / size, u from a hash of its key; the ``sample_size`` smallest are a
+    weighted sample without replacement that is the same on every run. A draw is below t with
+    chance size * t at most, so that of all rows about 2 * ``sample_size`` are below 2 * ``sample_size`` / total: only these
+    are sorted, and no more reach the driver, however many partitions there are.
     """
     u = (F.pmod(F.xxhash64("id", "salt", F.lit(7)), F.lit(2**52)) + 0.5) / F.lit(float(2**52))
     drawn = sized.select("id", "salt", (-F.log(u) / F.col("size")).alias("draw"), "size")
-    keys = sorted((r["id"], r["salt"]) for r in drawn.orderBy("draw", "id", "salt").limit(sample_size).collect())
+    low = drawn.where(F.col("draw") < 2.0 * sample_size / max(total, 1))
+    keys = sorted((r["id"], r["salt"]) for r in low.orderBy("draw", "id", "salt").limit(sample_size).collect())
     if not keys:
         return []
     picks = {min(len(keys) - 1, len(keys) * i // ranges) for i in range(1, ranges)}
@@ -54,19 +57,20 @@ def shard_by_bytes(
     ranges_per_shard: int = 32,
     samples_per_range: int = 16,
     row_bytes: int = FIXED_BYTES,
+    range_rows: int = 2_000_000,
 ) -> DataFrame:
     """Deal rows to ``shards`` ranges of the id of near-equal bytes: id, size, text_crc32, shard, slot.
 
     Splitters of a size-weighted sample cut the ids into ``shards *
-    ranges_per_shard`` fine ranges; the exact bytes of each are counted, and a
+    ranges_per_shard`` fine ranges, or as many as leave each about ``range_rows`` rows; the exact bytes of each are counted, and a
     range that crosses a shard's exact boundary, or is overfull, is subdivided row
     by row by its running bytes. So a shard is off the mean by a row's size at
     most, and each window holds one fine range only. Rows of one id are told
     apart by a salt, so a hot id is split like any other; ``slot`` counts rows
     of a shard from 0 without gaps.
 
-    ``samples_per_range * ranges`` keys and a count per range reach the driver,
-    both bounded by the parameters. Null text: size ``row_bytes``, crc32 of ''.
+    About ``2 * samples_per_range * ranges`` keys and a count per range reach the driver: some megabytes
+    at a hundred billion rows. Null text: size ``row_bytes``, crc32 of ''.
     Null id: largest id. Equal rows may be split between shards; which of
     them goes where is no visible difference. No rows: no rows. Other
     columns are ignored.
@@ -81,8 +85,9 @@ def shard_by_bytes(
         F.crc32(text).alias("text_crc32"),
     )
     slim = stored(slim, "shard-keys")  # the salt is fixed from here on
-    ranges = shards * ranges_per_shard
-    bounds = splitters(slim, ranges, ranges * samples_per_range)
+    whole = slim.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).first()
+    ranges = max(shards * ranges_per_shard, -(-whole["rows"] // range_rows))
+    bounds = splitters(slim, whole["bytes"] or 0, ranges, ranges * samples_per_range)
     placed = slim.withColumn("range", _searcher(bounds)("id", "salt") if bounds else F.lit(0))
 
     sums = placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
@@ -103,7 +108,7 @@ def shard_by_bytes(
 
     within = F.row_number().over(Window.partitionBy("shard", "range").orderBy("id", "salt")) - 1
     pieces = cut.groupBy("shard", "range").agg(F.count("*").alias("rows"))
-    # at most ranges + shards pieces: both are parameters
+    # at most ranges + shards pieces
     start = F.sum("rows").over(Window.partitionBy("shard").orderBy("range")) - F.col("rows")
     pieces = pieces.select("shard", "range", start.alias("start"))
     out = cut.withColumn("within", within).join(F.broadcast(pieces), ["shard", "range"])

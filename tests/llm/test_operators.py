@@ -472,6 +472,16 @@ def test_sharding_is_even_and_whole(docs, none, rows, spark):
     sizes = {r["shard"]: r["b"] for r in sharding.shard_by_bytes(hot, shards=24).groupBy("shard").agg(F.sum("size").alias("b")).collect()}
     assert len(sizes) == 24 and max(sizes.values()) - min(sizes.values()) <= 14
     assert sharding.shard_by_bytes(none).count() == 0
+    many = sharding.shard_by_bytes(hot, shards=24, range_rows=2)
+    assert all(r["last"] + 1 == r["n"] for r in many.groupBy("shard").agg(F.max("slot").alias("last"), F.count("*").alias("n")).collect())
+
+
+def test_sharding_samples_few_keys_by_size(spark):
+    """The sample is weighted by size, and only about twice as many rows as asked for are looked at."""
+    sized = spark.range(20_000).select("id", F.col("id").alias("salt"), F.when(F.col("id") < 200, 9900).otherwise(100).alias("size"))
+    total = sized.agg(F.sum("size")).first()[0]
+    bounds = sharding.splitters(sized, total, 100, 1600)
+    assert 60 <= len(bounds) <= 99 and 0.3 < sum(i < 200 for i, _ in bounds) / len(bounds) < 0.7
 
 
 def test_quality_rules_base_matches_brute_force(spark, docs, none, rows):
