@@ -480,8 +480,8 @@ def test_sharding_samples_few_keys_by_size(spark):
     """The sample is weighted by size, and only about twice as many rows as asked for are looked at."""
     sized = spark.range(20_000).select("id", F.col("id").alias("salt"), F.when(F.col("id") < 200, 9900).otherwise(100).alias("size"))
     total = sized.agg(F.sum("size")).first()[0]
-    bounds = sharding.splitters(sized, total, 100, 1600)
-    assert 60 <= len(bounds) <= 99 and 0.3 < sum(i < 200 for i, _ in bounds) / len(bounds) < 0.7
+    bounds = sharding.splitters(sized, total, 20, 160)
+    assert 15 <= len(bounds) <= 19 and 0.25 < sum(i < 200 for i, _ in bounds) / len(bounds) < 0.75
 
 
 def test_quality_rules_base_matches_brute_force(spark, docs, none, rows):
@@ -556,6 +556,55 @@ def test_classifier_never_learns_held_out_labels(spark):
     assert [r["score"] for r in a] == [r["score"] for r in b]
 
 
+def test_classifier_votes_match_brute_force():
+    """Scores against cosines and votes reckoned one by one, ties with the last neighbour and empty texts included."""
+    rng = random.Random(14)
+    texts = [" ".join(rng.choice("abcdefg") * rng.randrange(1, 4) for _ in range(30)) for _ in range(40)]
+    texts[5] = texts[6] = texts[7]
+    labels = np.array([i % 3 == 0 for i in range(40)], dtype=np.int64)
+    counts = quality_classifier.term_counts(texts)
+    space = quality_classifier.Space(np.ones(quality_classifier.WIDTH), counts, labels, (30, 70), 12)
+    got = space.scores([*texts, "", "abc aa"], 5, 3.0)
+    unit = lambda v: v / max(float(np.sqrt((v.astype(np.float64) ** 2).sum())), 1e-9)
+    for text, score in zip([*texts, "", "abc aa"], got, strict=True):
+        c = np.log1p(quality_classifier.term_counts([text])[0])
+        if not c.any():
+            assert score == 0.7
+            continue
+        v = np.concatenate([unit(c[: quality_classifier.BUCKETS]), unit(c[quality_classifier.BUCKETS :])])
+        v = unit(v @ space.terms)
+        cosine = [sum(a * b for a, b in zip(v.tolist(), u.tolist(), strict=True)) for u in space.vectors]
+        last = sorted(cosine)[-5]
+        voting = [i for i, x in enumerate(cosine) if x >= last - 1e-6]
+        share = {0: 30 / (labels == 0).sum(), 1: 70 / (labels == 1).sum()}
+        weight = {i: max(cosine[i], 1e-3) ** 3 * share[int(labels[i])] for i in voting}
+        assert abs(score - sum(weight[i] * labels[i] for i in voting) / sum(weight.values())) < 1e-3
+
+
+def test_classifier_scores_do_not_hang_on_the_sample_mix(spark):
+    """Twice as many rows of one label, all copies: the sample's mix changes, the weights bring it back."""
+    counts = quality_classifier.term_counts(["a b c", "a b d", "x y z", "x y w"])
+    even = quality_classifier.Space(np.ones(quality_classifier.WIDTH), counts, np.array([1, 0, 1, 0]), (100, 900), 3)
+    assert np.allclose(even.scores(["a b c"], 4, 0.0), 0.9)
+
+
+def test_language_posterior_matches_plain_bayes(spark):
+    frame = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate([("abab", "x"), ("abc", "x"), ("zzz", "y"), ("yzyz", "y"), ("zab", "z")])], "doc_id long, text string, lang string")
+    model = language.fit(frame.select("text", "lang"), 64)
+    grams = lambda t: [int(b) for bucket, _ in language.gram_buckets([t], buckets=64) for b in bucket]
+    held = {x: Counter(b for t, y in [("abab", "x"), ("abc", "x"), ("zzz", "y"), ("yzyz", "y"), ("zab", "z")] if y == x for b in grams(t)) for x in "xyz"}
+    rows = {"x": 2, "y": 2, "z": 1}
+    for text in ("ab", "zz", "abz", "zzzzzzzzab" * 50):
+        own = grams(text)
+        log = {x: np.log((rows[x] + 1) / 8) + sum(np.log((held[x][b] + 0.5) / (sum(held[x].values()) + 32)) for b in own) for x in "xyz"}
+        best = max(sorted(log), key=log.get)
+        scaled = {x: v / np.sqrt(len(own)) for x, v in log.items()}
+        odds = np.exp(scaled[best] - max(scaled.values())) / sum(np.exp(v - max(scaled.values())) for v in scaled.values())
+        for batch in ([text], [text, "ab"]):
+            at, score = model.scores(batch)
+            assert model.langs[at[0]] == best and abs(score[0] - odds) < 1e-4
+
+
 def test_language_id_held_out(spark, docs, none):
     frame = corpus(spark)
     found = language.language_id(frame).join(frame.select("doc_id", "lang"), "doc_id").collect()
@@ -571,12 +620,12 @@ def test_language_id_held_out(spark, docs, none):
 def test_language_counts_match_plain_counts(spark):
     frame = spark.createDataFrame([("Ab ba", "x"), ("ab", "y"), ("", "y")], "text string, lang string")
     got = {(r["lang"], r["bucket"]): r["n"] for r in language.language_counts(frame, 512).collect()}
-    want = Counter()
+    want = Counter({("x", -1): 1, ("y", -1): 2})
     for text, lang in (("Ab ba", "x"), ("ab", "y")):
         for bucket, _ in language.gram_buckets([text], buckets=512):
             want.update((lang, int(b)) for b in bucket)
     assert got == dict(want)
-    assert sum(n for (lang, _), n in got.items() if lang == "x") == 5 + 4 + 3
+    assert sum(n for (lang, _), n in got.items() if lang == "x") == 1 + 5 + 4 + 3
 
 
 def test_kept_text_digest(spark, tmp_path):
