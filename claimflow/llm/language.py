@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,10 +44,11 @@ def has_letter(text: str) -> bool:
 
 
 def language_counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """Counts of n-gram buckets by language over all rows: lang, bucket, n. Each partition sums its own rows first."""
+    """Counts of n-gram buckets by language over all rows: lang, bucket, n; the bucket -1 counts the rows. Each partition sums its own first."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
+        rows: Counter[str] = Counter()
         for batch in batches:
             texts, langs = batch["text"].tolist(), batch["lang"].to_numpy()
             for start, end in chunks(texts, CHUNK_CHARS):
@@ -54,12 +56,13 @@ def language_counts(docs: DataFrame, buckets: int) -> DataFrame:
                 total = np.zeros(len(names) * buckets, dtype=np.int64)
                 for bucket, row in gram_buckets(texts[start:end], buckets=buckets):
                     total += np.bincount(own[row] * buckets + bucket, minlength=len(total))
+                rows.update(dict(zip(names, np.bincount(own), strict=True)))
                 for i, name in enumerate(names):
                     part = total[i * buckets : (i + 1) * buckets]
                     sums[name] = sums[name] + part if name in sums else part
         for name, total in sums.items():
             found = np.flatnonzero(total)
-            yield pd.DataFrame({"lang": name, "bucket": found.astype(np.int32), "n": total[found]})
+            yield pd.DataFrame({"lang": name, "bucket": np.append(found, -1).astype(np.int32), "n": np.append(total[found], rows[name])})
 
     rows = docs.mapInPandas(count, "lang string, bucket int, n long")
     return rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
@@ -78,8 +81,12 @@ class Model:
         as neighbouring n-grams are far from independent.
         """
         total, grams = np.tile(self.prior, (len(texts), 1)), np.zeros(len(texts))
-        for start, end in chunks(texts, CHUNK_CHARS):
+        for start, end in chunks(texts, max(CHUNK_CHARS * 8 // (8 + len(self.langs)), 1)):
             for bucket, row in gram_buckets(texts[start:end], buckets=len(self.log_prob)):
+                if end == start + 1:  # a text of any length is one vector of counts
+                    total[start] += np.bincount(bucket, minlength=len(self.log_prob)) @ self.log_prob
+                    grams[start] += len(bucket)
+                    continue
                 first = np.flatnonzero(np.diff(row, prepend=-1))
                 if len(first):
                     at = start + row[first]
@@ -92,9 +99,11 @@ class Model:
 
 
 def fit(training: DataFrame, buckets: int = BUCKETS, most_langs: int = 512) -> Model | None:
-    """Fit on every row with a language (columns text, lang). At most ``most_langs * buckets`` counts reach the driver."""
+    """Fit on every row with a language (columns text, lang); the prior is the share of rows. At most ``most_langs * buckets`` counts reach the driver."""
     counts = language_counts(training, buckets).toPandas()
-    langs = sorted(counts["lang"].unique())
+    rows = counts[counts["bucket"] < 0].set_index("lang")["n"]
+    counts = counts[counts["bucket"] >= 0]
+    langs = sorted(rows.index)
     if not langs:
         return None
     if len(langs) > most_langs:
@@ -103,7 +112,7 @@ def fit(training: DataFrame, buckets: int = BUCKETS, most_langs: int = 512) -> M
     table_[counts["bucket"], counts["lang"].map({x: i for i, x in enumerate(langs)})] = counts["n"]
     smoothed = table_ + 0.5
     log_prob = np.log(smoothed / smoothed.sum(axis=0)).astype(np.float32)
-    share = table_.sum(axis=0) + 1
+    share = rows.loc[langs].to_numpy() + 1
     return Model(langs, log_prob, np.log(share / share.sum()))
 
 
