@@ -57,11 +57,13 @@ def hash_pair(*parts: Column) -> tuple[Column, Column]:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    It is what ``spark.checkpoint.dir`` names. Only where that is unset, as in
-    local tests, a temporary folder of this machine serves for the session.
+    It is what ``spark.checkpoint.dir`` names. Only where that is unset and the master is local, as in
+    tests, a temporary folder of this machine serves for the session.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="claimflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -81,7 +83,10 @@ def stored(frame: DataFrame, name: str, *partition_by: str) -> DataFrame:
 
 
 def broadcast_if_small(frame: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
-    """``frame``, a few narrow columns, with a broadcast hint if it has ``most_rows`` rows at most; else as it is."""
+    """``frame``, a few columns of 8 bytes, with a broadcast hint if it has ``most_rows`` rows at most; else as it is.
+
+    ``frame`` is read once more to count it, so it should be a written table.
+    """
     return F.broadcast(frame) if frame.limit(most_rows + 1).count() <= most_rows else frame
 
 
@@ -91,7 +96,8 @@ def text_hash(text: Column) -> Column:
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` without the rows whose id and text hash are in ``gone`` (columns id and th)."""
-    keys = broadcast_if_small(gone.select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct())
+    keys = stored(gone.select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct(), "gone")
+    keys = broadcast_if_small(keys)
     same_id = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)) == F.coalesce(keys["__id"].cast("long"), F.lit(NO_ID))
     return docs.join(keys, same_id & (text_hash(docs[text_col]) == keys["__th"]), "left_anti")
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimflow.llm.common import BLANKS, broadcast_if_small, table, words_of
+from claimflow.llm.common import BLANKS, broadcast_if_small, stored, table, words_of
 
 BUCKETS = 2**16
 SYMBOLS = "#*$%&|<>"
@@ -127,7 +127,7 @@ def quality_rules(
     """
     marks = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("lid")).agg(F.min(quality_col).alias("mark"))
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    trusted = broadcast_if_small(marks.where(F.col("mark") == 1).select("lid"))
+    trusted = broadcast_if_small(stored(marks.where(F.col("mark") == 1).select("lid"), "trusted"))
     marked = slim.join(trusted, F.col("id") == F.col("lid"), "left")
     ratios = log_ratios(marked.select("text", F.col("lid").isNotNull().alias("trusted")), buckets).astype(np.float32)
 
