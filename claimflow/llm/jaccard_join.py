@@ -236,8 +236,11 @@ def node_cells(classes: DataFrame, forest: Forest, depth: int, open_: DataFrame
         keyed = keyed.select("h1", "h2", "keys", "longer", F.col("o1").isNotNull().alias("open"))
         children = keyed.select("h1", "h2", "open", F.posexplode(F.arrays_zip("keys", "longer")).alias("tree", "z"))
         placed = children.select("h1", "h2", "open", "tree", F.col("z.keys").alias("key"), F.col("z.longer").alias("child"))
-        crowded = placed.groupBy("key").agg(F.count("*").alias("members"), F.max("open").alias("any"), F.min("child").alias("a"), F.max("child").alias("b"))
-        crowded = crowded.where("any and a != b").select("key", "members")
+        # the other nodes go before any shuffle
+        looked_at = stored(keyed.where("open").select(F.explode("keys").alias("key")).distinct(), "open-nodes")
+        placed = placed.join(broadcast_if_small(looked_at), "key", "left_semi")
+        crowded = placed.groupBy("key").agg(F.count("*").alias("members"), F.min("child").alias("a"), F.max("child").alias("b"))
+        crowded = crowded.where("a != b").select("key", "members")
         placed = placed.drop("open", "child")
     met = stored(placed.join(crowded, "key"), "met")
     blocks = F.ceil(F.col("members") / F.lit(cell_rows)).cast("int")
