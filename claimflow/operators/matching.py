@@ -20,27 +20,28 @@ def mail_domain(address: Column) -> Column:
 def candidates(emails: DataFrame, inquiries: DataFrame, lookback_days: int = 90, widen: bool = True) -> DataFrame:
     """Pairs (email_id, inquiry_id, tier) with sent_at in [received_at - lookback, received_at].
 
-    Tier 1: the sender's address, case and all; 2: its domain; 3, only for mails without either and if ``widen``:
-    every inquiry of the window. A mail with a tenant meets that tenant's inquiries alone. All
-    three are hash joins; the third is on tenant scope and a month bucket, each mail being
-    in as many buckets as its window touches.
+    Tier 1: the sender's address, case and all; 2, only for mails without one: its domain; 3, only for mails without either and if
+    ``widen``: every inquiry of the window. A mail with a tenant meets that tenant's inquiries alone. All three are hash joins on
+    tenant scope and a month bucket, each mail being in as many buckets as its window touches, so that a hot
+    address or domain meets a few months of its inquiries and not those of all time.
     """
-    e = emails.select(F.col("id").alias("email_id"), "from_email", F.col("kanzlei_id").alias("tenant"), "received_at")
-    i = inquiries.select(F.col("id").alias("inquiry_id"), "creditor_email", F.col("kanzlei_id").alias("own_tenant"), "sent_at")
+    month = lambda t: F.floor(F.unix_timestamp(t.cast("timestamp")) / (86400 * BUCKET_DAYS))
     since = F.col("received_at") - F.make_interval(days=F.lit(lookback_days))
-    inside = (F.col("sent_at") >= since) & (F.col("sent_at") <= F.col("received_at")) & (F.col("tenant").isNull() | (F.col("tenant") == F.col("own_tenant")))
-    exact = e.join(i, (e["from_email"] == i["creditor_email"]) & inside).select("email_id", "inquiry_id", F.lit(1).alias("tier"))
-    by_domain = e.withColumn("domain", mail_domain(F.col("from_email"))).join(i.withColumn("domain", mail_domain(F.col("creditor_email"))), "domain")
-    near = by_domain.where(inside).select("email_id", "inquiry_id", F.lit(2).alias("tier"))
+    e = emails.select(F.col("id").alias("email_id"), "from_email", F.coalesce("kanzlei_id", F.lit("*")).alias("scope"), "received_at", since.alias("since"))
+    e = e.withColumn("month", F.explode(F.sequence(month(F.col("since")), month(F.col("received_at")))))
+    i = inquiries.select(F.col("id").alias("inquiry_id"), "creditor_email", F.explode(F.array("kanzlei_id", F.lit("*"))).alias("scope"), "sent_at")
+    i = i.withColumn("month", month(F.col("sent_at")))
+    inside = (F.col("sent_at") >= F.col("since")) & (F.col("sent_at") <= F.col("received_at"))
+
+    def tier(mails: DataFrame, offered: DataFrame, number: int, *keys: str) -> DataFrame:
+        return mails.join(offered, ["scope", "month", *keys]).where(inside).select("email_id", "inquiry_id", F.lit(number).alias("tier"))
+
+    left_by = lambda mails, found: mails.join(found.select("email_id").distinct(), "email_id", "left_anti")
+    exact = tier(e.withColumnRenamed("from_email", "address"), i.withColumnRenamed("creditor_email", "address"), 1, "address")
+    rest = left_by(e, exact)
+    near = tier(rest.withColumn("domain", mail_domain(F.col("from_email"))), i.withColumn("domain", mail_domain(F.col("creditor_email"))), 2, "domain")
     found = exact.unionByName(near)
-    best = found.withColumn("best", F.min("tier").over(Window.partitionBy("email_id"))).where("tier = best").drop("best")
-    if not widen:
-        return best
-    rest = e.join(best.select("email_id").distinct(), "email_id", "left_anti")
-    month = lambda t: F.floor(F.unix_timestamp(t.cast("timestamp")) / (86400 * BUCKET_DAYS))
-    rest = rest.withColumn("month", F.explode(F.sequence(month(since), month(F.col("received_at"))))).withColumn("scope", F.coalesce("tenant", F.lit("*")))
-    wide = i.withColumn("month", month(F.col("sent_at"))).withColumn("scope", F.explode(F.array("own_tenant", F.lit("*"))))
-    return best.unionByName(rest.join(wide, ["scope", "month"]).where(inside).select("email_id", "inquiry_id", F.lit(3).alias("tier")))
+    return found.unionByName(tier(left_by(rest, near), i, 3)) if widen else found
 
 
 def score_names(pairs: DataFrame, left: str, right: str) -> DataFrame:
@@ -128,7 +129,8 @@ def decide_match(emails: DataFrame, ranked: DataFrame, min_match: float = 0.70,
     top = F.max(F.when(F.col("rank") == 1, F.lower("creditor_email"))).over(Window.partitionBy("email_id"))
     seen = ranked.withColumn("top_email", top)
     other = F.when(F.coalesce(F.col("top_email"), F.lit("")) == "", F.col("rank") == 2).otherwise(F.lower(F.coalesce("creditor_email", F.lit(""))) != F.col("top_email"))
-    one = F.struct("rank", "inquiry_id", "score", "creditor_email", "letter_type")
+    parts = [c for c in ("sent_at", "name_score", "reference_score", "name_weight", "reference_weight") if c in ranked.columns]
+    one = F.struct("rank", "inquiry_id", "score", "creditor_email", "letter_type", *parts)
     sums = seen.groupBy("email_id").agg(
         F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("score"),
         F.max(F.when(F.col("rank") == 1, F.col("inquiry_id"))).alias("top_inquiry"),
@@ -150,15 +152,31 @@ def decide_match(emails: DataFrame, ranked: DataFrame, min_match: float = 0.70,
 
 
 def match_results(decided: DataFrame) -> DataFrame:
-    """A row for each kept candidate: email_id, inquiry_id, rank, score decimal(5,4), selected, method."""
+    """A row for each kept candidate: email_id, inquiry_id, rank, score and, where known, its components as decimal(5,4), selected, method."""
     rows = decided.select("email_id", "status", F.explode("top").alias("c"))
-    return rows.select("email_id", "c.inquiry_id", "c.rank", F.col("c.score").cast("decimal(5,4)").alias("score"), ((F.col("status") == "auto_matched") & (F.col("c.rank") == 1)).alias("selected"), F.col("status").alias("method"))
+    parts = [f.name for f in rows.schema["c"].dataType.fields if f.name in ("name_score", "reference_score")]
+    digits = [F.col(f"c.{p}").cast("decimal(5,4)").alias(p) for p in ("score", *parts)]
+    return rows.select("email_id", "c.inquiry_id", "c.rank", *digits, ((F.col("status") == "auto_matched") & (F.col("c.rank") == 1)).alias("selected"), F.col("status").alias("method"))
 
 
-def explain(decided: DataFrame, lookback_days: int = 90) -> DataFrame:
-    """email_id and a JSON explanation of the decision."""
+def explain(decided: DataFrame, lookback_days: int = 90, gap_threshold: float = 0.15) -> DataFrame:
+    """email_id and a JSON explanation of the decision.
+
+    Version, status, score, gap and its threshold, the chosen inquiry with its time, filters, weights, and the kept candidates; each
+    candidate has its signals (name and reference score and their weighted shares) where the ranked rows had name_score, reference_score,
+    name_weight and reference_weight.
+    """
+    fields = {f.name for f in decided.schema["top"].dataType.elementType.fields}
+    candidates_ = F.col("top")
+    if {"name_score", "reference_score", "name_weight", "reference_weight"} <= fields:
+        signal = lambda c, s: F.struct(c[f"{s}_score"].alias("score"), c[f"{s}_weight"].alias("weight"), (c[f"{s}_score"] * c[f"{s}_weight"]).alias("weighted"))
+        candidates_ = F.transform("top", lambda c: F.struct(*[c[f].alias(f) for f in sorted(fields)], F.struct(signal(c, "name").alias("client_name"), signal(c, "reference").alias("reference_number")).alias("signals")))
     filters = F.struct(F.lit(lookback_days).alias("lookback_days"))
-    made = F.struct(F.lit("v2").alias("version"), F.col("status").alias("match_status"), "score", "gap", "inquiry_id", filters.alias("filters_applied"), F.col("top").alias("candidates"))
+    sent = F.try_element_at("top", F.lit(1))["sent_at"] if "sent_at" in fields else F.lit(None).cast("string")
+    made = F.struct(
+        F.lit("v2").alias("version"), F.col("status").alias("match_status"), "score", "gap", F.lit(gap_threshold).alias("gap_threshold"), "inquiry_id",
+        sent.alias("sent_at"), filters.alias("filters_applied"), candidates_.alias("candidates"),
+    )
     return decided.select("email_id", F.to_json(made).alias("explanation"))
 
 

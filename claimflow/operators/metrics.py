@@ -16,19 +16,41 @@ LABEL_ORDER = ["actor", "queue", "model", "bucket"]
 def emit_metrics(emails: DataFrame) -> DataFrame:
     """Long rows (metric_type, metric_value, labels, email_id, recorded_at) of processed mails.
 
-    A mail gives its confidence with a bucket, and one error row if it failed. Null confidence: no row.
+    A mail gives its confidence with a bucket, and one error row if it failed; where ``emails`` has the columns, its
+    processing time in milliseconds (``started_at``, ``finished_at``; label actor) and its tokens (``tokens_used``; label
+    model from ``model_name``). Null values: no row.
     """
     bucket = F.when(F.col("confidence") >= 0.85, "high").when(F.col("confidence") >= 0.6, "medium").otherwise("low")
     rows = F.array(
         F.when(F.col("confidence").isNotNull(), F.struct(F.lit("confidence").alias("t"), F.col("confidence").alias("v"), F.create_map(F.lit("bucket"), bucket).alias("l"))),
         F.when(F.col("processing_status") == "failed", F.struct(F.lit("error").alias("t"), F.lit(1.0).alias("v"), F.create_map(F.lit("actor"), F.lit("process_email")).alias("l"))),
     )
+    named = lambda t, value, key, label: F.when(value.isNotNull(), F.struct(F.lit(t).alias("t"), value.cast("double").alias("v"), F.create_map(F.lit(key), label).alias("l")))
+    more = []
+    if {"started_at", "finished_at"} <= set(emails.columns):
+        took = (F.unix_millis(F.col("finished_at").cast("timestamp")) - F.unix_millis(F.col("started_at").cast("timestamp"))).cast("double")
+        more.append(named("processing_time", took, "actor", F.lit("process_email")))
+    if "tokens_used" in emails.columns:
+        model = F.coalesce("model_name", F.lit("unknown")) if "model_name" in emails.columns else F.lit("unknown")
+        more.append(named("tokens", F.col("tokens_used"), "model", model))
+    rows = F.concat(rows, F.array(*more)) if more else rows
     found = emails.select("id", "received_at", F.explode(F.array_compact(rows)).alias("m"))
     return found.select(
         F.col("m.t").alias("metric_type"), F.col("m.v").alias("metric_value"), F.to_json("m.l").alias("labels"), F.col("id").alias("email_id"), F.col("received_at").alias("recorded_at")
     )
 
 
+def queue_depth(emails: DataFrame, at: dt.datetime, waiting: tuple[str, ...] = ("received", "parsed", "processing")) -> DataFrame:
+    """One metric row for each waiting status: how many mails received by ``at`` have it (label queue); 0 where none has."""
+    statuses = emails.sparkSession.createDataFrame([(s,) for s in waiting], "processing_status string")
+    held = emails.where((F.col("received_at") <= F.lit(at)) & F.col("processing_status").isin(*waiting)).groupBy("processing_status").agg(F.count("*").alias("n"))
+    depth = statuses.join(held, "processing_status", "left")
+    return depth.select(
+        F.lit("queue_depth").alias("metric_type"), F.coalesce("n", F.lit(0)).cast("double").alias("metric_value"),
+        F.to_json(F.create_map(F.lit("queue"), F.col("processing_status"))).alias("labels"), F.lit(None).cast("long").alias("email_id"), F.lit(at).alias("recorded_at"),
+    )
+
+
 def labels_key(labels: Column) -> Column:
     """``name:value`` of the first known label, else of the first in the text; ``all`` for none."""
     parsed = F.from_json(labels, "map<string,string>")
@@ -58,6 +80,7 @@ def rollup_operational(raw: DataFrame, accuracy: int = 10_000) -> DataFrame:
         F.percentile_approx("metric_value", [0.95 - margin, 0.95 + margin], accuracy).alias("bracket"),
     )
     place = F.least(F.floor(F.col("count") * F.lit(0.95)), F.col("count") - 1)
+    # a row for each day, type and label: far fewer than raw rows, and Spark broadcasts them where their size allows
     near = keyed.join(sums.select(*keys, place.alias("place"), F.col("bracket")[0].alias("low"), F.col("bracket")[1].alias("high")), keys)
     inside = near.where("metric_value <= high").withColumn("value", F.when(F.col("metric_value") >= F.col("low"), F.col("metric_value")))
     counted = inside.groupBy(*keys, "place", "value").agg(F.count("*").alias("n"))
@@ -93,13 +116,14 @@ def apply_retention(raw: DataFrame, today: dt.date, days: int = 30, time_col: st
 def api_cost(calls: DataFrame, prices: DataFrame, aliases: DataFrame) -> DataFrame:
     """Cost of each call by its model's prices per 1000 tokens; retired names are renamed first, unknown ones take ``default``.
 
-    ``prices`` (model, input_price, output_price) and ``aliases`` (old, new) are small tables of settings.
+    ``prices`` (model, input_price, output_price) and ``aliases`` (old, new) are tables of settings, a row for each model.
+    Without a ``default`` row, calls of unknown models keep a null cost.
     """
     named = calls.join(F.broadcast(aliases), calls["model_name"] == aliases["old"], "left")
     named = named.withColumn("model", F.coalesce("new", "model_name")).drop("old", "new")
     priced = named.join(F.broadcast(prices), "model", "left")
-    default = prices.where("model = 'default'").select(F.col("input_price").alias("din"), F.col("output_price").alias("dout"))
-    priced = priced.join(F.broadcast(default))  # one row
+    default = prices.where("model = 'default'").agg(F.max("input_price").alias("din"), F.max("output_price").alias("dout"))
+    priced = priced.join(F.broadcast(default))  # an aggregate: one row, of nulls if there is no default
     cost = (
         F.coalesce("input_tokens", F.lit(0)) / 1000 * F.coalesce("input_price", "din")
         + F.coalesce("output_tokens", F.lit(0)) / 1000 * F.coalesce("output_price", "dout")

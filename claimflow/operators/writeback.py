@@ -12,7 +12,11 @@ from claimflow.operators.consolidate import first_rank
 from claimflow.operators.matching import mail_domain
 
 #: Domains of mail providers, where an equal domain says nothing (fixed values).
-FREEMAIL = ["aol.com", "email.de", "freenet.de", "gmail.com", "gmx.at", "gmx.ch", "gmx.de", "gmx.net", "googlemail.com", "hotmail.com", "hotmail.de", "icloud.com", "live.com", "live.de", "mac.com", "mail.de", "me.com", "msn.com", "outlook.com", "outlook.de", "posteo.de", "posteo.net", "proton.me", "protonmail.com", "t-online.de", "tuta.io", "tutanota.com", "web.de", "yahoo.com", "yahoo.de"]
+FREEMAIL = [
+    "gmail.com", "googlemail.com", "hotmail.com", "hotmail.de", "outlook.com", "outlook.de", "live.com", "live.de", "msn.com", "yahoo.com", "yahoo.de",
+    "gmx.de", "gmx.net", "gmx.at", "gmx.ch", "web.de", "t-online.de", "freenet.de", "posteo.de", "posteo.net", "mail.de", "email.de", "aol.com",
+    "icloud.com", "me.com", "mac.com", "protonmail.com", "proton.me", "tutanota.com", "tuta.io", "arcor.de", "vodafone.de", "1und1.de",
+]
 
 
 def find_client(keys: DataFrame, clients: DataFrame) -> DataFrame:
@@ -56,15 +60,21 @@ def creditor_matches(search_email: Column, search_name: Column, email: Column, n
     return F.coalesce(by_mail, F.lit(False)) | by_name
 
 
-def find_creditor(mails: DataFrame, creditors: DataFrame, test_mode: bool = False) -> DataFrame:
+#: Name fields of a list entry; those that a table has are compared.
+NAME_FIELDS = ("sender_name", "glaeubiger_name", "actual_creditor", "creditor_name")
+
+
+def find_creditor(mails: DataFrame, creditors: DataFrame, test_mode: bool = False, name_fields: tuple[str, ...] = NAME_FIELDS) -> DataFrame:
     """Per mail (id, client_id, from_email, creditor_name, position) the first entry of the client's list that fits: id, client_id, pos.
 
-    ``creditors`` is the exploded list (client_id, pos, sender_email, sender_name). A known position wins directly; ``test_mode`` leaves addresses aside.
-    Only entries of the mail's own client are compared.
+    ``creditors`` is the exploded list (client_id, pos, sender_email and the ``name_fields`` it has). A known position wins directly; ``test_mode`` leaves addresses aside.
+    Only entries of the mail's own client are compared, by every name field.
     """
-    joined = mails.join(creditors, "client_id")
+    held = [n for n in name_fields if n in creditors.columns]
+    entries = creditors.select("client_id", "pos", "sender_email", *[F.col(n).alias(f"__{n}") for n in held])
+    joined = mails.join(entries, "client_id")
     email = F.lit(None).cast("string") if test_mode else F.col("from_email")
-    fits = (F.col("pos") == F.col("position")) | creditor_matches(email, F.col("creditor_name"), F.col("sender_email"), [F.col("sender_name")])
+    fits = (F.col("pos") == F.col("position")) | creditor_matches(email, F.col("creditor_name"), F.col("sender_email"), [F.col(f"__{n}") for n in held])
     met = joined.where(F.coalesce(fits, F.lit(False)))
     best = met.groupBy("id", "client_id").agg(F.min(F.struct((F.coalesce(F.col("pos") != F.col("position"), F.lit(True))).alias("off"), "pos")).alias("b"))
     return best.select("id", "client_id", "b.pos")
@@ -191,15 +201,23 @@ def audit(emails: DataFrame, creditors: DataFrame, now: dt.datetime, days: int =
     return found.select("id", "issue", severity.alias("severity"), action.alias("action"))
 
 
-def audit_summary(issues: DataFrame, n_mails: Column | int, healthy: float = 0.95) -> DataFrame:
-    """Counts by issue and the health of the period: the share of mails without an issue."""
-    n = F.lit(n_mails).cast("double")
+def audit_summary(issues: DataFrame, mails: DataFrame, healthy: float = 0.95) -> DataFrame:
+    """Counts by issue and the health of the period: the share of ``mails`` without an issue."""
+    n = F.col("__n").cast("double")
     sums = issues.groupBy().pivot("issue", ["stalled", "processing_failed", "incomplete_extraction", "pg_matched_no_mongo_record", "amount_mismatch"]).count().na.fill(0)
     total = sum((F.col(c) for c in sums.columns), F.lit(0))
+    sums = sums.join(F.broadcast(mails.agg(F.count("*").alias("__n"))))  # one row each
     health = F.greatest(F.lit(0.0), (n - total) / F.greatest(n, F.lit(1.0)))
-    return sums.withColumn("health", F.round(health, 6)).withColumn("healthy", F.col("health") >= healthy)
+    return sums.withColumn("health", F.round(health, 6)).withColumn("healthy", F.col("health") >= healthy).drop("__n")
 
 
 def audit_samples(issues: DataFrame, per_kind: int = 5) -> DataFrame:
     """The first ``per_kind`` mails of each issue by id."""
     return issues.withColumn("n", F.row_number().over(Window.partitionBy("issue").orderBy("id"))).where(F.col("n") <= per_kind)
+
+
+def audit_actions(issues: DataFrame, per_action: int = 10) -> DataFrame:
+    """The first ``per_action`` mails of each recovery action by id, with how many the action has in all."""
+    counts = issues.groupBy("action").agg(F.count("*").alias("mails"))
+    first = issues.withColumn("n", F.row_number().over(Window.partitionBy("action").orderBy("id"))).where(F.col("n") <= per_action)
+    return first.join(counts, "action")

@@ -232,7 +232,8 @@ SQL = {
        CASE WHEN issue IN ('stalled', 'processing_failed') THEN 'reprocess' ELSE 'resync' END AS action FROM issues WHERE issue IS NOT NULL""",
     "x5_audit_summary": f"""{_BOTH}, {_AUDIT} SELECT count(*) FILTER (issue = 'stalled') AS stalled, count(*) FILTER (issue = 'processing_failed') AS processing_failed, CAST(0 AS BIGINT) AS incomplete_extraction,
        count(*) FILTER (issue = 'pg_matched_no_mongo_record') AS pg_matched_no_mongo_record, count(*) FILTER (issue = 'amount_mismatch') AS amount_mismatch,
-       round(greatest(0, (5000 - count(issue)) / 5000.0::DOUBLE), 6) AS health, round(greatest(0, (5000 - count(issue)) / 5000.0::DOUBLE), 6) >= 0.95 AS healthy FROM issues""",
+       round(greatest(0, (any_value(n) - count(issue)) / any_value(n)::DOUBLE), 6) AS health, round(greatest(0, (any_value(n) - count(issue)) / any_value(n)::DOUBLE), 6) >= 0.95 AS healthy
+       FROM issues, (SELECT count(*) AS n FROM emails WHERE received_at BETWEEN TIMESTAMP '1999-06-01' - INTERVAL 400 DAY AND TIMESTAMP '1999-06-01') p""",
     "x6_audit_samples": f"{_BOTH}, {_AUDIT} SELECT id, issue FROM issues WHERE issue IS NOT NULL QUALIFY row_number() OVER (PARTITION BY issue ORDER BY id) <= 5",
     "q1_enqueue": inlined("review_queue")
     + """, i AS (SELECT id % 4000 AS e, CASE WHEN id % 30 <> 0 THEN review_reason END AS r, created_at AS moment FROM review_queue WHERE id % 3 = 0),
