@@ -17,27 +17,30 @@ def mail_domain(address: Column) -> Column:
     return F.lower(F.nullif(F.regexp_extract(address, r"@(.+)$", 1), F.lit("")))
 
 
-def candidates(emails: DataFrame, inquiries: DataFrame, lookback_days: int = 90, widen: bool = True) -> DataFrame:
+def candidates(
+    emails: DataFrame, inquiries: DataFrame, lookback_days: int = 90, widen: bool = True, mail_columns: tuple[str, ...] = (), inquiry_columns: tuple[str, ...] = ()
+) -> DataFrame:
     """Pairs (email_id, inquiry_id, tier) with sent_at in [received_at - lookback, received_at].
 
     Tier 1: the sender's address, case and all; 2, only for mails without one: its domain; 3, only for mails without either and if
     ``widen``: every inquiry of the window. A mail with a tenant meets that tenant's inquiries alone. All three are hash joins on
     tenant scope and a month bucket, each mail being in as many buckets as its window touches, so that a hot
-    address or domain meets a few months of its inquiries and not those of all time.
+    address or domain meets a few months of its inquiries and not those of all time. ``mail_columns`` and ``inquiry_columns`` come along,
+    so that pairs need not be joined to their rows again.
     """
     month = lambda t: F.floor(F.unix_timestamp(t.cast("timestamp")) / (86400 * BUCKET_DAYS))
     since = F.col("received_at") - F.make_interval(days=F.lit(lookback_days))
-    e = emails.select(F.col("id").alias("email_id"), "from_email", F.coalesce("kanzlei_id", F.lit("*")).alias("scope"), "received_at", since.alias("since"))
+    e = emails.select(F.col("id").alias("email_id"), "from_email", F.coalesce("kanzlei_id", F.lit("*")).alias("scope"), "received_at", since.alias("since"), *[c for c in mail_columns if c not in ("from_email", "received_at")])
     e = e.withColumn("month", F.explode(F.sequence(month(F.col("since")), month(F.col("received_at")))))
-    i = inquiries.select(F.col("id").alias("inquiry_id"), "creditor_email", F.explode(F.array("kanzlei_id", F.lit("*"))).alias("scope"), "sent_at")
+    i = inquiries.select(F.col("id").alias("inquiry_id"), "creditor_email", F.explode(F.array("kanzlei_id", F.lit("*"))).alias("scope"), "sent_at", *[c for c in inquiry_columns if c not in ("creditor_email", "sent_at")])
     i = i.withColumn("month", month(F.col("sent_at")))
     inside = (F.col("sent_at") >= F.col("since")) & (F.col("sent_at") <= F.col("received_at"))
 
     def tier(mails: DataFrame, offered: DataFrame, number: int, *keys: str) -> DataFrame:
-        return mails.join(offered, ["scope", "month", *keys]).where(inside).select("email_id", "inquiry_id", F.lit(number).alias("tier"))
+        return mails.join(offered, ["scope", "month", *keys]).where(inside).select("email_id", "inquiry_id", F.lit(number).alias("tier"), *mail_columns, *inquiry_columns)
 
     left_by = lambda mails, found: mails.join(found.select("email_id").distinct(), "email_id", "left_anti")
-    exact = tier(e.withColumnRenamed("from_email", "address"), i.withColumnRenamed("creditor_email", "address"), 1, "address")
+    exact = tier(e.withColumn("address", F.col("from_email")), i.withColumn("address", F.col("creditor_email")), 1, "address")
     rest = left_by(e, exact)
     near = tier(rest.withColumn("domain", mail_domain(F.col("from_email"))), i.withColumn("domain", mail_domain(F.col("creditor_email"))), 2, "domain")
     found = exact.unionByName(near)

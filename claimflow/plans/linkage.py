@@ -42,14 +42,13 @@ def r8_unique_senders(spark, sf):
     return keys.where("kind = 'sender'").select("scope", "key", "inquiry_id")
 
 
-def _scored_exact(spark, sf, widen):
+def _scored_exact(spark, sf, widen=True):
     m, i = domain(spark, sf, "emails"), domain(spark, sf, "inquiries")
-    pairs = match.candidates(m, i, widen=widen)
-    e = m.select(F.col("id").alias("email_id"), F.col("client_name").alias("ename"), F.col("reference_number").alias("eref"))
-    q = i.select(F.col("id").alias("inquiry_id"), "client_name", "reference_number", "creditor_email", "sent_at", "letter_type")
-    joined = pairs.join(e, "email_id").join(q, "inquiry_id")
+    asked = m.withColumnsRenamed({"client_name": "ename", "reference_number": "eref"})
+    own, other = ("ename", "eref", "from_email", "received_at"), ("client_name", "reference_number", "creditor_email", "sent_at", "letter_type")
+    pairs = match.candidates(asked, i, widen=widen, mail_columns=own, inquiry_columns=other)
     same = lambda a, b: F.lower(F.trim(a)) == F.lower(F.trim(b))
-    return m, joined.withColumn("score", match.score_exact(same("ename", "client_name"), same("eref", "reference_number")))
+    return m, pairs.withColumn("score", match.score_exact(same("ename", "client_name"), same("eref", "reference_number")))
 
 
 def m1_candidates(spark, sf):
@@ -57,22 +56,22 @@ def m1_candidates(spark, sf):
 
 
 def m1_candidates_wide(spark, sf):
-    found = match.candidates(domain(spark, sf, "emails"), domain(spark, sf, "inquiries"), lookback_days=30)
+    found = match.candidates(domain(spark, sf, "emails"), domain(spark, sf, "inquiries"))
     return found.groupBy("email_id", "tier").agg(F.count("*").alias("candidates"), F.min("inquiry_id").alias("first_inquiry"), F.max("inquiry_id").alias("last_inquiry"))
 
 
-def m9_decide(spark, sf):
-    m, scored = _scored_exact(spark, sf, False)
+def m9_decide(spark, sf, widen=True):
+    m, scored = _scored_exact(spark, sf, widen)
     return match.decide_match(m, match.rank_candidates(scored)).select("email_id", "status", "score", "gap", "n_candidates", "inquiry_id")
 
 
 def match_status_counts(spark, sf):
     """Replies linked by address or domain within 90 days, scored exactly, decided by gap: counts by outcome."""
-    return m9_decide(spark, sf).groupBy("status").agg(F.count("*").alias("mails"), F.sum(F.coalesce("n_candidates", F.lit(0))).alias("candidates"))
+    return m9_decide(spark, sf, False).groupBy("status").agg(F.count("*").alias("mails"), F.sum(F.coalesce("n_candidates", F.lit(0))).alias("candidates"))
 
 
 def m10_match_results(spark, sf):
-    m, scored = _scored_exact(spark, sf, False)
+    m, scored = _scored_exact(spark, sf)
     found = match.match_results(match.decide_match(m, match.rank_candidates(scored)))
     return found.withColumn("score", F.col("score").cast("double"))
 
@@ -91,7 +90,7 @@ def m2_m6_fuzzy(spark, sf):
 
 
 def m11_explain(spark, sf):
-    m, scored = _scored_exact(spark, sf, False)
+    m, scored = _scored_exact(spark, sf)
     found = match.explain(match.decide_match(m, match.rank_candidates(scored)))
     shape = "match_status string, score double, gap double, filters_applied struct<lookback_days:int>, candidates array<struct<inquiry_id:long>>"
     read = F.from_json("explanation", shape)
@@ -99,7 +98,7 @@ def m11_explain(spark, sf):
 
 
 def m13_second_letter(spark, sf):
-    m, scored = _scored_exact(spark, sf, False)
+    m, scored = _scored_exact(spark, sf)
     decided = match.decide_match(m, match.rank_candidates(scored)).where("status <> 'no_recent_inquiry'")
     wanted = decided.join(m.select(F.col("id").alias("email_id"), "intent", F.lit("v1").alias("version")), "email_id")
     return match.prefer_second_letter(wanted).select("email_id", "chosen")
@@ -107,14 +106,13 @@ def m13_second_letter(spark, sf):
 
 def m12_score_v1(spark, sf):
     m, scored = _scored_exact(spark, sf, False)
-    refs = m.select(F.col("id").alias("email_id"), F.array_compact(F.array("reference_number")).alias("references"), "received_at", F.col("from_email"))
-    pairs = scored.join(refs, "email_id").withColumns({"name_score": F.col("score"), "creditor_similarity": F.lit(0.5), "domain_similarity": F.lit(0.0)})
+    pairs = scored.withColumn("references", F.array_compact(F.array("eref"))).withColumns({"name_score": F.col("score"), "creditor_similarity": F.lit(0.5), "domain_similarity": F.lit(0.0)})
     pairs = pairs.withColumn("same_domain", match.mail_domain(F.col("from_email")) == match.mail_domain(F.col("creditor_email")))
     return match.score_v1(pairs).select("email_id", "inquiry_id", "score_v1")
 
 
 def m14_review_payload(spark, sf):
-    m, scored = _scored_exact(spark, sf, False)
+    m, scored = _scored_exact(spark, sf)
     found = match.review_payload(match.decide_match(m, match.rank_candidates(scored)))
     return found.select("email_id", "reason", "priority", F.coalesce(F.size("top"), F.lit(0)).alias("n_top"))
 
@@ -126,22 +124,30 @@ _CANDIDATES = """pairs AS (
   FROM emails e JOIN inquiries i ON lower(split_part(e.from_email, '@', 2)) = lower(split_part(i.creditor_email, '@', 2))
    AND i.sent_at BETWEEN e.received_at - INTERVAL 90 DAY AND e.received_at AND (e.kanzlei_id IS NULL OR e.kanzlei_id = i.kanzlei_id)
 ), best AS (SELECT * FROM pairs QUALIFY tier = min(tier) OVER (PARTITION BY email_id))"""
-_RANKED = _CANDIDATES + """, scored AS (
+#: The whole cascade: tier 3 for mails without a candidate by address or domain.
+_CASCADE = """pairs AS (
+  SELECT e.id AS email_id, i.id AS inquiry_id, CASE WHEN e.from_email = i.creditor_email THEN 1
+    WHEN lower(split_part(e.from_email, '@', 2)) = lower(split_part(i.creditor_email, '@', 2)) THEN 2 ELSE 3 END AS tier
+  FROM emails e JOIN inquiries i ON i.sent_at BETWEEN e.received_at - INTERVAL 90 DAY AND e.received_at AND (e.kanzlei_id IS NULL OR e.kanzlei_id = i.kanzlei_id)
+), best AS (SELECT * FROM pairs QUALIFY tier = min(tier) OVER (PARTITION BY email_id))"""
+_SCORED = """, scored AS (
   SELECT b.*, i.creditor_email, i.sent_at, i.letter_type, e.from_email, e.received_at, e.reference_number AS eref, i.reference_number,
     (CAST(coalesce(lower(e.client_name) = lower(i.client_name), false) AS INT) + CAST(coalesce(lower(e.reference_number) = lower(i.reference_number), false) AS INT)) / 2 AS score
   FROM best b JOIN emails e ON e.id = b.email_id JOIN inquiries i ON i.id = b.inquiry_id
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY email_id ORDER BY score DESC, sent_at DESC, inquiry_id) AS rank FROM scored)"""
-_DECIDED = _RANKED + """, tops AS (SELECT email_id, lower(creditor_email) AS top_email FROM ranked WHERE rank = 1),
+_RANKED, _NEAR_RANKED = _CASCADE + _SCORED, _CANDIDATES + _SCORED
+_OUTCOME = """, tops AS (SELECT email_id, lower(creditor_email) AS top_email FROM ranked WHERE rank = 1),
   sums AS (SELECT email_id, max(score) FILTER (rank = 1) AS score, max(inquiry_id) FILTER (rank = 1) AS top_inquiry,
     max(score) FILTER (rank > 1 AND lower(creditor_email) <> top_email) AS second, count(*) AS n_candidates FROM ranked JOIN tops USING (email_id) GROUP BY 1),
   gaps AS (SELECT e.id AS email_id, s.* EXCLUDE (email_id), CASE WHEN score IS NULL THEN NULL WHEN n_candidates = 1 OR second IS NULL THEN 1.0 ELSE score - second END AS gap FROM emails e LEFT JOIN sums s ON s.email_id = e.id),
   decided AS (SELECT *, CASE WHEN score IS NULL THEN 'no_recent_inquiry' WHEN score < 0.70 THEN 'below_threshold' WHEN gap >= 0.15 THEN 'auto_matched' ELSE 'ambiguous' END AS status FROM gaps)"""
+_DECIDED, _NEAR_DECIDED = _RANKED + _OUTCOME, _NEAR_RANKED + _OUTCOME
 _BOTH = inlined("emails", "inquiries")
 _B36 = "0123456789abcdefghijklmnopqrstuvwxyz"
 _DIGIT = "substr('" + _B36 + "', CAST(v // {} % 36 + 1 AS INT), 1)"
 
 SQL = {
-    "match_status_counts": f"{_BOTH}, {_DECIDED} SELECT status, count(*) AS mails, CAST(sum(coalesce(n_candidates, 0)) AS BIGINT) AS candidates FROM decided GROUP BY 1",
+    "match_status_counts": f"{_BOTH}, {_NEAR_DECIDED} SELECT status, count(*) AS mails, CAST(sum(coalesce(n_candidates, 0)) AS BIGINT) AS candidates FROM decided GROUP BY 1",
     "n1_normalize": inlined("inquiries") + " SELECT id, 'muster ' || lower(creditor_name) || ' gmbh' AS match_style, 'muster, ' || lower(creditor_name) AS inquiry_style, 'Muster' AS last_name FROM inquiries",
     "n4_parse_routing_id": inlined("inquiries")
     + """, p AS (SELECT id, string_split(routing_id, '-') AS s FROM inquiries WHERE routing_id_version = 'v2')
@@ -178,7 +184,7 @@ SQL = {
     "m1_candidates_wide": _BOTH
     + """, near AS (SELECT e.id AS email_id, i.id AS inquiry_id, CASE WHEN e.from_email = i.creditor_email THEN 1
          WHEN lower(split_part(e.from_email, '@', 2)) = lower(split_part(i.creditor_email, '@', 2)) THEN 2 ELSE 3 END AS tier
-       FROM emails e JOIN inquiries i ON i.sent_at BETWEEN e.received_at - INTERVAL 30 DAY AND e.received_at AND (e.kanzlei_id IS NULL OR e.kanzlei_id = i.kanzlei_id)),
+       FROM emails e JOIN inquiries i ON i.sent_at BETWEEN e.received_at - INTERVAL 90 DAY AND e.received_at AND (e.kanzlei_id IS NULL OR e.kanzlei_id = i.kanzlei_id)),
      best AS (SELECT * FROM near QUALIFY tier = min(tier) OVER (PARTITION BY email_id))
      SELECT email_id, tier, count(*) AS candidates, min(inquiry_id) AS first_inquiry, max(inquiry_id) AS last_inquiry FROM best GROUP BY 1, 2""",
     "m9_decide": f"{_BOTH}, {_DECIDED} SELECT email_id, status, score, gap, n_candidates, CASE WHEN status = 'auto_matched' THEN top_inquiry END AS inquiry_id FROM decided",
@@ -187,7 +193,7 @@ SQL = {
     "m11_explain": f"{_BOTH}, {_DECIDED} SELECT email_id, status, gap, 90 AS days, top_inquiry FROM decided",
     "m13_second_letter": f"""{_BOTH}, {_RANKED}, t AS (SELECT email_id, arg_min(inquiry_id, rank) AS top, arg_min(letter_type, rank) AS kind, arg_min(inquiry_id, rank) FILTER (letter_type = 'second') AS second FROM ranked WHERE rank <= 3 GROUP BY 1)
      SELECT email_id, CASE WHEN kind = 'first' AND e.intent = 'payment_plan' AND second IS NOT NULL THEN second ELSE top END AS chosen FROM t JOIN emails e ON e.id = email_id""",
-    "m12_score_v1": f"""{_BOTH}, {_RANKED}, d AS (SELECT *, date_diff('second', sent_at, received_at) // 86400 AS days FROM scored)
+    "m12_score_v1": f"""{_BOTH}, {_NEAR_RANKED}, d AS (SELECT *, date_diff('second', sent_at, received_at) // 86400 AS days FROM scored)
      SELECT email_id, inquiry_id, round(score * 0.4::DOUBLE + 0.3::DOUBLE + CASE WHEN days < 0 THEN 0 WHEN days <= 7 THEN 1 WHEN days <= 14 THEN 0.9 WHEN days <= 30 THEN 0.7 WHEN days <= 60 THEN 0.5 ELSE 0.2 END::DOUBLE * 0.2::DOUBLE
        + CASE WHEN contains(reference_number, eref) OR contains(eref, reference_number) THEN 0.1 ELSE 0 END::DOUBLE, 6) AS score_v1 FROM d""",
     "m14_review_payload": f"""{_BOTH}, {_DECIDED} SELECT email_id, status AS reason, CASE status WHEN 'no_recent_inquiry' THEN 4 ELSE 5 END AS priority, CAST(least(coalesce(n_candidates, 0), 3) AS INT) AS n_top FROM decided WHERE status <> 'auto_matched'""",
