@@ -17,7 +17,7 @@ from claimflow.llm.language import gram_buckets
 BUCKETS = 4096
 MOST_BITS, MOST_LENGTH = 11, 15
 WIDTH = BUCKETS + (MOST_BITS + 1) * (MOST_LENGTH + 1)
-CHUNK_CHARS, CHUNK_ROWS = 400_000, 512
+CHUNK_CHARS, CHUNK_ROWS = 200_000, 128
 
 
 def recurrence_terms(text: str) -> list[int]:
@@ -37,7 +37,7 @@ def term_counts(texts: list[str]) -> np.ndarray:
     flat = out.reshape(-1)
     for bucket, row in gram_buckets(texts, buckets=BUCKETS, lower=False):
         if len(bucket):
-            flat += np.bincount(row * WIDTH + bucket, minlength=len(flat)).astype(np.float32)
+            flat += np.bincount(row * WIDTH + bucket, minlength=len(flat))
     for i, text in enumerate(texts):
         out[i] += np.bincount(np.array(recurrence_terms(text), dtype=np.int64), minlength=WIDTH)
     return out
