@@ -64,10 +64,9 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.slow.get_added_tokens_decoder().values()]
+        self.path = path
+        with open(path, encoding="utf-8") as file:
+            self.added = [t["content"] for t in json.load(file)["added_tokens"]]
         ranks = ranked_bytes(path)
         self.fast = None
         if ranks is not None:
@@ -75,6 +74,13 @@ class Encoder:
 
             self.fast = tiktoken.Encoding("file", pat_str=PRE_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    @functools.cached_property
+    def slow(self):
+        """``tokenizers`` itself, read only where a text needs it: it holds much memory."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str) -> list[int]:
         plain = self.fast and not any(t in text for t in self.added) and not (len(text) >= 4096 and LONG_BLANKS.search(text))
         return self.fast(text) if plain else self.slow.encode(text, add_special_tokens=False).ids
