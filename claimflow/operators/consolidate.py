@@ -91,15 +91,31 @@ def detect_conflicts(joined: DataFrame) -> DataFrame:
     return joined.withColumn("conflicts", F.array_compact(F.array(*rules)))
 
 
-def validate_partial(raw: DataFrame, least: float = 0.0, most: float = 500_000) -> DataFrame:
-    """String fields amount, confidence and intent, cast; failed ones null, listed in ``errors``; needs_review if any failed."""
-    amount, confidence = F.expr("try_cast(amount AS double)"), F.expr("try_cast(confidence AS double)")
-    ok = {"amount": amount.between(least, most), "confidence": confidence.between(0, 1), "intent": F.col("intent").isin("debt_statement", "payment_plan", "rejection", "inquiry", "settlement", "auto_reply", "spam")}
-    bad = [F.when(F.col(n).isNotNull() & ~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in ok.items()]
-    cast = {"amount": amount, "confidence": confidence, "intent": F.col("intent")}
-    kept = [F.when(ok[n], cast[n]).alias(n) for n in ok]
-    rest = [c for c in raw.columns if c not in ok]
-    return raw.select(*rest, *kept, F.array_compact(F.array(*bad)).alias("errors")).withColumn("needs_review", F.size("errors") > 0)
+#: Fields of an extraction: type, least and most, or the values allowed.
+FIELDS = {
+    "amount": ("double", 0.0, 500_000.0),
+    "confidence": ("double", 0.0, 1.0),
+    "intent": ("string", ["debt_statement", "payment_plan", "rejection", "inquiry", "settlement", "auto_reply", "spam"]),
+}
+
+
+def validate_partial(raw: DataFrame, fields: dict[str, tuple] = FIELDS) -> DataFrame:
+    """String columns named in ``fields``, cast; failed ones null, listed in ``errors``; needs_review if any failed.
+
+    A field is (type), (type, allowed values) or (type, least, most). A null is no failure.
+    """
+    cast = {n: F.expr(f"try_cast(`{n}` AS {rule[0]})") for n, rule in fields.items()}
+
+    def fits(name: str, rule: tuple) -> Column:
+        value = cast[name]
+        if len(rule) == 3:
+            return value.between(rule[1], rule[2])
+        return value.isin(rule[1]) if len(rule) == 2 else value.isNotNull()
+
+    ok = {n: F.coalesce(fits(n, rule), F.lit(False)) for n, rule in fields.items()}
+    bad = [F.when(F.col(n).isNotNull() & ~ok[n], F.lit(n)) for n in fields]
+    rest = [c for c in raw.columns if c not in fields]
+    return raw.select(*rest, *[F.when(ok[n], cast[n]).alias(n) for n in fields], F.array_compact(F.array(*bad)).alias("errors")).withColumn("needs_review", F.size("errors") > 0)
 
 
 def checkpoint(confidence: Column, conflicts: Column) -> Column:
@@ -137,6 +153,16 @@ def settlement_warnings(decision: Column, offer: Column, conditions: Column, deb
     return F.array_compact(F.array(*rules))
 
 
+def settlement_consistency(settlements: DataFrame) -> DataFrame:
+    """``settlements`` (decision, offer, conditions, debt, confidence) with ``warnings`` and ``needs_review``.
+
+    A person looks at answers with any warning, without a clear decision, or with a confidence that is under 0.7 or missing.
+    """
+    warned = settlements.withColumn("warnings", settlement_warnings(F.col("decision"), F.col("offer"), F.col("conditions"), F.col("debt")))
+    unclear = F.coalesce(F.col("decision") == "no_clear_response", F.lit(True)) | F.coalesce(F.col("confidence") < 0.7, F.lit(True))
+    return warned.withColumn("needs_review", (F.size("warnings") > 0) | unclear)
+
+
 def case_number(references: Column) -> Column:
     """The first reference of digits, ``_``, ``-`` and ``/`` alone, at least 4 long."""
     return F.try_element_at(F.filter(references, lambda r: r.rlike(r"^[0-9_\-/]{4,}$")), F.lit(1))

@@ -97,14 +97,24 @@ def archive_manifest(attachments: DataFrame, prefix: str = "attachments") -> Dat
 
 
 def export_responses(results: DataFrame) -> DataFrame:
-    """One JSON record per processed mail: keys, amount, route, review flag, references, preview of 500 characters, body."""
+    """One JSON record per processed mail: keys, amount, route, review flag, references, preview of 500 characters, body.
+
+    A column ``attachments`` (array) comes along if ``results`` has one, an empty array for null.
+    """
+    answer = [(F.col("route") == "manual_review").alias("needs_review"), F.coalesce("reference_numbers", F.array().cast("array<string>")).alias("reference_numbers")]
+    return _records(results, "id", "client_id", "debt_amount", "route", *answer)
+
+
+def export_settlements(results: DataFrame) -> DataFrame:
+    """One JSON record per answer to a settlement: keys, decision, offer, conditions, confidence, review flag, preview, body, attachments as above."""
+    return _records(results, F.lit("settlement").alias("kind"), "id", "client_id", "decision", "offer", "conditions", "confidence", "needs_review")
+
+
+def _records(results: DataFrame, *fields: Column | str) -> DataFrame:
     text = F.coalesce("cleaned_body", "body")
-    record = F.struct(
-        "id", "client_id", "debt_amount", "route", (F.col("route") == "manual_review").alias("needs_review"),
-        F.coalesce("reference_numbers", F.array().cast("array<string>")).alias("reference_numbers"),
-        F.nullif(F.left(text, F.lit(500)), F.lit("")).alias("preview"), text.alias("body"),
-    )
-    return results.select("id", F.to_json(record).alias("record"))
+    shown = [F.nullif(F.left(text, F.lit(500)), F.lit("")).alias("preview"), text.alias("body")]
+    files = [F.coalesce("attachments", F.array().cast(results.schema["attachments"].dataType)).alias("attachments")] if "attachments" in results.columns else []
+    return results.select("id", F.to_json(F.struct(*fields, *shown, *files)).alias("record"))
 
 
 def parse_header_block(text: Column) -> Column:

@@ -22,22 +22,26 @@ FREEMAIL = [
 def find_client(keys: DataFrame, clients: DataFrame) -> DataFrame:
     """Per key row (id, aktenzeichen, first_name, last_name) the client: id, client_id, found_by.
 
-    By case number, then with ``_`` for ``/``, then by exact name, then by name in German order without case. The
-    first that hits wins, the smallest client id among equals. Each step is an equi-join; the best rank is taken per id.
+    By case number, then with ``_`` for ``/``, then by exact name, then by name in the German collation without case
+    (umlauts and ``ß`` count, composed or not). The first that hits wins, the smallest client id among equals. Each step is an
+    equi-join; the best rank is taken per id.
     """
     c = clients.select("client_id", F.col("aktenzeichen").alias("caz"), F.col("first_name").alias("cf"), F.col("last_name").alias("cl"))
-    loose = lambda x: F.lower(F.trim(x))
+    german = lambda x: F.collate(F.trim(x), "de_CI")
     made = lambda rank, how, key: F.struct(F.lit(rank).alias("rank"), F.lit(how).alias("found_by"), key.alias("key"))
-    name = lambda a, b, f=lambda x: x: F.concat_ws("\x1f", F.lit("name"), f(a), f(b))
+    name = lambda a, b: F.concat_ws("\x1f", F.lit("name"), a, b)
     case = lambda a: F.concat(F.lit("case\x1f"), a)
     named = F.col("first_name").isNotNull() & F.col("last_name").isNotNull()
     asked = keys.select("id", F.explode(F.array(
         made(1, "case_number", case(F.col("aktenzeichen"))), made(2, "case_number_variant", case(F.replace("aktenzeichen", F.lit("/"), F.lit("_")))),
-        made(3, "name", F.when(named, name(F.col("first_name"), F.col("last_name")))), made(4, "name_without_case", F.when(named, F.concat(F.lit("~"), name(F.col("first_name"), F.col("last_name"), loose)))),
+        made(3, "name", F.when(named, name(F.col("first_name"), F.col("last_name")))),
     )).alias("k")).select("id", "k.*").where("key IS NOT NULL")
-    offered = c.select("client_id", F.explode(F.array(case(F.col("caz")), name(F.col("cf"), F.col("cl")), F.concat(F.lit("~"), name(F.col("cf"), F.col("cl"), loose)))).alias("key")).where("key IS NOT NULL")
-    offered = offered.groupBy("key").agg(F.min("client_id").alias("client_id"))
-    met = asked.join(offered, "key")
+    offered = c.select("client_id", F.explode(F.array(case(F.col("caz")), name(F.col("cf"), F.col("cl")))).alias("key")).where("key IS NOT NULL")
+    met = asked.join(offered.groupBy("key").agg(F.min("client_id").alias("client_id")), "key").select("id", "rank", "client_id", "found_by")
+    # names stay two columns: the collation ignores control characters, so no separator would part them
+    people = c.where("cf IS NOT NULL AND cl IS NOT NULL").groupBy(german(F.col("cf")).alias("first"), german(F.col("cl")).alias("last")).agg(F.min("client_id").alias("client_id"))
+    loose = keys.where(named).select("id", german(F.col("first_name")).alias("first"), german(F.col("last_name")).alias("last")).join(people, ["first", "last"])
+    met = met.unionByName(loose.select("id", F.lit(4).alias("rank"), "client_id", F.lit("name_without_case").alias("found_by")))
     return met.groupBy("id").agg(F.min(F.struct("rank", "client_id", "found_by")).alias("b")).select("id", "b.client_id", "b.found_by")
 
 

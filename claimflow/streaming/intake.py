@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from claimflow.operators.intake import parse_inbound
+from claimflow.operators.intake import parse_inbound, resolve_tenant
 from claimflow.operators.metrics import labels_key
 from claimflow.operators.routing import route_deterministic
 
@@ -26,6 +27,59 @@ def stream_idempotency(keys: DataFrame, ttl: str = "24 hours") -> DataFrame:
     return keys.withWatermark("at", ttl).dropDuplicatesWithinWatermark(["key"])
 
 
+def start_intake(raw: DataFrame, stored: DataFrame, inquiries: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes", **trigger):
+    """Append the new mails of a stream, with prefix and kanzlei_id, as Parquet under ``path``; returns the running query.
+
+    Repeats within ``delay`` are dropped by the stream; older ones by an anti-join against ``stored`` (webhook_id) and what
+    earlier batches have written. A batch that is run again replaces itself.
+    """
+    spark, mails = raw.sparkSession, stream_intake(raw, delay)
+    tenanted = StructType([*mails.schema.fields, StructField("prefix", StringType()), StructField("kanzlei_id", StringType())])
+    placed = StructType([*tenanted.fields, StructField("batch", LongType())])
+    spark.createDataFrame([], tenanted).write.mode("ignore").parquet(f"{path}/batch=-1")
+
+    def take(batch: DataFrame, number: int) -> None:
+        written = spark.read.schema(placed).parquet(path).where(F.col("batch") != number)
+        known = stored.select("webhook_id").unionByName(written.select("webhook_id"))
+        batch.persist()
+        try:
+            new = batch.join(known, "webhook_id", "left_anti")
+            asked = new.select(F.col("webhook_id").alias("id"), "to_addresses", "subject", F.col("raw_body_text").alias("body_text"))
+            tenants = resolve_tenant(asked, inquiries).withColumnRenamed("id", "webhook_id")
+            new.join(tenants, "webhook_id", "left").select(*mails.columns, "prefix", F.col("kanzlei_id").cast("string")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    return mails.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def stream_cached_results(requests: DataFrame, ttl_seconds: int = 86_400) -> DataFrame:
+    """Rows (key, id, at_ms, result) with the result that holds for them, and whether it is a cached one.
+
+    The first row of a key gives its own result and holds it for ``ttl_seconds``; repeats until then get that one. After it the
+    next row is a first one again. The result may be null. A null key is a key of its own.
+    """
+    ttl = ttl_seconds * 1000
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held, until = state.get if state.exists else (None, None)
+        out = []
+        for row in pd.concat(list(batches)).sort_values(["at_ms", "id"]).itertuples():
+            cached = until is not None and row.at_ms < until
+            if not cached:
+                held, until = row.result, int(row.at_ms) + ttl
+            out.append((row.key, row.id, held, cached))
+        state.update((held, until))
+        state.setTimeoutDuration(ttl)
+        yield pd.DataFrame(out, columns=["key", "id", "result", "cached"])
+
+    slim = requests.select("key", "id", "at_ms", "result")
+    return slim.groupBy("key").applyInPandasWithState(update, "key string, id long, result string, cached boolean", "held string, until long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 class Probe:
     """Addresses a sender domain has written to lately, and until when it is blocked. Times are milliseconds."""
 
