@@ -37,6 +37,24 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text) if _OTHER_SPACE.search(text) else text.split()
 
 
+#: Where :func:`slices` may cut: white space, which ends words for every operator.
+_CUT = re.compile(r"[\x20\x09-\x0D]")
+
+
+def slices(text: str, most_chars: int = 1 << 20) -> Iterator[str]:
+    """The text in pieces of about ``most_chars`` characters, each ending with white space or the text; no word is cut."""
+    start = 0
+    while len(text) - start > most_chars and (cut := _CUT.search(text, start + most_chars)):
+        yield text[start : cut.end()]
+        start = cut.end()
+    yield text[start:]
+
+
+def ascii_lowered(text: str) -> str:
+    """Lower-case A-Z alone."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def ascii_lower(column: Column) -> Column:
     """Lower-case A-Z alone; other letters stay as they are. Plain ASCII takes the faster way."""
     plain = F.octet_length(column) == F.char_length(column)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from claimflow.llm.collocations import OP12_SQL, op12_phrase_collocations
 from claimflow.llm.decontamination import op1_decontamination
 from claimflow.llm.jaccard_join import OP9_SQL, op9_jaccard_join
 from claimflow.llm.language import op8_language_id
@@ -11,6 +12,7 @@ from claimflow.llm.packing import op5_best_fit_packing
 from claimflow.llm.quality_classifier import op4_quality_classifier
 from claimflow.llm.quality_rules import op2_quality_rules
 from claimflow.llm.sharding import op10_sharding
+from claimflow.llm.simhash_dedup import op11_simhash_near_dedup
 from claimflow.llm.substring_dedup import OP6_SQL, op6_substring_dedup
 
 QUERIES = {
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_sharding": op10_sharding,
+    "op11_simhash_near_dedup": op11_simhash_near_dedup,
+    "op12_phrase_collocations": op12_phrase_collocations,
 }
 
-SQL = {"op9_jaccard_join": OP9_SQL, "op6_substring_dedup": OP6_SQL, "op3_line_dedup": OP3_SQL, "op7_license_scan": OP7_SQL}
+SQL = {"op9_jaccard_join": OP9_SQL, "op6_substring_dedup": OP6_SQL, "op3_line_dedup": OP3_SQL, "op7_license_scan": OP7_SQL, "op12_phrase_collocations": OP12_SQL}
