@@ -9,6 +9,7 @@ from claimflow.llm.language import op8_language_id
 from claimflow.llm.licenses import OP7_SQL, op7_license_scan
 from claimflow.llm.line_dedup import OP3_SQL, op3_line_dedup
 from claimflow.llm.packing import op5_best_fit_packing
+from claimflow.llm.prefix_trie import OP13_SQL, op13_conversation_trie
 from claimflow.llm.quality_classifier import op4_quality_classifier
 from claimflow.llm.quality_rules import op2_quality_rules
 from claimflow.llm.sharding import op10_sharding
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_sharding": op10_sharding,
     "op11_simhash_near_dedup": op11_simhash_near_dedup,
     "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
-SQL = {"op9_jaccard_join": OP9_SQL, "op6_substring_dedup": OP6_SQL, "op3_line_dedup": OP3_SQL, "op7_license_scan": OP7_SQL, "op12_phrase_collocations": OP12_SQL}
+SQL = {"op9_jaccard_join": OP9_SQL, "op6_substring_dedup": OP6_SQL, "op3_line_dedup": OP3_SQL, "op7_license_scan": OP7_SQL, "op12_phrase_collocations": OP12_SQL, "op13_conversation_trie": OP13_SQL}
