@@ -168,7 +168,7 @@ def turns():
     for c in [*range(-150, 160, 3), *range(200, 230)]:
         for t in range(rng.randrange(1, 9)):
             rows.append((c, rng.choice([t, t, None]), rng.choice(["user", "assistant", None]), rng.choice(["ja", "nein", "Größe 𝄞", "", None])))
-    rows += [(100, t, "user", "lang") for t in range(3000)] + [(170, t, "user", "lang") for t in range(3000)] + [(171, t, "user", f"{t}") for t in range(2500)]
+    rows += [(100, t, "user", "lang") for t in range(200)] + [(170, t, "user", "lang") for t in range(200)] + [(171, t, "user", f"{t}") for t in range(150)]
     rows += [(c, t, "a", "gleich") for c in range(300, 330) for t in range(40)] + [(c, t, "a", "länger") for c in range(400, 430) for t in range(c - 399)]
     rows += [(500, 0, "user", "doppelt"), (500, 0, "user", "doppelt"), (None, 0, "user", "ohne")]
     return [(*r, "a", "b", "c", "d") for r in rows]
