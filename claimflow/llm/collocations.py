@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,8 @@ from claimflow.llm.common import ascii_lowered, slices, stored, table, words_of
 #: Characters that end a piece; as a token of its own, one of them marks the place. No word holds it.
 _EDGES, EDGE = re.compile(r"[.,;:!?\x0A-\x0D]+"), "."
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-COUNTS = "lang string, phrase string, n long"
+COUNTS = "lang string, phrase string, digest long, n long"
+_SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("digest", pa.int64()), ("n", pa.int64())])
 
 
 def tokens_of(text: str) -> list[str]:
@@ -55,74 +57,84 @@ class Proposed:
         return found
 
 
-def count_grams(tokens: list[str], carried: int, seed: np.uint64, most_words: int, before: Proposed | None, now: Proposed | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Phrases of a token list and how often they stand in it, length by length.
+def count_grams(tokens: list[str], carried: int, seed: np.uint64, most_words: int, before: Proposed | None, now: Proposed | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Phrases of a token list that a pass has to count, length by length: where one stands, its digest, how often it stands.
 
-    Counted are those whose contiguous parts are all in ``now`` (None: all phrases), and not those whose parts are all
-    in ``before`` (None: leave none out). Phrases that end in the first ``carried`` tokens were counted with the tokens before.
+    A candidate is a phrase whose contiguous parts are all in ``now``, a word or, without ``now``, any phrase. Of a candidate in ``now`` the
+    place counts and the digest is 0, of any other the digest and the place is -1. What the pass with ``before`` has counted in the
+    same way is left out, and so are phrases that end in the first ``carried`` tokens: they were counted with the tokens before.
     """
     codes, words = pd.factorize(np.array(tokens, dtype=object))
     if not len(words):
         return
     is_word = np.array([w != EDGE for w in words])
     hashes = word_hashes(words) ^ seed
-    if before is None:
-        n = np.bincount(codes[carried:], minlength=len(words))
-        own = np.flatnonzero(is_word & (n > 0))
-        yield words[own], n[own]
-    # of each window of k tokens: its number, whether it is a candidate now and was one before
-    number, each, fresh, old = codes, hashes, is_word[codes], is_word[codes] if before else np.zeros(len(codes), dtype=bool)
-    for k in range(2, most_words + 1):
-        if len(tokens) < k:
-            return
-        if now:
-            fresh = fresh & now.holds(each)[number]
-        if before:
-            old = old & before.holds(each)[number]
-        fresh, old = fresh[:-1] & fresh[1:], old[:-1] & old[1:]
+    no = np.zeros(len(codes), dtype=bool)
+    # of each window of k tokens: the number of its phrase, whether that is a candidate now and was one before
+    number, each, at, fresh, old = codes, hashes, None, is_word[codes], is_word[codes] if before else no
+    for k in range(1, most_words + 1):
         start = np.flatnonzero(fresh)
-        if not len(start):
-            return
-        last = codes[start + k - 1]
-        keys = number[start].astype(np.int64) * len(words) + last
-        _, at, place = np.unique(keys, return_index=True, return_inverse=True)
-        hashed = longer_hash(each[number[start[at]]], hashes[last[at]])
-        asked = ~old[start] & (start + k > carried)
-        n = np.bincount(place[asked], minlength=len(at))
+        if k > 1:
+            if not len(start):
+                return
+            last = codes[start + k - 1]
+            keys, first, place = np.unique(number[start].astype(np.int64) * len(words) + last, return_index=True, return_inverse=True)
+            at, was = start[first], each
+            each = longer_hash(was[number[at]], hashes[last[first]])
+            number = np.full(len(fresh), 0, dtype=np.int64)
+            number[start] = place
+        held_now = now.holds(each) if now else np.zeros(len(each), dtype=bool)
+        held_before = before.holds(each) if before else np.zeros(len(each), dtype=bool)
+        mine = number[start]
+        asked = np.where(held_now[mine], ~(old[start] & held_before[mine]), ~old[start]) & (start + k > carried)
+        n = np.bincount(mine[asked], minlength=len(each))
         own = np.flatnonzero(n)
-        yield np.array([" ".join(tokens[i : i + k]) for i in start[at[own]].tolist()], dtype=object), n[own]
-        number = np.zeros(len(fresh), dtype=np.int64)
-        number[start], each = place, hashed
+        places = np.full(len(each), -1, dtype=np.int64)
+        places[number[start]] = start
+        yield np.where(held_now[own], places[own], -1), np.where(held_now[own], np.uint64(0), each[own]), n[own]
+        if now:
+            fresh = fresh & held_now[number]
+            old = old & held_before[number] if before else old
+        if len(fresh) < 2:
+            return
+        fresh, old = fresh[:-1] & fresh[1:], old[:-1] & old[1:]
 
 
 def lang_seed(lang: str) -> np.uint64:
     return np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 7))
 
 
-def counts(rows: DataFrame, most_words: int, before: Proposed | None, now: Proposed | None, most_tokens: int = 1 << 19) -> DataFrame:
-    """Exact counts over ``rows`` (lang, text) of the phrases that :func:`count_grams` asks for: lang, phrase, n.
+def counts(rows: DataFrame, most_words: int, before: Proposed | None, now: Proposed | None, most_tokens: int = 1 << 18) -> DataFrame:
+    """Counts over ``rows`` (lang, text) of what :func:`count_grams` asks for: lang, phrase, digest, n.
 
-    Tokens of some texts of a language are counted together; a long text is taken in slices, each with
+    Rows with a phrase are exact; those with a digest alone, which stands for language and phrase, may be too high if digests
+    meet. Tokens of some texts of a language are counted together; a long text is taken in slices, each with
     the last words of the one before. The row of the empty phrase holds the number of words, in a first pass.
     """
 
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[str]] = {}
         waiting = 0
 
-        def flushed(lang: str, tokens: list[str], carried: int) -> Iterator[pd.DataFrame]:
-            total = 0
-            for k, (phrases, n) in enumerate(count_grams(tokens, carried, lang_seed(lang), most_words, before, now)):
-                total += int(n.sum()) if k == 0 else 0
-                yield pd.DataFrame({"lang": lang, "phrase": phrases, "n": n})
-            if before is None and total:
-                yield pd.DataFrame({"lang": [lang], "phrase": [""], "n": [total]})
+        def flushed(lang: str, tokens: list[str], carried: int) -> Iterator[pa.RecordBatch]:
+            if before is None and (total := sum(1 for t in tokens[carried:] if t != EDGE)):
+                yield pa.RecordBatch.from_pydict({"lang": [lang], "phrase": [""], "digest": [0], "n": [total]}, schema=_SCHEMA)
+            for k, (places, digests, n) in enumerate(count_grams(tokens, carried, lang_seed(lang), most_words, before, now), 1):
+                named = places >= 0
+                phrases = [" ".join(tokens[i : i + k]) for i in places[named].tolist()]
+                if phrases:
+                    same = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(phrases), dtype=np.int64)))
+                    yield pa.RecordBatch.from_arrays([same, pa.array(phrases, pa.string()), pa.array(digests[named].view(np.int64)), pa.array(n[named])], schema=_SCHEMA)
+                if not named.all():
+                    none = pa.nulls(int((~named).sum()), pa.string())
+                    yield pa.RecordBatch.from_arrays([none, none, pa.array(digests[~named].view(np.int64)), pa.array(n[~named])], schema=_SCHEMA)
 
         for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
+            langs = batch.column("lang").to_pylist()
+            for i, lang in enumerate(langs):
                 tokens = held.setdefault(lang, [])
                 carried, size = 0, len(tokens)
-                for part in slices(text):
+                for part in slices(batch.column("text")[i].as_py()):
                     tokens += tokens_of(part)
                     if len(tokens) >= most_tokens:
                         yield from flushed(lang, tokens, carried)
@@ -133,7 +145,7 @@ def counts(rows: DataFrame, most_words: int, before: Proposed | None, now: Propo
                     tokens = held[lang] = []
                 tokens.append(EDGE)
                 waiting += len(tokens) - size
-                if waiting >= 4 * most_tokens:  # many languages
+                if waiting >= 8 * most_tokens:  # many languages
                     for each, rest in held.items():
                         yield from flushed(each, rest, 0)
                     held.clear()
@@ -141,11 +153,11 @@ def counts(rows: DataFrame, most_words: int, before: Proposed | None, now: Propo
         for lang, tokens in held.items():
             yield from flushed(lang, tokens, 0)
 
-    return rows.mapInPandas(tally, COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(tally, COUNTS).groupBy("lang", "phrase", "digest").agg(F.sum("n").alias("n"))
 
 
-def proposals(phrases: DataFrame, words: int, known: Proposed | None = None) -> Proposed:
-    """``phrases`` (lang, phrase), and those of ``known``, as a bitmap of ``words`` 64-bit words.
+def proposals(digests: DataFrame, words: int, known: Proposed | None = None) -> Proposed:
+    """The phrases of ``digests``, and those of ``known``, as a bitmap of ``words`` 64-bit words.
 
     Tasks set bits in maps of their own, which are joined by or; the driver gets the map, whose size is fixed.
     """
@@ -153,22 +165,15 @@ def proposals(phrases: DataFrame, words: int, known: Proposed | None = None) ->
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.zeros(words, dtype=np.uint64)
         for batch in batches:
-            for lang, group in batch.groupby("lang"):
-                for length, same in group.groupby(group["phrase"].str.count(" ")):
-                    parts = [word_hashes([p.split(" ")[i] for p in same["phrase"]]) ^ lang_seed(lang) for i in range(length + 1)]
-                    hashed = parts[0]
-                    for last in parts[1:]:
-                        hashed = longer_hash(hashed, last)
-                    for slot in Proposed.slots(hashed, words * 64):
-                        np.bitwise_or.at(bits, (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63)))
+            for slot in Proposed.slots(batch["digest"].to_numpy().view(np.uint64), words * 64):
+                np.bitwise_or.at(bits, (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63)))
         at = np.flatnonzero(bits)
         yield pd.DataFrame({"at": at, "bits": bits[at].view(np.int64)})
 
-    marked = phrases.select("lang", "phrase").mapInPandas(mark, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    marked = digests.select("digest").mapInPandas(mark, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     bits = np.zeros(words, dtype=np.uint64) if known is None else known.bits.copy()
-    at = marked["at"].combine_chunks().to_numpy(zero_copy_only=False) if isinstance(marked, pa.Table) and marked.num_rows else np.zeros(0, dtype=np.int64)
-    if len(at):
-        bits[at] |= marked["bits"].combine_chunks().to_numpy(zero_copy_only=False).view(np.uint64)
+    if marked.num_rows:
+        bits[marked["at"].to_numpy()] |= marked["bits"].to_numpy().view(np.uint64)
     return Proposed(bits)
 
 
@@ -176,31 +181,25 @@ def frequent_phrases(docs: DataFrame, lang_col: str, text_col: str, most_words:
     """Written table of all phrases of ``most_words`` words at most that stand ``least`` times or more, and the words of each language.
 
     A sample of the texts proposes phrases: those found there as often as a phrase at the bound would be on average, twice at least. A full pass counts
-    all proposals and their negative border: phrases that aren't proposed but whose contiguous parts all are (words
-    always). Counts are exact, so a border phrase that reaches ``least`` is a failure of the sample: it is proposed too, and
-    another pass counts what thereby enters the border, and only that. A phrase's parts are as frequent as itself, so
-    when no failure is left that has longer phrases, all frequent phrases are counted: ``most_words`` passes at most.
+    proposals and their negative border: phrases that aren't proposed but whose contiguous parts all are (words always). The border,
+    by far the larger part, is counted by digests, which can only overstate. What reaches ``least`` there is a failure of the sample: it is
+    proposed too, and another pass counts it exactly and what thereby enters the border, and only that. A phrase's parts
+    are as frequent as itself, so when a border holds no failure all frequent phrases are counted: ``most_words`` + 1 passes at most.
     """
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rounds = 10_000
     drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) < int(sample * rounds))
-    found = counts(drawn, most_words, None, None).where((F.col("n") >= max(2, round(least * sample))) & (F.col("phrase") != ""))
-    now, before = proposals(found, filter_words), None
-    tables, words = [], None
+    found = counts(drawn, most_words, None, None).where((F.col("n") >= max(2, round(least * sample))) & F.col("phrase").isNull())
+    now, before, tables = proposals(found, filter_words), None, []
     while True:
-        counted = stored(counts(rows, most_words, before, now).where((F.col("n") >= least) | (F.col("phrase") == "")), "phrases")
-        if words is None:
-            words = stored(counted.where("phrase = ''").select("lang", F.col("n").alias("words")), "words")
-        tables.append(counted.where((F.col("phrase") != "") & (F.col("n") >= least)))
-        # failures of the border: frequent and not proposed. All that is frequent is proposed next; what was, adds no bit
-        after = proposals(tables[-1].where(F.size(F.split("phrase", " ")) < most_words), filter_words, now)
-        if (after.bits == now.bits).all():
+        tables.append(stored(counts(rows, most_words, before, now).where((F.col("n") >= least) | (F.col("phrase") == "")), "phrases"))
+        failures = tables[-1].where("phrase IS NULL")
+        if failures.isEmpty():
             break
-        before, now = now, after
-    union = tables[0]
-    for more in tables[1:]:
-        union = union.unionByName(more)
-    return stored(union, "frequent"), words
+        before, now = now, proposals(failures, filter_words, now)
+    words = stored(tables[0].where("phrase = ''").select("lang", F.col("n").alias("words")), "words")
+    exact = [t.where((F.col("phrase") != "") & (F.col("n") >= least)).select("lang", "phrase", "n") for t in tables]
+    return stored(reduce(DataFrame.unionByName, exact), "frequent"), words
 
 
 def collocations(
