@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from claimflow.functions.similarity import name_similarity, reference_similarity
+from claimflow.sources.tables import written
 
 BUCKET_DAYS = 30
 
@@ -17,6 +18,23 @@ def mail_domain(address: Column) -> Column:
     return F.lower(F.nullif(F.regexp_extract(address, r"@(.+)$", 1), F.lit("")))
 
 
+def _month(at: Column) -> Column:
+    return F.floor(F.unix_timestamp(at.cast("timestamp")) / (86400 * BUCKET_DAYS))
+
+
+def _windows(emails: DataFrame, lookback_days: int, columns: tuple[str, ...]) -> DataFrame:
+    """Mails with the scope and the time window of their candidates."""
+    since = F.col("received_at") - F.make_interval(days=F.lit(lookback_days))
+    more = [c for c in columns if c not in ("from_email", "received_at")]
+    return emails.select(F.col("id").alias("email_id"), "from_email", F.coalesce("kanzlei_id", F.lit("*")).alias("scope"), "received_at", since.alias("since"), *more)
+
+
+def _offers(inquiries: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Inquiries in the scope of their tenant and in that of mails without one."""
+    more = [c for c in columns if c not in ("creditor_email", "sent_at")]
+    return inquiries.select(F.col("id").alias("inquiry_id"), "creditor_email", F.explode(F.array("kanzlei_id", F.lit("*"))).alias("scope"), "sent_at", *more)
+
+
 def candidates(
     emails: DataFrame, inquiries: DataFrame, lookback_days: int = 90, widen: bool = True, mail_columns: tuple[str, ...] = (), inquiry_columns: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -28,12 +46,8 @@ def candidates(
     address or domain meets a few months of its inquiries and not those of all time. ``mail_columns`` and ``inquiry_columns`` come along,
     so that pairs need not be joined to their rows again.
     """
-    month = lambda t: F.floor(F.unix_timestamp(t.cast("timestamp")) / (86400 * BUCKET_DAYS))
-    since = F.col("received_at") - F.make_interval(days=F.lit(lookback_days))
-    e = emails.select(F.col("id").alias("email_id"), "from_email", F.coalesce("kanzlei_id", F.lit("*")).alias("scope"), "received_at", since.alias("since"), *[c for c in mail_columns if c not in ("from_email", "received_at")])
-    e = e.withColumn("month", F.explode(F.sequence(month(F.col("since")), month(F.col("received_at")))))
-    i = inquiries.select(F.col("id").alias("inquiry_id"), "creditor_email", F.explode(F.array("kanzlei_id", F.lit("*"))).alias("scope"), "sent_at", *[c for c in inquiry_columns if c not in ("creditor_email", "sent_at")])
-    i = i.withColumn("month", month(F.col("sent_at")))
+    e = _windows(emails, lookback_days, mail_columns).withColumn("month", F.explode(F.sequence(_month(F.col("since")), _month(F.col("received_at")))))
+    i = _offers(inquiries, inquiry_columns).withColumn("month", _month(F.col("sent_at")))
     inside = (F.col("sent_at") >= F.col("since")) & (F.col("sent_at") <= F.col("received_at"))
 
     def tier(mails: DataFrame, offered: DataFrame, number: int, *keys: str) -> DataFrame:
@@ -47,6 +61,88 @@ def candidates(
     return found.unionByName(tier(left_by(rest, near), i, 3)) if widen else found
 
 
+def counted_until(points: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
+    """``points`` (keys, at, point) and ``bounds`` (keys, at, bound, closed) in one table, with n.
+
+    For a bound n counts the points of its keys before it, those at its very time too if it is ``closed``. For a point n is its own place, by time,
+    then largest ``point`` first. Points are summed per day, the days' sums added up, and only those of one day are put in
+    order together, so no key is one task's and work grows with points and bounds, not with their pairs.
+    """
+    day = F.to_date("at")
+    both = points.select(*keys, "at", "point", F.lit(None).cast("long").alias("bound"), F.lit(1).alias("turn")).unionByName(
+        bounds.select(*keys, "at", F.lit(None).cast("long").alias("point"), "bound", F.when(F.col("closed"), 2).otherwise(0).alias("turn"))
+    )
+    both = both.withColumn("day", day)
+    daily = points.groupBy(*keys, day.alias("day")).agg(F.count("*").alias("points"))
+    # days with bounds alone have a row too
+    days = bounds.select(*keys, day.alias("day"), F.lit(0).cast("long").alias("points")).distinct().unionByName(daily).groupBy(*keys, "day").agg(F.sum("points").alias("points"))
+    before = F.coalesce(F.sum("points").over(Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = days.select(*keys, "day", before.alias("before"))
+    inside = Window.partitionBy(*keys, "day").orderBy("at", "turn", F.desc("point")).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("inside", F.sum((F.col("turn") == 1).cast("long")).over(inside)).join(days, [*keys, "day"]).select(*keys, "at", "point", "bound", "turn", (F.col("before") + F.col("inside")).alias("n"))
+
+
+def _window_bounds(windows: DataFrame, keys: list[str]) -> DataFrame:
+    """The open lower and the closed upper end of each mail's window; ``bound`` is twice the mail's id, one more for the upper end."""
+    ends = F.array(F.struct(F.col("since").cast("timestamp").alias("at"), F.lit(False).alias("closed")), F.struct(F.col("received_at").cast("timestamp").alias("at"), F.lit(True).alias("closed")))
+    spread = windows.select(*keys, "email_id", F.explode(ends).alias("x"))
+    return spread.select(*keys, "x.at", (F.col("email_id") * 2 + F.col("x.closed").cast("long")).alias("bound"), "x.closed")
+
+
+def _window_counts(counted: DataFrame) -> DataFrame:
+    """email_id, low and high: how many points stand before and up to the end of each mail's window."""
+    bound = F.col("bound")
+    return counted.where("bound IS NOT NULL").groupBy(F.shiftright(bound, 1).alias("email_id")).agg(F.max(F.when(bound % 2 == 0, F.col("n"))).alias("low"), F.max(F.when(bound % 2 != 0, F.col("n"))).alias("high"))
+
+
+def rank_exact(emails: DataFrame, inquiries: DataFrame, lookback_days: int = 90, keep: int = 3, name: str = "client_name", reference: str = "reference_number") -> DataFrame:
+    """Candidates as of :func:`candidates`, scored by :func:`score_exact` and ranked: all that a decision needs of them.
+
+    The third tier isn't listed, as it pairs a mail with every inquiry of its tenant's window. Those of a score above 0 have its name or reference, so
+    they come from joins on these; of the others only the newest are listed, by their places in the tenant's order of time (:func:`counted_until`),
+    ``keep`` at least where there are so many. ``offered`` is the number of all candidates and ``other_address`` whether one of them
+    has another address than the first of the ranking; :func:`decide_match` reads both. Mails without name and
+    reference are scored 0 throughout. ``name`` and ``reference`` are columns of both tables; ids are integers.
+    """
+    own, other = {name: "__name", reference: "__reference"}, (name, reference, "creditor_email", "sent_at", "letter_type")
+    asked = written(emails.select("id", "from_email", "kanzlei_id", "received_at", name, reference).withColumnsRenamed(own), "asked")
+    inquiries = written(inquiries.select("id", "kanzlei_id", *other), "offered")
+    plain = lambda c: F.lower(F.trim(F.col(c)))
+    score = score_exact(plain("__name") == plain(name), plain("__reference") == plain(reference))
+    found = written(candidates(asked, inquiries, lookback_days, False, ("__name", "__reference"), other), "near")
+    windows = _windows(asked, lookback_days, ("__name", "__reference"))
+    rest = windows.join(found.select("email_id").distinct(), "email_id", "left_anti")
+    offers, address = _offers(inquiries, other), F.lower("creditor_email")
+
+    # places of the tenant's inquiries in time, and of each window's ends among them
+    points = offers.select("scope", F.col("sent_at").cast("timestamp").alias("at"), F.col("inquiry_id").alias("point"), address.alias("address"))
+    counted = written(counted_until(points, _window_bounds(rest, ["scope"]), ["scope"]), "counted")
+    ends = _window_counts(counted).where("high > low")
+    rest = written(rest.join(ends, "email_id"), "rest")
+    newest = rest.withColumn("place", F.explode(F.sequence(F.greatest(F.col("low") + 1, F.col("high") - 2 * keep + 2), F.col("high"))))
+    places = counted.where("point IS NOT NULL").select("scope", F.col("point").alias("inquiry_id"), F.col("n").alias("place"))
+    newest = newest.join(places.join(offers, ["scope", "inquiry_id"]), ["scope", "place"])
+
+    mails = rest.withColumn("month", F.explode(F.sequence(_month(F.col("since")), _month(F.col("received_at")))))
+    dated = offers.withColumn("month", _month(F.col("sent_at")))
+    inside = (F.col("sent_at") >= F.col("since")) & (F.col("sent_at") <= F.col("received_at"))
+    keyed = lambda mine, theirs: mails.withColumn("key", plain(mine)).join(dated.withColumn("key", plain(theirs)), ["scope", "month", "key"]).where(inside)
+    columns = ["email_id", "inquiry_id", "scope", "since", "received_at", "__name", "__reference", *other, "low", "high"]
+    listed = newest.select(*columns).unionByName(keyed("__name", name).select(*columns)).unionByName(keyed("__reference", reference).select(*columns))
+    listed = listed.dropDuplicates(["email_id", "inquiry_id"]).withColumn("score", score)
+    ranked = written(rank_candidates(listed), "ranked")
+
+    # is there any candidate of another address: those of the first one's address are counted in the window
+    first = ranked.where("rank = 1").select("email_id", "scope", "since", "received_at", address.alias("address"), (F.col("high") - F.col("low")).alias("offered"))
+    same = counted_until(points, _window_bounds(first.where("address <> ''"), ["scope", "address"]), ["scope", "address"])
+    same = _window_counts(same).select("email_id", (F.col("high") - F.col("low")).alias("same"))
+    sums = first.join(same, "email_id", "left").select("email_id", "offered", (F.col("offered") > F.coalesce("same", F.lit(0))).alias("other_address"))
+    shared = ["email_id", "inquiry_id", "tier", "score", "rank", "level", "__name", "__reference", *other]
+    wide = ranked.withColumn("tier", F.lit(3)).select(*shared).join(sums, "email_id")
+    near = rank_candidates(found.withColumn("score", score)).select(*shared).withColumns({"offered": F.lit(None).cast("long"), "other_address": F.lit(None).cast("boolean")})
+    return near.unionByName(wide)
+
+
 def score_names(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """``pairs`` with name_score and name_algorithm; each distinct pair of names is scored once."""
     distinct = pairs.select(left, right).distinct()
@@ -127,8 +223,11 @@ def decide_match(emails: DataFrame, ranked: DataFrame, min_match: float = 0.70,
     """Per mail: status, score, gap, the selected inquiry and the ``keep`` best candidates.
 
     The gap is that to the best candidate of another creditor address, lower-cased; to the plain second if the
-    top has none; 1 if there is no such candidate.
+    top has none; 1 if there is no such candidate. Where :func:`rank_exact` hasn't listed all candidates, what it knows of
+    the others counts: their number, and that one of another address has a score of 0.
     """
+    if "offered" not in ranked.columns:
+        ranked = ranked.withColumns({"offered": F.lit(None).cast("long"), "other_address": F.lit(None).cast("boolean")})
     top = F.max(F.when(F.col("rank") == 1, F.lower("creditor_email"))).over(Window.partitionBy("email_id"))
     seen = ranked.withColumn("top_email", top)
     other = F.when(F.coalesce(F.col("top_email"), F.lit("")) == "", F.col("rank") == 2).otherwise(F.lower(F.coalesce("creditor_email", F.lit(""))) != F.col("top_email"))
@@ -138,10 +237,12 @@ def decide_match(emails: DataFrame, ranked: DataFrame, min_match: float = 0.70,
         F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("score"),
         F.max(F.when(F.col("rank") == 1, F.col("inquiry_id"))).alias("top_inquiry"),
         F.max(F.when(other & (F.col("rank") > 1), F.col("score"))).alias("second"),
-        F.count("*").alias("n_candidates"),
+        F.coalesce(F.max("offered"), F.count("*")).alias("n_candidates"),
+        F.max("other_address").alias("other_address"),
         F.array_sort(F.collect_list(F.when(F.col("rank") <= keep, one))).alias("top"),
     )
-    joined = emails.select(F.col("id").alias("email_id")).join(sums, "email_id", "left")
+    unlisted = F.when(F.col("other_address"), 0.0)
+    joined = emails.select(F.col("id").alias("email_id")).join(sums, "email_id", "left").withColumn("second", F.coalesce("second", unlisted))
     gap = F.when((F.col("n_candidates") == 1) | F.col("second").isNull(), 1.0).otherwise(F.col("score") - F.col("second"))
     decided = joined.withColumn("gap", F.when(F.col("score").isNotNull(), gap))
     status = (
@@ -151,7 +252,7 @@ def decide_match(emails: DataFrame, ranked: DataFrame, min_match: float = 0.70,
         .otherwise("ambiguous")
     )
     decided = decided.withColumn("status", status)
-    return decided.withColumn("inquiry_id", F.when(F.col("status") == "auto_matched", F.col("top_inquiry"))).drop("top_inquiry", "second")
+    return decided.withColumn("inquiry_id", F.when(F.col("status") == "auto_matched", F.col("top_inquiry"))).drop("top_inquiry", "second", "other_address")
 
 
 def match_results(decided: DataFrame) -> DataFrame:

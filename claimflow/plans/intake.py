@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from claimflow.operators import intake as ops
 from claimflow.plans.linkage import routed_emails
 from claimflow.sources.adapters import domain, inlined
+from claimflow.sources.tables import scratch_dir
 from claimflow.streaming import intake as streams
 
 
@@ -107,7 +107,7 @@ def s3_over_limit(spark, sf):
 def _drained(frame, name):
     """All that a stream gives for the input there is, written to the shared folder and read again."""
     spark = frame.sparkSession
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='claimflow-')}/{name}-{uuid.uuid4().hex}"
+    base = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     query = frame.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").option("path", f"{base}/rows").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(frame.schema).parquet(f"{base}/rows")

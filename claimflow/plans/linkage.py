@@ -42,13 +42,9 @@ def r8_unique_senders(spark, sf):
     return keys.where("kind = 'sender'").select("scope", "key", "inquiry_id")
 
 
-def _scored_exact(spark, sf, widen=True):
-    m, i = domain(spark, sf, "emails"), domain(spark, sf, "inquiries")
-    asked = m.withColumnsRenamed({"client_name": "ename", "reference_number": "eref"})
-    own, other = ("ename", "eref", "from_email", "received_at"), ("client_name", "reference_number", "creditor_email", "sent_at", "letter_type")
-    pairs = match.candidates(asked, i, widen=widen, mail_columns=own, inquiry_columns=other)
-    same = lambda a, b: F.lower(F.trim(a)) == F.lower(F.trim(b))
-    return m, pairs.withColumn("score", match.score_exact(same("ename", "client_name"), same("eref", "reference_number")))
+def _ranked(spark, sf):
+    m = domain(spark, sf, "emails")
+    return m, match.rank_exact(m, domain(spark, sf, "inquiries"))
 
 
 def m1_candidates(spark, sf):
@@ -60,19 +56,17 @@ def m1_candidates_wide(spark, sf):
     return found.groupBy("email_id", "tier").agg(F.count("*").alias("candidates"), F.min("inquiry_id").alias("first_inquiry"), F.max("inquiry_id").alias("last_inquiry"))
 
 
-def m9_decide(spark, sf, widen=True):
-    m, scored = _scored_exact(spark, sf, widen)
-    return match.decide_match(m, match.rank_candidates(scored)).select("email_id", "status", "score", "gap", "n_candidates", "inquiry_id")
+def m9_decide(spark, sf):
+    return match.decide_match(*_ranked(spark, sf)).select("email_id", "status", "score", "gap", "n_candidates", "inquiry_id")
 
 
 def match_status_counts(spark, sf):
-    """Replies linked by address or domain within 90 days, scored exactly, decided by gap: counts by outcome."""
-    return m9_decide(spark, sf, False).groupBy("status").agg(F.count("*").alias("mails"), F.sum(F.coalesce("n_candidates", F.lit(0))).alias("candidates"))
+    """Replies linked by address, domain or time within 90 days, scored exactly, decided by gap: counts by outcome."""
+    return m9_decide(spark, sf).groupBy("status").agg(F.count("*").alias("mails"), F.sum(F.coalesce("n_candidates", F.lit(0))).alias("candidates"))
 
 
 def m10_match_results(spark, sf):
-    m, scored = _scored_exact(spark, sf)
-    found = match.match_results(match.decide_match(m, match.rank_candidates(scored)))
+    found = match.match_results(match.decide_match(*_ranked(spark, sf)))
     return found.withColumn("score", F.col("score").cast("double"))
 
 
@@ -90,30 +84,33 @@ def m2_m6_fuzzy(spark, sf):
 
 
 def m11_explain(spark, sf):
-    m, scored = _scored_exact(spark, sf)
-    found = match.explain(match.decide_match(m, match.rank_candidates(scored)))
+    found = match.explain(match.decide_match(*_ranked(spark, sf)))
     shape = "match_status string, score double, gap double, filters_applied struct<lookback_days:int>, candidates array<struct<inquiry_id:long>>"
     read = F.from_json("explanation", shape)
     return found.select("email_id", read["match_status"].alias("status"), read["gap"].alias("gap"), read["filters_applied"]["lookback_days"].alias("days"), F.try_element_at(read["candidates"]["inquiry_id"], F.lit(1)).alias("top_inquiry"))
 
 
 def m13_second_letter(spark, sf):
-    m, scored = _scored_exact(spark, sf)
-    decided = match.decide_match(m, match.rank_candidates(scored)).where("status <> 'no_recent_inquiry'")
+    m, ranked = _ranked(spark, sf)
+    decided = match.decide_match(m, ranked).where("status <> 'no_recent_inquiry'")
     wanted = decided.join(m.select(F.col("id").alias("email_id"), "intent", F.lit("v1").alias("version")), "email_id")
     return match.prefer_second_letter(wanted).select("email_id", "chosen")
 
 
 def m12_score_v1(spark, sf):
-    m, scored = _scored_exact(spark, sf, False)
+    m, i = domain(spark, sf, "emails"), domain(spark, sf, "inquiries")
+    asked = m.withColumnsRenamed({"client_name": "ename", "reference_number": "eref"})
+    own, other = ("ename", "eref", "from_email", "received_at"), ("client_name", "reference_number", "creditor_email", "sent_at", "letter_type")
+    pairs = match.candidates(asked, i, widen=False, mail_columns=own, inquiry_columns=other)
+    same = lambda a, b: F.lower(F.trim(a)) == F.lower(F.trim(b))
+    scored = pairs.withColumn("score", match.score_exact(same("ename", "client_name"), same("eref", "reference_number")))
     pairs = scored.withColumn("references", F.array_compact(F.array("eref"))).withColumns({"name_score": F.col("score"), "creditor_similarity": F.lit(0.5), "domain_similarity": F.lit(0.0)})
     pairs = pairs.withColumn("same_domain", match.mail_domain(F.col("from_email")) == match.mail_domain(F.col("creditor_email")))
     return match.score_v1(pairs).select("email_id", "inquiry_id", "score_v1")
 
 
 def m14_review_payload(spark, sf):
-    m, scored = _scored_exact(spark, sf)
-    found = match.review_payload(match.decide_match(m, match.rank_candidates(scored)))
+    found = match.review_payload(match.decide_match(*_ranked(spark, sf)))
     return found.select("email_id", "reason", "priority", F.coalesce(F.size("top"), F.lit(0)).alias("n_top"))
 
 
@@ -134,7 +131,7 @@ _SCORED = """, scored AS (
   SELECT b.*, i.creditor_email, i.sent_at, i.letter_type, e.from_email, e.received_at, e.reference_number AS eref, i.reference_number,
     (CAST(coalesce(lower(e.client_name) = lower(i.client_name), false) AS INT) + CAST(coalesce(lower(e.reference_number) = lower(i.reference_number), false) AS INT)) / 2 AS score
   FROM best b JOIN emails e ON e.id = b.email_id JOIN inquiries i ON i.id = b.inquiry_id
-), ranked AS (SELECT *, row_number() OVER (PARTITION BY email_id ORDER BY score DESC, sent_at DESC, inquiry_id) AS rank FROM scored)"""
+), ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY email_id ORDER BY score DESC, sent_at DESC, inquiry_id) AS rank FROM scored)"""
 _RANKED, _NEAR_RANKED = _CASCADE + _SCORED, _CANDIDATES + _SCORED
 _OUTCOME = """, tops AS (SELECT email_id, lower(creditor_email) AS top_email FROM ranked WHERE rank = 1),
   sums AS (SELECT email_id, max(score) FILTER (rank = 1) AS score, max(inquiry_id) FILTER (rank = 1) AS top_inquiry,
@@ -147,7 +144,7 @@ _B36 = "0123456789abcdefghijklmnopqrstuvwxyz"
 _DIGIT = "substr('" + _B36 + "', CAST(v // {} % 36 + 1 AS INT), 1)"
 
 SQL = {
-    "match_status_counts": f"{_BOTH}, {_NEAR_DECIDED} SELECT status, count(*) AS mails, CAST(sum(coalesce(n_candidates, 0)) AS BIGINT) AS candidates FROM decided GROUP BY 1",
+    "match_status_counts": f"{_BOTH}, {_DECIDED} SELECT status, count(*) AS mails, CAST(sum(coalesce(n_candidates, 0)) AS BIGINT) AS candidates FROM decided GROUP BY 1",
     "n1_normalize": inlined("inquiries") + " SELECT id, 'muster ' || lower(creditor_name) || ' gmbh' AS match_style, 'muster, ' || lower(creditor_name) AS inquiry_style, 'Muster' AS last_name FROM inquiries",
     "n4_parse_routing_id": inlined("inquiries")
     + """, p AS (SELECT id, string_split(routing_id, '-') AS s FROM inquiries WHERE routing_id_version = 'v2')
