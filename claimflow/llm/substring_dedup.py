@@ -36,12 +36,12 @@ def unit_key(unit: str) -> str:
     return _BREAKS.sub(" ", unit.translate(_LOWERED)).strip(" ")
 
 
-def digested_units(text: str, min_words: int, min_chars: int) -> Iterator[tuple[int, int, str]]:
+def digested_units(text: str, min_words: int, min_chars: int, min_line_chars: int = 1) -> Iterator[tuple[int, int, str]]:
     """Start, end and normal form of all that is keyed: runs of whole lines and sentences, and short lines.
 
     From each sentence the shortest run onwards that is long enough, and the shortest run back from its end; a long
     sentence is both. So a passage of whole sentences that is long enough lies in such runs from end to end, however
-    short its sentences are. A line under the bounds is keyed too, by itself.
+    short its sentences are. A line under the bounds is keyed too, by itself, if its normal form has ``min_line_chars``.
     """
     pieces = [(start, end, key, key.count(" ") + 1) for start, end in units_of(text) if (key := unit_key(text[start:end]))]
     keys, n, line = [p[2] for p in pieces], len(pieces), 0
@@ -62,12 +62,13 @@ def digested_units(text: str, min_words: int, min_chars: int) -> Iterator[tuple[
             if words >= min_words and chars >= min_chars:
                 yield pieces[first][0], end, " ".join(keys[first : i + 1])
         if i + 1 == n or "\n" in text[end - 1 : pieces[i + 1][0]]:
-            if len(whole := " ".join(keys[line : i + 1])) < min_chars or whole.count(" ") + 1 < min_words:
+            whole = " ".join(keys[line : i + 1])
+            if len(whole) >= min_line_chars and (len(whole) < min_chars or whole.count(" ") + 1 < min_words):
                 yield pieces[line][0], end, whole
             line = i + 1
 
 
-def unit_rows(docs: DataFrame, min_words: int, min_chars: int) -> DataFrame:
+def unit_rows(docs: DataFrame, min_words: int, min_chars: int, min_line_chars: int) -> DataFrame:
     """Place and 128-bit digest of each unit that is keyed, once."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,7 +76,7 @@ def unit_rows(docs: DataFrame, min_words: int, min_chars: int) -> DataFrame:
             rows, digests = [], []
             for doc, th, text in zip(batch["id"], batch["th"], batch["text"], strict=True):
                 seen = set()
-                for start, end, key in digested_units(text, min_words, min_chars):
+                for start, end, key in digested_units(text, min_words, min_chars, min_line_chars):
                     if (start, end) not in seen:
                         seen.add((start, end))
                         rows.append((doc, th, start, end))
@@ -88,13 +89,14 @@ def unit_rows(docs: DataFrame, min_words: int, min_chars: int) -> DataFrame:
 
 
 def repeated_units(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8, min_chars: int = 40
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8, min_chars: int = 40, min_line_chars: int = 1
 ) -> DataFrame:
     """Every span that an earlier place holds too: id, th, start, end, first_id, first_start.
 
     Texts are cut into lines and these into sentences. Keyed by a 128-bit digest are the shortest
     runs of them, from each one on and from each one back, that have ``min_words`` words and
-    ``min_chars`` characters of normal form, and whole lines under these bounds. So every
+    ``min_chars`` characters of normal form, and whole lines under these bounds with ``min_line_chars`` at least (1: all lines; a
+    higher bound leaves repeated short lines, such as greetings or brackets, in every document). So every
     repeated passage of that length is found in full but for its ragged ends: a sentence
     of which it holds only a part. Of each key the place with the smallest (id, text hash, start)
     stays; all others are returned, none twice: what lies in an earlier span of
@@ -110,7 +112,7 @@ def repeated_units(
     text = F.coalesce(F.col(text_col), F.lit(""))
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     rows = docs.select(ids.alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    units = stored(unit_rows(rows, min_words, min_chars), "units")
+    units = stored(unit_rows(rows, min_words, min_chars, min_line_chars), "units")
     places = units.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "start")).alias("first"), F.max(F.struct("id", "th", "start")).alias("last"))
     places = places.where(F.col("first") != F.col("last")).drop("last")
     met = units.join(places, ["h1", "h2"]).where(F.struct("id", "th", "start") != F.col("first"))
@@ -166,18 +168,32 @@ WITH units AS (
   SELECT doc_id, generate_subscripts(u, 1) AS n, unnest(u) AS unit
   FROM (SELECT doc_id, regexp_extract_all(text, '[^\n]*?(?:\n|[.!?] )|[^\n]+') AS u FROM documents)
 ), placed AS (
-  SELECT doc_id, unit, CAST(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY n) AS BIGINT) AS fin FROM units
+  SELECT doc_id, n, unit, CAST(sum(length(unit)) OVER w AS BIGINT) AS fin, sum(CAST(unit LIKE '%' || chr(10) AS INT)) OVER w - CAST(unit LIKE '%' || chr(10) AS INT) AS line
+  FROM units WINDOW w AS (PARTITION BY doc_id ORDER BY n)
 ), keyed AS (
-  SELECT doc_id, fin - length(unit) AS start, fin,
-         trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                             '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' ') AS key
-  FROM placed WHERE length(unit) >= 40
-), long AS (
-  SELECT * FROM keyed WHERE length(key) >= 40 AND length(key) - length(replace(key, ' ', '')) >= 7
-), ranked AS (
-  SELECT *, first_value(doc_id) OVER w AS first_id, row_number() OVER w AS place FROM long WINDOW w AS (PARTITION BY key ORDER BY doc_id, start)
-)
-SELECT doc_id, count(*) AS n_removed, string_agg(start || '-' || fin, ',' ORDER BY start) AS spans,
-       min(first_id) AS first_doc_id, CAST(sum(fin - start) AS BIGINT) AS removed_chars
-FROM ranked WHERE place > 1 GROUP BY doc_id
+  SELECT doc_id, n, line, fin - length(unit) AS start, fin,
+         trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' ') AS key
+  FROM placed
+), pieces AS MATERIALIZED (
+  SELECT doc_id, line, start, fin, key, length(key) AS chars, words, row_number() OVER w AS r, sum(words) OVER w AS up_words, sum(length(key) + 1) OVER w AS up_chars
+  FROM (SELECT *, length(key) - length(replace(key, ' ', '')) + 1 AS words FROM keyed WHERE key <> '') WINDOW w AS (PARTITION BY doc_id ORDER BY n)
+), texts AS (SELECT doc_id, list(key ORDER BY r) AS keys, list(start ORDER BY r) AS starts, list(fin ORDER BY r) AS fins FROM pieces GROUP BY doc_id),
+-- runs of pieces: long pieces, shortest runs on from each other one and back from it, short lines
+near AS MATERIALIZED (
+  SELECT a.doc_id, a.r AS i, b.r AS j, b.up_words - a.up_words + a.words AS words, b.up_chars - a.up_chars + a.chars AS chars, a.words >= 8 AND a.chars >= 40 AS i_long, b.words >= 8 AND b.chars >= 40 AS j_long
+  FROM pieces a JOIN pieces b ON a.doc_id = b.doc_id AND b.r BETWEEN a.r AND a.r + 40
+), runs AS (
+  SELECT doc_id, i, j FROM near WHERE i = j AND i_long
+  UNION SELECT doc_id, i, min(j) FROM near WHERE NOT i_long AND words >= 8 AND chars >= 40 GROUP BY doc_id, i
+  UNION SELECT doc_id, max(i), j FROM near WHERE NOT j_long AND words >= 8 AND chars >= 40 GROUP BY doc_id, j
+  UNION SELECT doc_id, min(r), max(r) FROM pieces GROUP BY doc_id, line HAVING sum(words) < 8 OR sum(chars + 1) - 1 < 40
+), spans AS MATERIALIZED (
+  SELECT DISTINCT doc_id, starts[i] AS start, fins[j] AS fin, array_to_string(keys[i : j], ' ') AS key FROM runs JOIN texts USING (doc_id)
+), firsts AS (SELECT key, min((doc_id, start)) AS kept FROM spans GROUP BY key HAVING min((doc_id, start)) <> max((doc_id, start))),
+met AS (SELECT DISTINCT doc_id, start, fin, kept[1] AS first_id FROM spans JOIN firsts USING (key) WHERE (doc_id, start) <> kept),
+opened AS (
+  SELECT *, coalesce(max(fin) OVER (PARTITION BY doc_id ORDER BY start, fin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM met
+), cut AS (SELECT doc_id, greatest(start, done) AS start, fin, first_id FROM opened WHERE fin > done)
+SELECT doc_id, count(*) AS n_removed, string_agg(start || '-' || fin, ',' ORDER BY start) AS spans, min(first_id) AS first_doc_id, CAST(sum(fin - start) AS BIGINT) AS removed_chars
+FROM cut GROUP BY doc_id
 """
