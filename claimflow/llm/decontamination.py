@@ -136,12 +136,17 @@ def find_leaks(
 
     wanted = windows.groupBy("id", "th").agg(F.collect_list(F.struct("m", "start")).alias("windows"))
     wanted = wanted.select(F.col("id").alias("wid"), F.col("th").alias("wth"), "windows")
-    held = rows.join(wanted, rows["id"].eqNullSafe(wanted["wid"]) & (rows["th"] == wanted["wth"]))
-    held = held.select("id", "th", match_words(F.col("text")).alias("words"), F.explode("windows").alias("w"))
-    held = held.select("id", "th", "w.m", "w.start", F.slice("words", F.col("w.start") + 1, F.col("w.m")).alias("own"))
-    # equal windows, in however many documents, are fingerprinted and checked once
-    held = stored(held.dropDuplicates(["id", "th", "m", "start"]).withColumn("content", F.xxhash64("own")), "held")
-    distinct = stored(held.groupBy("m", "content").agg(F.first("own").alias("own")), "distinct-windows")
+    # words are split once for each text that has windows; a window is a slice of them
+    texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["wid"]) & (rows["th"] == wanted["wth"]))
+    texts = stored(texts.select("id", "th", match_words(F.col("text")).alias("words"), "windows").dropDuplicates(["id", "th"]), "words")
+    window = F.slice("words", F.col("start") + 1, F.col("m"))
+    held = texts.select("id", "th", "words", F.explode("windows").alias("w")).select("id", "th", "words", "w.m", "w.start")
+    held = stored(held.select("id", "th", "m", "start", F.xxhash64(window).alias("content")), "held")
+    # equal windows, of whatever documents, are fingerprinted and checked once: where the first of them stands
+    places = held.groupBy("m", "content").agg(F.min(F.struct("id", "th", "start")).alias("at"))
+    places = places.select("m", "content", F.col("at.id").alias("pid"), F.col("at.th").alias("pth"), F.col("at.start").alias("start"))
+    distinct = texts.join(places, texts["id"].eqNullSafe(places["pid"]) & (texts["th"] == places["pth"]))
+    distinct = stored(distinct.select("m", "content", window.alias("own")), "distinct-windows")
 
     prints = simhash(distinct.select("m", "content", F.explode("own").alias("word")), ["m", "content"], "word")
     item_prints = simhash(items.select("item", "m", F.explode("iwords").alias("word")), ["item", "m"], "word")
