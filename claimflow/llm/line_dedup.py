@@ -11,7 +11,6 @@ into one run of the next level. Kept runs take further batches, today's or next
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -39,28 +38,39 @@ def batch_bounds(ids: DataFrame, batches: int) -> list[int]:
 class Runs:
     """Sorted runs of line hashes in levels; ``fanout`` runs of a level become one of the next.
 
-    The runs are tables of the catalog; ``levels`` names them, so that a later job goes on with
-    ``Runs(spark, buckets, fanout, levels)``.
+    Runs are bucketed files; ``levels`` has their paths, so that a later job, in whatever session, goes on with
+    ``Runs(spark, buckets, fanout, levels)``. They are entered in the session's catalog when they are opened.
     """
 
     def __init__(self, spark, buckets: int, fanout: int = 2, levels: list[list[str]] | None = None):
         self.spark, self.buckets, self.fanout = spark, buckets, fanout
         self.levels: list[list[str]] = [list(x) for x in levels or []]
 
-    def names(self) -> list[str]:
-        return [name for level in self.levels for name in level]
+    def paths(self) -> list[str]:
+        return [path for level in self.levels for path in level]
+
+    @staticmethod
+    def _name(path: str) -> str:
+        return path.rstrip("/").rpartition("/")[2].replace("-", "_")
+
+    def open(self, path: str) -> DataFrame:
+        """A run, with the layout that lets a join read its buckets in order."""
+        name, keys = self._name(path), ", ".join(KEY)
+        columns = ", ".join(f"{k} BIGINT" for k in KEY)
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        return self.spark.table(name)
 
     def _write(self, keys: DataFrame) -> str:
-        name = f"line_run_{uuid.uuid4().hex}"
+        path = scratch_path(self.spark, "line-run")
         writer = keys.repartition(self.buckets, *KEY).write.bucketBy(self.buckets, *KEY).sortBy(*KEY)
-        writer.option("path", scratch_path(self.spark, "line-run")).saveAsTable(name)
-        return name
+        writer.option("path", path).saveAsTable(self._name(path))
+        return path
 
     def mark_seen(self, keys: DataFrame) -> DataFrame:
         """``keys`` with ``seen``: whether any run holds the key. A left join per run, each in hash order."""
         flags = []
-        for i, name in enumerate(self.names()):
-            run = self.spark.table(name).select(*KEY, F.lit(True).alias(f"in{i}"))
+        for i, path in enumerate(self.paths()):
+            run = self.open(path).select(*KEY, F.lit(True).alias(f"in{i}"))
             keys = keys.join(run.hint("merge"), KEY, "left")
             flags.append(F.coalesce(F.col(f"in{i}"), F.lit(False)))
         seen = reduce(lambda a, b: a | b, flags, F.lit(False))
@@ -76,14 +86,15 @@ class Runs:
             if len(self.levels[level]) < self.fanout:
                 return
             old = self.levels[level]
-            new = self._write(reduce(DataFrame.unionByName, map(self.spark.table, old)))
+            new = self._write(reduce(DataFrame.unionByName, map(self.open, old)))
             self.drop(old)
             self.levels[level] = []
             level += 1
 
-    def drop(self, names: list[str]) -> None:
-        for name in names:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+    def drop(self, paths: list[str]) -> None:
+        """Take runs out of the catalog; their files go with the scratch folder."""
+        for path in paths:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(path)}")
 
 
 def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -169,7 +180,7 @@ def dedup_lines(
             dropped.append(lost_lines(own, keys))
     finally:
         if not kept_runs:
-            runs.drop(runs.names())
+            runs.drop(runs.paths())
 
     gone = reduce(DataFrame.unionByName, dropped).groupBy("id", "th").agg(F.array_sort(F.collect_set("pos")).alias("__gone"))
     gone = gone.withColumnsRenamed({"id": "__id", "th": "__th"})
