@@ -8,9 +8,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from claimflow.operators import intake as ops
+from claimflow.plans.linkage import SQL as linkage_sql
 from claimflow.plans.linkage import routed_emails
 from claimflow.sources.adapters import domain, inlined
-from claimflow.sources.tables import scratch_dir
+from claimflow.sources.tables import scratch_dir, written
 from claimflow.streaming import intake as streams
 
 
@@ -100,6 +101,13 @@ def s3_probing_report(spark, sf):
     return streams.probing_report(_messages(spark, sf))
 
 
+def s2_stream_probing(spark, sf):
+    """The same flags from a stream of the same messages."""
+    messages = written(_messages(spark, sf).coalesce(1), "messages")
+    stream = spark.readStream.schema(messages.schema).parquet(messages.inputFiles()[0].rpartition("/")[0])
+    return _drained(streams.stream_probing(stream), "probing")
+
+
 def s3_over_limit(spark, sf):
     return streams.over_limit(_messages(spark, sf))
 
@@ -131,12 +139,30 @@ def s4_stream_idempotency(spark, sf):
     return _drained(streams.stream_idempotency(keys), "keys").select("key")
 
 
+def s1_intake_late(spark, sf):
+    """Mails arriving out of order, an id for every other one alone: none that is new is lost."""
+    e = _event_stream(spark, sf)
+    data = F.struct(F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("w"), F.floor(F.col("event_id") / 4).cast("string"))).alias("email_id"), F.date_format(F.expr("ts - make_interval(0, 0, 0, 0, CAST(event_id % 1000 AS INT))"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), F.lit("a@b.example").alias("from"))
+    raw = e.select(F.to_json(F.struct(F.lit("email.received").alias("type"), data.alias("data"))).alias("value"))
+    mails = _drained(streams.stream_intake(raw, "1 minute"), "late")
+    return mails.groupBy("webhook_id").agg(F.count("*").alias("mails"))
+
+
+def s5_stream_routing(spark, sf):
+    """The batch routing, micro-batch by micro-batch."""
+    mails = written(routed_emails(spark, sf), "mails")
+    stream = spark.readStream.schema(mails.schema).option("maxFilesPerTrigger", 8).parquet(mails.inputFiles()[0].rpartition("/")[0])
+    base = f"{scratch_dir(spark)}/routing-{uuid.uuid4().hex}"
+    streams.start_routing(stream, domain(spark, sf, "inquiries"), f"{base}/rows", f"{base}/state", availableNow=True).awaitTermination()
+    return spark.read.parquet(f"{base}/rows").drop("batch")
+
+
 def s6_stream_metrics(spark, sf):
     m = _event_stream(spark, sf).select(F.col("event_type").alias("metric_type"), F.col("value").alias("metric_value"), F.lit('{"queue": "q"}').alias("labels"), F.col("ts").cast("timestamp").alias("recorded_at"))
     return _drained(streams.stream_metrics(m), "metrics").select("date", "metric_type", "labels_key", "count", F.round("sum", 4).alias("sum"), "min", "max")
 
 
-QUERIES = {f.__name__: f for f in (i1_parse_inbound, i2_dedup_inbound, i5_archive, i6_export, n3_dedup_inquiries, n6_resolve_tenant, c1_intent, c2_headers, c3_bounces, c4_apply_bounces, s1_stream_intake, s3_probing_report, s3_over_limit, s4_stream_idempotency, s6_stream_metrics)}
+QUERIES = {f.__name__: f for f in (i1_parse_inbound, i2_dedup_inbound, i5_archive, i6_export, n3_dedup_inquiries, n6_resolve_tenant, c1_intent, c2_headers, c3_bounces, c4_apply_bounces, s1_stream_intake, s1_intake_late, s2_stream_probing, s5_stream_routing, s3_probing_report, s3_over_limit, s4_stream_idempotency, s6_stream_metrics)}
 
 _PARSED = """p AS (SELECT 'w' || (id % 9000) AS webhook_id, CASE WHEN part % 3 = 0 THEN 'm' || id ELSE 'w' || (id % 9000) END AS message_ref, from_email, 'Mr X' AS from_name, 1 + CAST(part % 2 = 0 AS INT) AS n_to, received_at
   FROM emails WHERE part % 10 <> 0)"""
@@ -172,6 +198,8 @@ SQL = {
      SELECT coalesce(kind, status) AS status, count(*) AS inquiries FROM inquiries LEFT JOIN b ON upper(routing_id) = rid GROUP BY 1""",
     "s1_stream_intake": "SELECT DISTINCT 'w' || (event_id // 2) AS webhook_id, 'a@b.example' AS from_email FROM events WHERE event_type <> 'error'",
     "s4_stream_idempotency": "SELECT DISTINCT 'k' || (event_id // 3) AS key FROM events",
+    "s1_intake_late": "SELECT CASE WHEN event_id % 2 = 0 THEN 'w' || (event_id // 4) END AS webhook_id, count(DISTINCT CASE WHEN event_id % 2 = 1 THEN event_id ELSE 0 END) AS mails FROM events GROUP BY 1",
+    "s5_stream_routing": linkage_sql["r_route_deterministic"],
     "s6_stream_metrics": """SELECT CAST(ts AS DATE) AS date, event_type AS metric_type, 'queue:q' AS labels_key, count(*) AS count, round(sum(value), 4) AS sum, min(value) AS min, max(value) AS max FROM events
      WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1, 2""",
     "s3_over_limit": f"WITH {_EVENTS} SELECT x.id, len(list_distinct(flatten(list(y.a)))) > 20 AS over FROM m x JOIN m y ON x.d = y.d AND y.t > x.t - 60000 AND y.t <= x.t GROUP BY x.id",

@@ -8,51 +8,83 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import DateType, LongType, StringType, StructField, StructType
 
 from claimflow.operators.intake import parse_inbound, resolve_tenant
 from claimflow.operators.metrics import labels_key
-from claimflow.operators.routing import route_deterministic
+from claimflow.operators.routing import inquiry_keys, route_by_keys
+from claimflow.sources.tables import written
 
 WINDOW_MS, BLOCK_MS, MOST_ADDRESSES = 60_000, 600_000, 20
 
 
+def _once_within(rows: DataFrame, key: str, within: str) -> DataFrame:
+    """One row of each key among those that arrive within ``within``; a null key is never a repeat.
+
+    The watermark is on the time of arrival, which only grows, so a first row is kept however old its own times are, and
+    state goes ``within`` after the key's first arrival.
+    """
+    marked = rows.withColumn("__arrived", F.current_timestamp()).withColumn("__alone", F.when(F.col(key).isNull(), F.uuid()))
+    return marked.withWatermark("__arrived", within).dropDuplicatesWithinWatermark([key, "__alone"]).drop("__arrived", "__alone")
+
+
 def stream_intake(raw: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Received mails of a stream of JSON texts, one per webhook id within ``delay``; later ones are dropped as late."""
-    return parse_inbound(raw).withWatermark("received_at", delay).dropDuplicatesWithinWatermark(["webhook_id"])
+    """Received mails of a stream of JSON texts, one per webhook id of those that arrive within ``delay``.
+
+    Mails that were received long ago and mails without a webhook id are never dropped.
+    """
+    return _once_within(parse_inbound(raw), "webhook_id", delay)
 
 
 def stream_idempotency(keys: DataFrame, ttl: str = "24 hours") -> DataFrame:
-    """The first row of each key (columns key, at) within ``ttl``; repeats are dropped."""
-    return keys.withWatermark("at", ttl).dropDuplicatesWithinWatermark(["key"])
+    """The first row of each key (columns key, at) of those that arrive within ``ttl``; repeats are dropped, late rows and null keys aren't."""
+    return _once_within(keys, "key", ttl)
 
 
-def start_intake(raw: DataFrame, stored: DataFrame, inquiries: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes", **trigger):
+def start_intake(raw: DataFrame, stored: DataFrame, inquiries: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes", reach_days: int = 30, **trigger):
     """Append the new mails of a stream, with prefix and kanzlei_id, as Parquet under ``path``; returns the running query.
 
-    Repeats within ``delay`` are dropped by the stream; older ones by an anti-join against ``stored`` (webhook_id) and what
-    earlier batches have written. A batch that is run again replaces itself.
+    Repeats that arrive within ``delay`` are dropped by the stream; others by an anti-join against ``stored`` (webhook_id, and received_at if it
+    has it) and what earlier batches have written. Written mails lie in folders by the day they were received, and a repeat says
+    the same day or one near it, so a batch reads the days from ``reach_days`` before its first mail to as many after its last, not the
+    whole store. Mails without webhook id are always new. A batch that is run again replaces itself.
     """
     spark, mails = raw.sparkSession, stream_intake(raw, delay)
     tenanted = StructType([*mails.schema.fields, StructField("prefix", StringType()), StructField("kanzlei_id", StringType())])
-    placed = StructType([*tenanted.fields, StructField("batch", LongType())])
-    spark.createDataFrame([], tenanted).write.mode("ignore").parquet(f"{path}/batch=-1")
+    placed = StructType([*tenanted.fields, StructField("day", DateType()), StructField("batch", LongType())])
+    spark.createDataFrame([], placed).write.mode("ignore").parquet(path)
 
     def take(batch: DataFrame, number: int) -> None:
-        written = spark.read.schema(placed).parquet(path).where(F.col("batch") != number)
-        known = stored.select("webhook_id").unionByName(written.select("webhook_id"))
         batch.persist()
         try:
-            new = batch.join(known, "webhook_id", "left_anti")
-            asked = new.select(F.col("webhook_id").alias("id"), "to_addresses", "subject", F.col("raw_body_text").alias("body_text"))
-            tenants = resolve_tenant(asked, inquiries).withColumnRenamed("id", "webhook_id")
-            new.join(tenants, "webhook_id", "left").select(*mails.columns, "prefix", F.col("kanzlei_id").cast("string")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+            ends = batch.agg(F.min("received_at").alias("first"), F.max("received_at").alias("last")).first()
+            near = lambda day: (day >= F.date_sub(F.lit(ends["first"]), reach_days)) & (day <= F.date_add(F.lit(ends["last"]), reach_days)) | day.isNull()
+            before = spark.read.schema(placed).parquet(path).where(F.col("batch") != number)
+            older = stored.where(near(F.to_date("received_at"))) if "received_at" in stored.columns else stored
+            if ends["first"] is not None:
+                before = before.where(near(F.col("day")))
+            known = (older if ends["first"] is not None else stored).select("webhook_id").unionByName(before.select("webhook_id"))
+            new = batch.join(known, "webhook_id", "left_anti").withColumn("__row", F.monotonically_increasing_id()).persist()
+            asked = new.select(F.col("__row").alias("id"), "to_addresses", "subject", F.col("raw_body_text").alias("body_text"))
+            tenants = resolve_tenant(asked, inquiries).withColumnRenamed("id", "__row")
+            made = new.join(tenants, "__row", "left").select(*mails.columns, "prefix", F.col("kanzlei_id").cast("string"), F.to_date("received_at").alias("day"), F.lit(number).cast("long").alias("batch"))
+            made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
+            new.unpersist()
         finally:
             batch.unpersist()
 
     return mails.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def _arriving(rows: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and arrived_ms, the time of arrival, which is the watermark too.
+
+    State times out by arrival, so no row is late, and a stream that has read all there is ends: only new rows move the watermark.
+    """
+    arrived = F.current_timestamp()
+    return rows.select(*columns, arrived.alias("arrived"), F.unix_millis(arrived).alias("arrived_ms")).withWatermark("arrived", "0 seconds")
+
+
 def stream_cached_results(requests: DataFrame, ttl_seconds: int = 86_400) -> DataFrame:
     """Rows (key, id, at_ms, result) with the result that holds for them, and whether it is a cached one.
 
@@ -66,18 +98,18 @@ def stream_cached_results(requests: DataFrame, ttl_seconds: int = 86_400) -> Dat
             state.remove()
             return
         held, until = state.get if state.exists else (None, None)
-        out = []
-        for row in pd.concat(list(batches)).sort_values(["at_ms", "id"]).itertuples():
+        rows, out = pd.concat(list(batches)), []
+        for row in rows.sort_values(["at_ms", "id"]).itertuples():
             cached = until is not None and row.at_ms < until
             if not cached:
                 held, until = row.result, int(row.at_ms) + ttl
             out.append((row.key, row.id, held, cached))
         state.update((held, until))
-        state.setTimeoutDuration(ttl)
+        state.setTimeoutTimestamp(int(rows["arrived_ms"].max()) + ttl)
         yield pd.DataFrame(out, columns=["key", "id", "result", "cached"])
 
-    slim = requests.select("key", "id", "at_ms", "result")
-    return slim.groupBy("key").applyInPandasWithState(update, "key string, id long, result string, cached boolean", "held string, until long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    slim = _arriving(requests, "key", "id", "at_ms", "result")
+    return slim.groupBy("key").applyInPandasWithState(update, "key string, id long, result string, cached boolean", "held string, until long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 class Probe:
@@ -138,20 +170,26 @@ def stream_probing(messages: DataFrame) -> DataFrame:
             return
         names, times, blocked = state.get if state.exists else ([], [], 0)
         probe = Probe(dict(zip(names, times, strict=True)), blocked)
-        out = _fold(pd.concat(list(batches)), probe)
+        rows = pd.concat(list(batches))
+        out = _fold(rows, probe)
         state.update((list(probe.seen), list(probe.seen.values()), probe.blocked_until))
-        state.setTimeoutDuration(BLOCK_MS)
+        state.setTimeoutTimestamp(int(rows["arrived_ms"].max()) + BLOCK_MS)
         yield out
 
-    slim = messages.select("domain", "id", "at_ms", "addresses")
-    return slim.groupBy("domain").applyInPandasWithState(update, _PROBED, "names array<string>, times array<long>, blocked long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    slim = _arriving(messages, "domain", "id", "at_ms", "addresses")
+    return slim.groupBy("domain").applyInPandasWithState(update, _PROBED, "names array<string>, times array<long>, blocked long", "append", GroupStateTimeout.EventTimeTimeout)
+
 
+def start_routing(emails: DataFrame, inquiries: DataFrame, path: str, checkpoint: str, reply_domains: str = r"reply\.example", **trigger):
+    """Route each micro-batch like a batch and append the results as Parquet under ``path``; returns the running query.
 
-def start_routing(emails: DataFrame, inquiries: DataFrame, path: str, checkpoint: str, **trigger):
-    """Route each micro-batch like a batch and append the results as Parquet under ``path``; returns the running query."""
+    What keys resolve to is summed once, when the stream is started, into a written table that every batch joins; a stream that shall see newer
+    inquiries is started again with the same checkpoint.
+    """
+    keys = written(inquiry_keys(inquiries), "inquiry-keys")
 
     def route(batch: DataFrame, number: int) -> None:
-        routed = route_deterministic(batch, inquiries)
+        routed = route_by_keys(batch, keys, reply_domains)
         routed.write.mode("overwrite").parquet(f"{path}/batch={number}")  # a repeated batch replaces itself
 
     return emails.writeStream.foreachBatch(route).option("checkpointLocation", checkpoint).trigger(**trigger).start()
