@@ -90,8 +90,9 @@ def c14_case_number(spark, sf):
 
 def c11_merge(spark, sf):
     p = cons.consolidate(domain(spark, sf, "sources")).select("email_id", "amount").join(cons.pick_best_name(domain(spark, sf, "sources")), "email_id", "left")
-    m = domain(spark, sf, "emails").where("line = 1")
-    e = m.select(F.col("order_id").alias("email_id"), F.col("debt_amount").alias("amount"), "client_name", "intent", (F.col("part") % 2 == 0).alias("is_creditor_reply"))
+    m = domain(spark, sf, "emails")
+    p = p.withColumnRenamed("email_id", "order_id").join(m.select("order_id", F.col("id").alias("email_id")), "order_id").drop("order_id")
+    e = m.select(F.col("id").alias("email_id"), F.col("debt_amount").alias("amount"), "client_name", "intent", (F.col("part") % 2 == 0).alias("is_creditor_reply"))
     return cons.merge_extractions(p, e)
 
 
@@ -166,10 +167,10 @@ SQL = {
      SELECT email_id, CASE weakest WHEN 3 THEN 0.9 WHEN 2 THEN 0.7 ELSE 0.5 END::DOUBLE AS confidence, email_id % 4 = 0 OR weakest = 1 AS needs_review FROM c""",
     "c14_case_number": inlined("emails") + " SELECT id, CASE WHEN part % 2 = 0 THEN '20/' || order_id ELSE '99-99' END AS case_number FROM emails",
     "c11_merge": inlined("sources", "emails")
-    + f""", c AS ({_CONSOLIDATED}), n AS ({_BEST_NAME}), e AS (SELECT * FROM emails WHERE line = 1)
-     SELECT c.email_id, coalesce(c.amount, e.debt_amount) AS amount, coalesce(n.client_name, e.client_name) AS client_name,
+    + f""", c AS ({_CONSOLIDATED}), n AS ({_BEST_NAME})
+     SELECT e.id AS email_id, coalesce(c.amount, e.debt_amount) AS amount, coalesce(n.client_name, e.client_name) AS client_name,
        (c.amount IS NOT NULL AND NOT coalesce(e.intent IN ('auto_reply', 'spam'), false)) OR coalesce(e.part % 2 = 0, false) AS is_creditor_reply
-     FROM c LEFT JOIN n USING (email_id) LEFT JOIN e ON e.order_id = c.email_id""",
+     FROM c LEFT JOIN n USING (email_id) JOIN emails e ON e.order_id = c.email_id""",
     "c12_match_gate": inlined("emails") + " SELECT id FROM emails WHERE part % 2 = 0 OR reference_number IS NOT NULL",
     "c13_settlement": inlined("emails")
     + """, k AS (SELECT id, confidence, part, supp, CASE supp % 4 WHEN 0 THEN -5.0 WHEN 1 THEN debt_amount END AS o FROM emails),

@@ -104,9 +104,9 @@ def x6_audit_samples(spark, sf):
 
 def q1_enqueue(spark, sf):
     q = domain(spark, sf, "review_queue")
-    items = q.where("id % 3 = 0").select((F.col("id") % 4000).alias("email_id"), F.when(F.col("id") % 30 != 0, F.col("review_reason")).alias("review_reason"), F.col("created_at").alias("at"))
-    mails = q.select((F.col("id") % 3500).alias("id"))
-    return rv.enqueue_reviews(items, q.where("email_id < 1000"), mails).groupBy("outcome", "priority").agg(F.count("*").alias("items"))
+    items = q.select((F.col("id") % 9000).alias("email_id"), F.when(F.col("id") % 30 != 0, F.col("review_reason")).alias("review_reason"), F.col("created_at").alias("at"))
+    mails = q.select((F.col("id") % 8000).alias("id"))
+    return rv.enqueue_reviews(items, q, mails).groupBy("outcome", "priority").agg(F.count("*").alias("items"))
 
 
 def q2_low_confidence(spark, sf):
@@ -236,8 +236,8 @@ SQL = {
        FROM issues, (SELECT count(*) AS n FROM emails WHERE received_at BETWEEN TIMESTAMP '1999-06-01' - INTERVAL 400 DAY AND TIMESTAMP '1999-06-01') p""",
     "x6_audit_samples": f"{_BOTH}, {_AUDIT} SELECT id, issue FROM issues WHERE issue IS NOT NULL QUALIFY row_number() OVER (PARTITION BY issue ORDER BY id) <= 5",
     "q1_enqueue": inlined("review_queue")
-    + """, i AS (SELECT id % 4000 AS e, CASE WHEN id % 30 <> 0 THEN review_reason END AS r, created_at AS moment FROM review_queue WHERE id % 3 = 0),
-     o AS (SELECT DISTINCT email_id FROM review_queue WHERE email_id < 1000 AND resolved_at IS NULL), k AS (SELECT DISTINCT id % 3500 AS id FROM review_queue),
+    + """, i AS (SELECT id % 9000 AS e, CASE WHEN id % 30 <> 0 THEN review_reason END AS r, created_at AS moment FROM review_queue),
+     o AS (SELECT DISTINCT email_id FROM review_queue WHERE resolved_at IS NULL), k AS (SELECT DISTINCT id % 8000 AS id FROM review_queue),
      s AS (SELECT *, CASE WHEN r IS NULL OR e NOT IN (SELECT id FROM k) THEN 'failed' WHEN e IN (SELECT email_id FROM o) THEN 'skipped' END AS x FROM i),
      t AS (SELECT *, coalesce(x, CASE WHEN row_number() OVER (PARTITION BY e, x ORDER BY moment, r) = 1 THEN 'added' ELSE 'skipped' END) AS outcome FROM s)
      SELECT outcome, CASE r WHEN 'manual_escalation' THEN 1 WHEN 'validation_failed' THEN 2 WHEN 'conflict_detected' THEN 3 WHEN 'missing_data' THEN 6 ELSE 5 END AS priority, count(*) AS items FROM t GROUP BY 1, 2""",

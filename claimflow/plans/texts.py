@@ -54,9 +54,9 @@ def t9_names(spark, sf):
 
 
 def t10_normalize(spark, sf):
-    t = domain(spark, sf, "texts").withColumn("text", F.concat(F.lit("Gruesse  und schoene\nTage "), F.substring("text", 1, 50)))
+    t = domain(spark, sf, "texts").withColumn("text", F.concat(F.lit("Gruesse  und schoene\nTage "), F.col("text")))
     words = spark.createDataFrame([("grüsse",), ("schöne",)], "word string")
-    return ex.normalize_german(t, words).select("doc_id", F.substring("text", 1, 22).alias("head"))
+    return ex.normalize_german(t, words).select("doc_id", F.substring("text", 1, 22).alias("head"), F.sha2("text", 256).alias("whole"))
 
 
 def t11_validate(spark, sf):
@@ -112,7 +112,7 @@ SQL = {
     + """, k AS (SELECT id, CASE WHEN id % 3 = 2 THEN floor(debt_amount) ELSE floor(debt_amount) + (id % 100) / 100.0::DOUBLE END::DOUBLE AS v FROM inquiries)
      SELECT id, round(v, 2) AS value, round(v, 2) AS first FROM k""",
     "t9_names": inlined("texts") + " SELECT doc_id, regexp_replace(trim(regexp_extract(text, 'Mandant:\\s+([A-Za-zäöüÄÖÜß,\\s-]+)', 1)), '[,.\\s]+$', '') AS client, 'MEDIUM' AS client_confidence FROM texts WHERE doc_id % 8 = 1",
-    "t10_normalize": inlined("texts") + " SELECT doc_id, 'Grüsse und schöne Tage' AS head FROM texts",
+    "t10_normalize": inlined("texts") + r""" SELECT doc_id, 'Grüsse und schöne Tage' AS head, sha256(trim('Grüsse und schöne Tage ' || regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS whole FROM texts WHERE text IS NOT NULL""",
     "t11_validate": """SELECT c_custkey, length(CASE WHEN c_custkey % 3 = 0 THEN lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(5, length(CAST(c_custkey AS VARCHAR))) AS INT), '0') ELSE CAST(c_custkey AS VARCHAR) END) = 5 AS code_ok,
        false AS name_ok, c_custkey % 2 = 0 AS street_ok FROM customer""",
     "t12_cells": """WITH g AS (SELECT l_orderkey AS k, l_linenumber AS c, min(l_extendedprice) AS p FROM lineitem GROUP BY 1, 2),
