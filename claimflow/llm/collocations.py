@@ -104,7 +104,7 @@ def lang_seed(lang: str) -> np.uint64:
     return np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 7))
 
 
-def counts(rows: DataFrame, most_words: int, before: Proposed | None, now: Proposed | None, most_tokens: int = 1 << 18) -> DataFrame:
+def counts(rows: DataFrame, most_words: int, before: Proposed | None, now: Proposed | None, most_tokens: int = 1 << 17) -> DataFrame:
     """Counts over ``rows`` (lang, text) of what :func:`count_grams` asks for: lang, phrase, digest, n.
 
     Rows with a phrase are exact; those with a digest alone, which stands for language and phrase, may be too high if digests
