@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from claimflow.operators.folds import fold_in_order
+
 #: Label names in the order in which they name a group (fixed values).
 LABEL_ORDER = ["actor", "queue", "model", "bucket"]
 
@@ -143,38 +145,72 @@ def version_stats(raw: DataFrame, now: dt.datetime, days: int = 7) -> DataFrame:
     )
 
 
-def daily_budget_gate(calls: DataFrame, limit: float, time_col: str = "extracted_at", cost_col: str = "api_cost_usd") -> DataFrame:
-    """Per UTC day in time order: a call is accepted if spent plus its cost stays within ``limit``; refused ones cost nothing.
-
-    A later, cheaper call may still fit, so a running sum does not do: one task folds one day's times and costs.
-    Null cost: 0. Ties: by id.
-    """
-    slim = calls.select("id", F.col(time_col).alias("at"), F.coalesce(F.col(cost_col), F.lit(0.0)).cast("double").alias("cost"))
+class _Budget:
+    """What a day has spent so far."""
 
-    def fold(day: pd.DataFrame) -> pd.DataFrame:
-        day = day.sort_values(["at", "id"])
-        spent, accepted = 0.0, []
-        for cost in day["cost"]:
-            fits = spent + cost <= limit
-            spent += cost if fits else 0.0
-            accepted.append(fits)
-        return day.assign(accepted=accepted)[["id", "date", "cost", "accepted"]]
+    def __init__(self) -> None:
+        self.spent = 0.0
 
-    dated = slim.withColumn("date", F.to_date("at"))
-    return dated.groupBy("date").applyInPandas(fold, "id long, date date, cost double, accepted boolean")
+    def accepts(self, cost: float, limit: float) -> bool:
+        fits = self.spent + cost <= limit
+        self.spent += cost if fits else 0.0
+        return fits
 
 
-def agreement_report(baseline: DataFrame, candidate: DataFrame, floors: dict[str, float]) -> DataFrame:
-    """Per call site: compared pairs, matches, rate, errors and whether the rate reaches the site's floor.
+def daily_budget_gate(calls: DataFrame, limit: float, time_col: str = "extracted_at", cost_col: str = "api_cost_usd") -> DataFrame:
+    """Per UTC day in time order: a call is accepted if spent plus its cost stays within ``limit``; refused ones cost nothing.
 
-    Rows (id, call_site, answer, error); both null answers agree; a row of one side alone is an error.
+    A later, cheaper call may still fit, so a running sum does not do: a day's calls, sorted by Spark, are folded in a stream
+    whose memory does not grow with the day. Null cost: 0. Ties: by id.
     """
-    b, c = (x.select("id", "call_site", F.col("answer").alias(f"{n}a"), F.col("error").alias(f"{n}e"), F.lit(True).alias(f"{n}p")) for x, n in ((baseline, "b"), (candidate, "c")))
-    both = b.join(c, ["id", "call_site"], "full")
-    failed = F.col("be").isNotNull() | F.col("ce").isNotNull() | F.col("bp").isNull() | F.col("cp").isNull()
-    same = F.lower(F.trim("ba")).eqNullSafe(F.lower(F.trim("ca")))
-    floor = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in floors.items() for x in kv]), F.col("call_site")), F.lit(0.95))
-    rows = both.select("call_site", failed.alias("failed"), (~failed & same).alias("same"))
-    sums = rows.groupBy("call_site").agg(F.count_if(~F.col("failed")).alias("compared"), F.count_if("same").alias("matches"), F.count_if("failed").alias("errors"))
+    slim = calls.select("id", F.col(time_col).alias("at"), F.coalesce(F.col(cost_col), F.lit(0.0)).cast("double").alias("cost"))
+    take = lambda day, call: (call.id, call.date, call.cost, day.accepts(call.cost, limit))
+    return fold_in_order(slim.withColumn("date", F.to_date("at")), ["date"], ["at", "id"], _Budget, take, "id long, date date, cost double, accepted boolean")
+
+
+#: Share of equal fields that a call site must reach (fixed values).
+AGREEMENT_FLOORS = {"intent": 0.95, "entity": 0.90, "settlement": 0.95}
+#: Call sites, their compared fields and how each is compared (fixed values).
+AGREEMENT_FIELDS = {
+    "intent": {"intent": "equal"},
+    "entity": {"is_creditor_reply": "equal", "client_name": "text", "creditor_name": "text", "debt_amount": "amount", "reference_numbers": "set"},
+    "settlement": {"counter_offer_amount": "amount"},
+}
+#: Two amounts are the same within this (fixed value).
+SAME_AMOUNT = 0.01
+
+
+def _agrees(how: str, a: Column, b: Column) -> Column:
+    """Whether two answers are the same; two nulls are, a null and a value aren't."""
+    if how == "text":
+        a, b = F.lower(F.trim(a)), F.lower(F.trim(b))
+    if how == "set":
+        a, b = F.array_sort(a), F.array_sort(b)
+    same = a.eqNullSafe(b)
+    return same | F.coalesce(F.abs(a.cast("double") - b.cast("double")) <= SAME_AMOUNT, F.lit(False)) if how == "amount" else same
+
+
+def agreement_report(baseline: DataFrame, candidate: DataFrame, floors: dict[str, float] | None = None) -> DataFrame:
+    """Per call site, of two runs over the same inputs: compared fields, equal ones, their rate, errors, invented amounts, and whether the site passes.
+
+    Rows (id, call_site, error) with the fields of ``AGREEMENT_FIELDS``, one row for each id and site. Intents and flags are compared as they are, names trimmed and in lower
+    case, references in any order, amounts within a cent; two nulls agree. An error on either side, or a row of one side alone, is an error and compares nothing.
+    An amount is invented where only the candidate has a settlement amount; a site with one fails at any rate. Other sites than those three are left out.
+    """
+    fields = sorted({f for site in AGREEMENT_FIELDS.values() for f in site})
+    row = F.struct("error", *fields)
+    b, c = (x.where(F.col("call_site").isin(*AGREEMENT_FIELDS)).select("id", "call_site", row.alias(n)) for x, n in ((baseline, "b"), (candidate, "c")))
+    both = b.join(c, ["id", "call_site"], "full").withColumn("failed", F.col("b").isNull() | F.col("c").isNull() | F.col("b.error").isNotNull() | F.col("c.error").isNotNull())
+    of_site = lambda values: reduce(lambda rest, site: rest.when(F.col("call_site") == site, values[site]), values, F.when(F.lit(False), 0)).otherwise(0)
+    equal = {site: sum((_agrees(how, F.col(f"b.{f}"), F.col(f"c.{f}")).cast("int") for f, how in shape.items()), F.lit(0)) for site, shape in AGREEMENT_FIELDS.items()}
+    invented = (F.col("call_site") == "settlement") & F.col("b.counter_offer_amount").isNull() & F.col("c.counter_offer_amount").isNotNull()
+    done = ~F.col("failed")
+    sums = both.groupBy("call_site").agg(
+        F.sum(F.when(done, of_site({site: F.lit(len(shape)) for site, shape in AGREEMENT_FIELDS.items()})).otherwise(0)).alias("compared"),
+        F.sum(F.when(done, of_site(equal)).otherwise(0)).alias("matches"),
+        F.count_if("failed").alias("errors"),
+        F.count_if(done & invented).alias("invented"),
+    )
     rate = F.when(F.col("compared") > 0, F.col("matches") / F.col("compared")).otherwise(0.0)
-    return sums.withColumn("rate", rate).withColumn("passed", F.col("rate") >= floor)
+    floor = of_site({site: F.lit(x) for site, x in (AGREEMENT_FLOORS | (floors or {})).items() if site in AGREEMENT_FIELDS})
+    return sums.withColumn("rate", rate).withColumn("passed", (F.col("rate") >= floor) & (F.col("invented") == 0))

@@ -59,12 +59,25 @@ def a9_daily_budget(spark, sf):
 
 
 def a10_agreement(spark, sf):
-    mails = domain(spark, sf, "emails")
-    base = mails.select("id", F.lit("intent").alias("call_site"), F.col("intent").alias("answer"), F.lit(None).cast("string").alias("error"))
-    answer = F.when(F.col("part") % 10 == 0, "spam").otherwise(F.upper("intent"))
-    error = F.when(F.col("part") % 50 == 3, "timeout")
-    cand = mails.where("part % 40 <> 7").select("id", F.lit("intent").alias("call_site"), answer.alias("answer"), error.alias("error"))
-    return rounded(ops.agreement_report(base, cand, {"intent": 0.95, "entity": 0.90, "settlement": 0.95}), "rate")
+    """Two runs over all mails at three call sites; the candidate differs from the baseline by rules on ``part``."""
+    mails, half = domain(spark, sf, "emails"), F.col("debt_amount").cast("double") / 2
+    every = lambda n: F.col("part") % n == 0
+    site = F.explode(F.array(*[F.lit(s) for s in ops.AGREEMENT_FIELDS])).alias("call_site")
+    refs = lambda *parts: F.array_compact(F.array(*parts)).alias("reference_numbers")
+    base = mails.select(
+        "id", site, F.lit(None).cast("string").alias("error"), "intent", (F.col("processing_status") != "not_creditor_reply").alias("is_creditor_reply"), "client_name", "creditor_name",
+        F.col("debt_amount").cast("double").alias("debt_amount"), refs("reference_number", F.lit("X")), F.when(F.col("intent") == "payment_plan", half).alias("counter_offer_amount"),
+    )
+    cand = mails.where("part % 40 <> 7").select(
+        "id", site, F.when(F.col("part") % 50 == 3, "timeout").alias("error"), F.when(every(25), "spam").otherwise(F.col("intent")).alias("intent"),
+        ((F.col("processing_status") != "not_creditor_reply") != every(30)).alias("is_creditor_reply"),
+        F.when(every(11), "Someone").when(every(6), F.concat(F.lit("  "), F.upper("client_name"), F.lit(" "))).otherwise(F.col("client_name")).alias("client_name"),
+        F.when(every(26), "Guess").otherwise(F.col("creditor_name")).alias("creditor_name"),
+        (F.col("debt_amount").cast("double") + F.when(every(9), 1.0).when(every(4), 0.005).otherwise(0.0)).alias("debt_amount"),
+        F.when(every(2), refs(F.lit("X"), "reference_number")).otherwise(refs("reference_number", F.lit("X"))).alias("reference_numbers"),
+        F.when((F.col("intent") == "rejection") & every(17), 100.0).when((F.col("intent") == "payment_plan") & ~every(19), half).alias("counter_offer_amount"),
+    )
+    return rounded(ops.agreement_report(base, cand), "rate")
 
 
 QUERIES = {f.__name__: f for f in (a1_emit_metrics, a3_rollup_operational, a4_rollup_prompts, a5_upsert_daily, a6_retention, a7_api_cost, a8_version_stats, a9_daily_budget, a10_agreement)}
@@ -102,10 +115,12 @@ SQL = {
        CAST(trunc(avg(execution_time_ms)) AS INT) AS avg_ms, round(sum(api_cost_usd), 6) AS cost FROM prompt_metrics
      WHERE extracted_at >= TIMESTAMP '2024-01-13' AND extracted_at <= TIMESTAMP '2024-01-20' GROUP BY 1""",
     "a10_agreement": inlined("emails")
-    + """, c AS (SELECT id, CASE WHEN part % 10 = 0 THEN 'spam' ELSE intent END AS answer, part % 50 = 3 AS failed FROM emails WHERE part % 40 <> 7)
-     SELECT 'intent' AS call_site, count(*) FILTER (NOT coalesce(failed, true)) AS compared, count(*) FILTER (NOT coalesce(failed, true) AND answer = intent) AS matches,
-       count(*) FILTER (coalesce(failed, true)) AS errors,
-       round(count(*) FILTER (NOT coalesce(failed, true) AND answer = intent) / count(*) FILTER (NOT coalesce(failed, true)), 6) AS rate,
-       count(*) FILTER (NOT coalesce(failed, true) AND answer = intent) / count(*) FILTER (NOT coalesce(failed, true)) >= 0.95 AS passed
-     FROM emails LEFT JOIN c USING (id)""",
+    + """, c AS (SELECT *, part % 40 = 7 OR part % 50 = 3 AS failed FROM emails),
+     sites AS (
+       SELECT 'intent' AS call_site, failed, 1 AS n, CAST(part % 25 <> 0 AS INT) AS same, false AS invented FROM c
+       UNION ALL SELECT 'entity', failed, 5, CAST(part % 30 <> 0 AS INT) + CAST(part % 11 <> 0 AS INT) + CAST(part % 26 <> 0 AS INT) + CAST(part % 9 <> 0 AS INT) + 1, false FROM c
+       UNION ALL SELECT 'settlement', failed, 1, CAST(NOT (intent = 'rejection' AND part % 17 = 0 OR intent = 'payment_plan' AND part % 19 = 0) AS INT), intent = 'rejection' AND part % 17 = 0 FROM c),
+     sums AS (SELECT call_site, CAST(coalesce(sum(n) FILTER (NOT failed), 0) AS BIGINT) AS compared, CAST(coalesce(sum(same) FILTER (NOT failed), 0) AS BIGINT) AS matches,
+       count(*) FILTER (failed) AS errors, count(*) FILTER (NOT failed AND invented) AS invented FROM sites GROUP BY 1)
+     SELECT * EXCLUDE (call_site), call_site, round(matches / compared, 6) AS rate, matches / compared >= CASE call_site WHEN 'entity' THEN 0.90 ELSE 0.95 END AND invented = 0 AS passed FROM sums""",
 }

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import DateType, LongType, StringType, StructField, StructType
+from pyspark.sql.window import Window
 
+from claimflow.operators.folds import fold_in_order
 from claimflow.operators.intake import parse_inbound, resolve_tenant
 from claimflow.operators.metrics import labels_key
 from claimflow.operators.routing import inquiry_keys, route_by_keys
@@ -143,19 +145,38 @@ def _fold(rows: pd.DataFrame, probe: Probe) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["domain", "id", "blocked", "addresses"])
 
 
+def _stretches(messages: DataFrame) -> DataFrame:
+    """``messages`` with stretch: a domain's messages up to a silence as long as a block, after which its state is empty.
+
+    Two messages of one block-long bucket of time have no such silence between them, so buckets are summed first and the silences
+    are found between the sums; no domain's messages are put in order together.
+    """
+    bucket = F.floor(F.col("at_ms") / BLOCK_MS).alias("bucket")
+    sums = messages.groupBy("domain", bucket).agg(F.min("at_ms").alias("first"), F.max("at_ms").alias("last"))
+    in_time = Window.partitionBy("domain").orderBy("bucket")
+    silent = F.coalesce(F.col("first") - F.lag("last").over(in_time) >= BLOCK_MS, F.lit(True))
+    numbered = sums.withColumn("silent", silent).select(F.col("domain").alias("d"), F.col("bucket").alias("b"), F.sum(F.col("silent").cast("long")).over(in_time).alias("stretch"))
+    placed = messages.withColumn("bucket", bucket)
+    return placed.join(numbered, placed["domain"].eqNullSafe(numbered["d"]) & placed["bucket"].eqNullSafe(numbered["b"])).drop("d", "b", "bucket")
+
+
 def probing_report(messages: DataFrame) -> DataFrame:
     """Per message (domain, id, at_ms, addresses) of a stored batch: whether its sender domain is blocked, in time order.
 
-    The state machine depends on the order, so a domain's messages are one task's; only their four columns go there.
+    The state machine depends on the order, but its state is empty after a silence as long as a block: a domain is split at all of
+    them, and each stretch is folded in a stream of its sorted messages. Only a domain that is never silent is one task's, in bounded memory.
     """
-    slim = messages.select("domain", "id", "at_ms", "addresses")
-    return slim.groupBy("domain").applyInPandas(lambda rows: _fold(rows, Probe()), _PROBED)
+
+    def take(probe: Probe, row) -> tuple:
+        blocked, count = probe.step(int(row.at_ms), list(row.addresses))
+        return row.domain, row.id, blocked, count
+
+    slim = _stretches(messages.select("domain", "id", "at_ms", "addresses"))
+    return fold_in_order(slim, ["domain", "stretch"], ["at_ms", "id"], Probe, take, _PROBED)
 
 
 def over_limit(messages: DataFrame) -> DataFrame:
     """Plain flags without blocking: id and whether more than the limit of addresses was seen in the last 60 seconds, built-ins alone."""
-    from pyspark.sql.window import Window
-
     window = Window.partitionBy("domain").orderBy("at_ms").rangeBetween(-(WINDOW_MS - 1), 0)
     seen = F.size(F.array_distinct(F.flatten(F.collect_list(F.transform("addresses", lambda a: F.lower(F.trim(a)))).over(window))))
     return messages.select("id", (seen > MOST_ADDRESSES).alias("over"))
