@@ -37,6 +37,22 @@ def r_route_deterministic(spark, sf):
     return routing.route_deterministic(routed_emails(spark, sf), domain(spark, sf, "inquiries"))
 
 
+def r6_combined_references(spark, sf):
+    """Replies that name an inquiry by case number and place alone: with the letter's digit (V2) or in the old form without it."""
+    i = domain(spark, sf, "inquiries")
+    place = F.concat(F.col("kanzlei_prefix"), F.lit("-"), F.lpad(F.col("creditor_idx").cast("string"), 2, "0"))
+    letter = F.when(F.col("letter_type") == "second", "2").otherwise("1")
+    old = F.concat(F.lit("Ihr Az. "), (F.col("custkey") % 10000).cast("string"), F.lit("/"), place, F.lit(" betreffend"))
+    new = F.concat(F.lit("Unser Zeichen: "), F.lower("reference_number"), F.lit("/"), place, F.lit("-"), letter, F.lit("."))
+    text = F.when(F.col("routing_id_version") == "v1", old).otherwise(new)
+    nothing = F.lit(None).cast("string")
+    mails = i.select(
+        "id", nothing.alias("in_reply_to"), F.lit(None).cast("array<string>").alias("to_addresses"), F.when(F.col("id") % 2 == 0, text).alias("subject"),
+        F.when(F.col("id") % 2 != 0, text).alias("body_text"), nothing.alias("body_html"), nothing.alias("from_email"), F.when(F.col("id") % 3 != 0, F.col("kanzlei_id")).alias("kanzlei_id"),
+    )
+    return routing.route_deterministic(mails, i).select("id", "inquiry_id", "method", "confidence")
+
+
 def r8_unique_senders(spark, sf):
     keys = routing.inquiry_keys(domain(spark, sf, "inquiries"))
     return keys.where("kind = 'sender'").select("scope", "key", "inquiry_id")
@@ -114,7 +130,7 @@ def m14_review_payload(spark, sf):
     return found.select("email_id", "reason", "priority", F.coalesce(F.size("top"), F.lit(0)).alias("n_top"))
 
 
-QUERIES = {f.__name__: f for f in (match_status_counts, n1_normalize, n4_parse_routing_id, n5_client_hash, r_route_deterministic, r8_unique_senders, m1_candidates, m1_candidates_wide, m2_m6_fuzzy, m9_decide, m10_match_results, m11_explain, m12_score_v1, m13_second_letter, m14_review_payload)}
+QUERIES = {f.__name__: f for f in (match_status_counts, n1_normalize, n4_parse_routing_id, n5_client_hash, r_route_deterministic, r6_combined_references, r8_unique_senders, m1_candidates, m1_candidates_wide, m2_m6_fuzzy, m9_decide, m10_match_results, m11_explain, m12_score_v1, m13_second_letter, m14_review_payload)}
 
 _CANDIDATES = """pairs AS (
   SELECT e.id AS email_id, i.id AS inquiry_id, CASE WHEN e.from_email = i.creditor_email THEN 1 ELSE 2 END AS tier
@@ -174,6 +190,16 @@ SQL = {
        CASE WHEN routing_id_version = 'v2' THEN CASE split_part(i.routing_id, '-', 3) WHEN '2' THEN 'second' ELSE 'first' END ELSE letter_type END AS letter_type,
        CASE WHEN routing_id_version = 'v1' THEN CAST(split_part(i.routing_id, '-', 3) AS INT) END AS creditor_position
      FROM best JOIN inquiries i ON i.id = b[2]""",
+    "r6_combined_references": inlined("inquiries")
+    + """, scoped AS (SELECT *, kanzlei_id AS scope FROM inquiries UNION ALL SELECT *, '*' FROM inquiries),
+     mails AS (SELECT *, CASE WHEN id % 3 = 0 THEN '*' ELSE kanzlei_id END AS scope FROM inquiries),
+     newest AS (SELECT * FROM scoped WHERE routing_id_version = 'v2' QUALIFY row_number() OVER (PARTITION BY scope, kanzlei_prefix, creditor_idx, letter_type ORDER BY sent_at DESC, id) <= 50),
+     named AS (SELECT scope, kanzlei_prefix, creditor_idx, letter_type, reference_number, max(id) AS inquiry_id FROM newest GROUP BY ALL HAVING count(*) = 1),
+     recent AS (SELECT * FROM scoped QUALIFY row_number() OVER (PARTITION BY scope, kanzlei_prefix ORDER BY sent_at DESC, id) <= 100),
+     old AS (SELECT scope, kanzlei_prefix, creditor_idx, CAST(custkey % 10000 AS STRING) AS digits, arg_max(id, (sent_at, -id)) AS inquiry_id FROM recent WHERE routing_id_version = 'v1' GROUP BY ALL)
+     SELECT m.id, n.inquiry_id, 'combined_ref' AS method, 0.94::DOUBLE AS confidence FROM mails m JOIN named n USING (scope, kanzlei_prefix, creditor_idx, letter_type, reference_number) WHERE m.routing_id_version = 'v2'
+     UNION ALL SELECT m.id, o.inquiry_id, 'combined_ref', 0.94::DOUBLE FROM mails m JOIN old o ON o.scope = m.scope AND o.kanzlei_prefix = m.kanzlei_prefix AND o.creditor_idx = m.creditor_idx AND o.digits = CAST(m.custkey % 10000 AS STRING)
+       WHERE m.routing_id_version = 'v1'""",
     "r8_unique_senders": inlined("inquiries")
     + """, scoped AS (SELECT *, kanzlei_id AS scope FROM inquiries UNION ALL SELECT *, '*' FROM inquiries)
      SELECT scope, lower(creditor_email) AS key, max(id) AS inquiry_id FROM scoped WHERE status = 'sent' GROUP BY 1, 2 HAVING count(*) = 1""",
