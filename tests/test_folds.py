@@ -56,3 +56,18 @@ def test_agreement_by_field(spark):
     figures = {s: (r["compared"], r["matches"], r["errors"], r["invented"], r["passed"]) for s, r in found.items()}
     assert figures == {"entity": (10, 7, 0, 0, True), "settlement": (2, 0, 1, 1, False), "intent": (2, 1, 1, 0, False)}
     assert metrics.agreement_report(spark.createDataFrame([], shape), spark.createDataFrame([], shape)).count() == 0
+
+
+def test_ids_of_any_length_and_texts_without(spark):
+    from claimflow.operators import routing
+
+    shape = "id long, to_addresses array<string>, in_reply_to string, subject string, body_text string, body_html string, from_email string, kanzlei_id string"
+    none = (None, None, None, None, None, None, None)
+    texts = ["SC-00012345678901234567890-1-abcd-xyz", "", None, "no id 12/34 at all", "12/sc-007-2 and 9.9/MU-04", "RAV-AB-xy-3"]
+    rows = [(i, None, " <> ", t, t, t, None, None) for i, t in enumerate(texts)] + [(9, ["a@b", None, "office+kb-01-2-c001-k7p@reply.example"], *none[1:])]
+    got = {(r["id"], r["kind"], r["key"]) for r in routing.email_keys(spark.createDataFrame(rows, shape), r"reply\.example").collect()}
+    assert {g for g in got if g[0] == 0} == {(0, "id", "SC-00012345678901234567890-1-ABCD-XYZ"), (0, "parts", "SC|12345678901234567890|1|abcd")}
+    assert not {g for g in got if g[0] in (1, 2, 3)}
+    assert {g[1:] for g in got if g[0] == 4 and g[1] != "parts"} == {("reference", "SC|7|2|12"), ("old", "MU|04|99")}
+    assert {g[1:] for g in got if g[0] == 5} == {("id", "AB-XY-3")}
+    assert {g[1:] for g in got if g[0] == 9} == {("id", "KB-01-2-C001-K7P"), ("parts", "KB|1|2|c001")}
