@@ -11,37 +11,38 @@ from pyspark.sql.window import Window
 
 from claimflow.functions.amounts import parse_amount
 
-_N, _CUR = r"([0-9][0-9.,]*)", r"\s*(EUR|€|Euro)"
-_BARE = r"([0-9][0-9.,]{2,})()"
 #: Tier and pattern of an amount in a text, most telling first (fixed values).
 AMOUNT_PATTERNS = [
-    (1, r"(?:noch\s+zu\s+zahlen|Noch\s+zu\s+zahlen)[:\s]*" + _N + _CUR),
-    (1, r"[Ii]nsgesamt[:\s]*" + _N + _CUR),
-    (1, r"[Ff]orderung[:\s\w]*?insgesamt[:\s]*" + _N + _CUR),
-    (1, r"[Ss]umme[:\s]*" + _N + _CUR),
-    (1, r"[Gg]esamtforderung[:\s\w]*?" + _N + _CUR),
-    (1, r"[Gg]esamt(?:betrag|summe)[:\s\w]*?" + _N + _CUR),
-    (2, r"[Ff]orderung(?:shöhe|sbetrag)?[:\s\w]*?" + _N + _CUR),
-    (2, r"[Bb]etrag[:\s\w]*?" + _N + _CUR),
-    (2, r"[Rr]estschuld[:\s\w]*?" + _N + _CUR),
-    (2, r"[Oo]ffener\s+(?:Betrag|Saldo)[:\s\w]*?" + _N + _CUR),
-    (2, r"[Gg]esamtforderung[:\s\w]*?" + _BARE),
-    (2, r"[Gg]esamt(?:betrag|summe)[:\s\w]*?" + _BARE),
-    (2, r"[Ff]orderung(?:shöhe|sbetrag)?[:\s\w]*?" + _BARE),
-    (2, r"[Ss]aldo[:\s\w]*?" + _BARE),
-    (2, r"[Rr]ückstand[:\s\w]*?" + _BARE),
-    (2, r"[Hh]auptforderung[:\s\w]*?" + _BARE),
-    (2, r"[Zz]ahlungsbetrag[:\s\w]*?" + _BARE),
-    (3, _N + _CUR),
-    (3, r"(EUR|€)\s*" + _N),
+    (1, r"(?:noch\s+zu\s+zahlen|Noch\s+zu\s+zahlen)[:\s]*([0-9][0-9.,]*)\s*(EUR|€|Euro)"),
+    (1, r"[Ii]nsgesamt[:\s]*([0-9][0-9.,]*)\s*(EUR|€|Euro)"),
+    (1, r"[Ff]orderung[:\s\w]*?insgesamt[:\s]*([0-9][0-9.,]*)\s*(EUR|€|Euro)"),
+    (1, r"[Ss]umme[:\s]*([0-9][0-9.,]*)\s*(EUR|€|Euro)"),
+    (1, r"[Gg]esamtforderung[:\s\w]*?([0-9][0-9.,]*)\s*(EUR|€|Euro)"),
+    (1, r"[Gg]esamt(?:betrag|summe)[:\s\w]*?([0-9][0-9.,]*)\s*(EUR|€|Euro)"),
+    (2, r"[Ff]orderung(?:shöhe|sbetrag)?[:\s\w]*?([0-9][0-9.,]*)\s*(EUR|€|Euro)"),
+    (2, r"[Bb]etrag[:\s\w]*?([0-9][0-9.,]*)\s*(EUR|€|Euro)"),
+    (2, r"[Rr]estschuld[:\s\w]*?([0-9][0-9.,]*)\s*(EUR|€|Euro)"),
+    (2, r"[Oo]ffener\s+(?:Betrag|Saldo)[:\s\w]*?([0-9][0-9.,]*)\s*(EUR|€|Euro)"),
+    (2, r"[Gg]esamtforderung[:\s\w]*?([0-9][0-9.,]{2,})()"),
+    (2, r"[Gg]esamt(?:betrag|summe)[:\s\w]*?([0-9][0-9.,]{2,})()"),
+    (2, r"[Ff]orderung(?:shöhe|sbetrag)?[:\s\w]*?([0-9][0-9.,]{2,})()"),
+    (2, r"[Ss]aldo[:\s\w]*?([0-9][0-9.,]{2,})()"),
+    (2, r"[Rr]ückstand[:\s\w]*?([0-9][0-9.,]{2,})()"),
+    (2, r"[Hh]auptforderung[:\s\w]*?([0-9][0-9.,]{2,})()"),
+    (2, r"[Zz]ahlungsbetrag[:\s\w]*?([0-9][0-9.,]{2,})()"),
+    (3, r"([0-9][0-9.,]*)\s*(EUR|€|Euro)"),
+    (3, r"(EUR|€)\s*([0-9][0-9.,]*)"),
 ]
 #: Words that make the neighbour of a spreadsheet cell an amount (fixed values).
 CELL_KEYWORDS = ["gesamtforderung", "gesamt", "forderung", "betrag", "summe", "total", "amount", "schuld", "forderungshöhe", "forderungshoehe", "hauptforderung", "nebenforderung", "zinsen", "kosten"]
 #: Words of an answer to a settlement offer (fixed values).
 SECOND_LETTER_WORDS = ["vergleich", "schuldenbereinigung", "einigung", "ratenzahlung", "zahlungsvereinbarung", "vergleichsvorschlag", "angenommen", "abgelehnt", "akzeptiert", "regulierungsvorschlag", "einverstanden", "zustimmung"]
+#: Case numbers in a text, tried in this order (fixed values).
 CASE_PATTERNS = [r"(?i)(?:Az\.?|Aktenzeichen|AZ)[:\s]*(\d{2,6}[/_]\d{1,5})", r"(?i)(?:Az\.?|Aktenzeichen|AZ)[:\s]*(\d{4,8})", r"(?i)(?:unser(?:em?)?\s+Zeichen)[:\s]*(\d{2,6}[/_]\d{1,5})"]
+#: Shapes of a valid German name and address (fixed values).
 _NAME = r"^[A-Za-zäöüÄÖÜß\-\s]+(von|zu|vom|zum|zur|der)?\s*[A-Za-zäöüÄÖÜß\-\s]*$"
 _ADDRESS = r"^[A-Za-zäöüÄÖÜß.\-\s]+\s+\d+[a-z]?(\s*//.+)?$"
+#: Attachment formats and the order in which they are read (fixed values).
 FORMATS = {"pdf": "pdf", "docx": "docx", "xlsx": "xlsx", "jpg": "image", "jpeg": "image", "png": "image"}
 FORMAT_ORDER = ["pdf", "docx", "xlsx", "image"]
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from claimflow.functions.similarity import name_similarity, reference_similarity
+from claimflow.functions.similarity import name_similarity, pair_similarity, plain_name_score, reference_similarity, window_score, word_order_score
 from claimflow.sources.tables import written
 
 BUCKET_DAYS = 30
@@ -284,15 +284,35 @@ def explain(decided: DataFrame, lookback_days: int = 90, gap_threshold: float =
     return decided.select("email_id", F.to_json(made).alias("explanation"))
 
 
+def _scored_once(pairs: DataFrame, left: Column, right: Column, how: Callable[[str, str], float], name: str) -> DataFrame:
+    """``pairs`` with column ``name``: the similarity of two texts, each distinct pair of them scored once; null where either is null or empty."""
+    marked = pairs.withColumns({"__x": left, "__y": right})
+    distinct = marked.select("__x", "__y").where("__x <> '' AND __y <> ''").distinct()
+    return marked.join(distinct.withColumn(name, pair_similarity(F.col("__x"), F.col("__y"), how)), ["__x", "__y"], "left").drop("__x", "__y")
+
+
+def v1_ratios(pairs: DataFrame, name: str, stored_name: str, creditor: str, stored_creditor: str) -> DataFrame:
+    """What :func:`score_v1` needs of the names and addresses of pairs: name_score, creditor_similarity, domain_similarity, same_domain.
+
+    Columns from_email and creditor_email hold the addresses; what follows the last @ is the domain, the whole address where there is none. Creditors and domains are scored only where the domains differ.
+    """
+    domain = lambda c: F.lower(F.substring_index(F.coalesce(F.col(c), F.lit("")), "@", -1))
+    same = domain("from_email") == domain("creditor_email")
+    scored = _scored_once(pairs, F.col(name), F.col(stored_name), plain_name_score, "name_score").withColumn("name_score", F.coalesce("name_score", F.lit(0.0)))
+    scored = _scored_once(scored.withColumn("same_domain", same), F.when(~same, F.col(creditor)), F.col(stored_creditor), word_order_score, "creditor_similarity")
+    return _scored_once(scored, F.when(~same, domain("from_email")), domain("creditor_email"), window_score, "domain_similarity")
+
+
 def score_v1(pairs: DataFrame) -> DataFrame:
-    """The older four-signal score of pairs with name_score: name .40, creditor .30, age .20, reference .10.
+    """The older four-signal score of pairs with the columns of :func:`v1_ratios`: name .40, creditor .30, age .20, reference .10.
 
-    Columns creditor_similarity (0 to 1), same_domain, domain_similarity, received_at, sent_at, references, reference_number.
+    Columns received_at, sent_at, references, reference_number too. Without both creditors' names (a null creditor_similarity) the creditor counts 0.3; an empty or null reference is no hit.
     """
     days = F.floor((F.unix_timestamp(F.col("received_at").cast("timestamp")) - F.unix_timestamp(F.col("sent_at").cast("timestamp"))) / 86400)
     age = F.when(days < 0, 0.0).when(days <= 7, 1.0).when(days <= 14, 0.9).when(days <= 30, 0.7).when(days <= 60, 0.5).otherwise(0.2)
-    creditor = F.when(F.col("same_domain"), 1.0).when(F.col("domain_similarity") > 0.8, 0.9).when(F.col("creditor_similarity") > 0, F.col("creditor_similarity") * 0.7).otherwise(0.3)
-    hit = F.exists("references", lambda r: F.contains(F.upper(F.col("reference_number")), F.upper(r)) | F.contains(F.upper(r), F.upper(F.col("reference_number"))))
+    creditor = F.when(F.col("same_domain"), 1.0).when(F.col("domain_similarity") > 0.8, 0.9).otherwise(F.coalesce(F.col("creditor_similarity") * 0.7, F.lit(0.3)))
+    stored = F.lower(F.nullif(F.col("reference_number"), F.lit("")))
+    hit = F.exists("references", lambda r: F.contains(stored, F.lower(r)) | F.contains(F.lower(r), stored))
     score = F.col("name_score") * 0.4 + creditor * 0.3 + age * 0.2 + F.coalesce(hit, F.lit(False)).cast("int") * 0.1
     return pairs.withColumn("score_v1", F.round(score, 6))
 

@@ -114,15 +114,13 @@ def m13_second_letter(spark, sf):
 
 
 def m12_score_v1(spark, sf):
+    """Candidates by address or domain with the older score and its signals."""
     m, i = domain(spark, sf, "emails"), domain(spark, sf, "inquiries")
-    asked = m.withColumnsRenamed({"client_name": "ename", "reference_number": "eref"})
-    own, other = ("ename", "eref", "from_email", "received_at"), ("client_name", "reference_number", "creditor_email", "sent_at", "letter_type")
+    asked = m.withColumnsRenamed({"client_name": "ename", "reference_number": "eref", "creditor_name": "ecreditor"})
+    own, other = ("ename", "eref", "ecreditor", "from_email", "received_at"), ("client_name", "reference_number", "creditor_name", "creditor_email", "sent_at")
     pairs = match.candidates(asked, i, widen=False, mail_columns=own, inquiry_columns=other)
-    same = lambda a, b: F.lower(F.trim(a)) == F.lower(F.trim(b))
-    scored = pairs.withColumn("score", match.score_exact(same("ename", "client_name"), same("eref", "reference_number")))
-    pairs = scored.withColumn("references", F.array_compact(F.array("eref"))).withColumns({"name_score": F.col("score"), "creditor_similarity": F.lit(0.5), "domain_similarity": F.lit(0.0)})
-    pairs = pairs.withColumn("same_domain", match.mail_domain(F.col("from_email")) == match.mail_domain(F.col("creditor_email")))
-    return match.score_v1(pairs).select("email_id", "inquiry_id", "score_v1")
+    pairs = match.v1_ratios(pairs.withColumn("references", F.array_compact(F.array("eref"))), "ename", "client_name", "ecreditor", "creditor_name")
+    return match.score_v1(pairs).select("email_id", "inquiry_id", F.round("name_score", 6).alias("name_score"), "score_v1")
 
 
 def m14_review_payload(spark, sf):
@@ -148,13 +146,13 @@ _SCORED = """, scored AS (
     (CAST(coalesce(lower(e.client_name) = lower(i.client_name), false) AS INT) + CAST(coalesce(lower(e.reference_number) = lower(i.reference_number), false) AS INT)) / 2 AS score
   FROM best b JOIN emails e ON e.id = b.email_id JOIN inquiries i ON i.id = b.inquiry_id
 ), ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY email_id ORDER BY score DESC, sent_at DESC, inquiry_id) AS rank FROM scored)"""
-_RANKED, _NEAR_RANKED = _CASCADE + _SCORED, _CANDIDATES + _SCORED
+_RANKED = _CASCADE + _SCORED
 _OUTCOME = """, tops AS (SELECT email_id, lower(creditor_email) AS top_email FROM ranked WHERE rank = 1),
   sums AS (SELECT email_id, max(score) FILTER (rank = 1) AS score, max(inquiry_id) FILTER (rank = 1) AS top_inquiry,
     max(score) FILTER (rank > 1 AND lower(creditor_email) <> top_email) AS second, count(*) AS n_candidates FROM ranked JOIN tops USING (email_id) GROUP BY 1),
   gaps AS (SELECT e.id AS email_id, s.* EXCLUDE (email_id), CASE WHEN score IS NULL THEN NULL WHEN n_candidates = 1 OR second IS NULL THEN 1.0 ELSE score - second END AS gap FROM emails e LEFT JOIN sums s ON s.email_id = e.id),
   decided AS (SELECT *, CASE WHEN score IS NULL THEN 'no_recent_inquiry' WHEN score < 0.70 THEN 'below_threshold' WHEN gap >= 0.15 THEN 'auto_matched' ELSE 'ambiguous' END AS status FROM gaps)"""
-_DECIDED, _NEAR_DECIDED = _RANKED + _OUTCOME, _NEAR_RANKED + _OUTCOME
+_DECIDED = _RANKED + _OUTCOME
 _BOTH = inlined("emails", "inquiries")
 _B36 = "0123456789abcdefghijklmnopqrstuvwxyz"
 _DIGIT = "substr('" + _B36 + "', CAST(v // {} % 36 + 1 AS INT), 1)"
@@ -216,8 +214,5 @@ SQL = {
     "m11_explain": f"{_BOTH}, {_DECIDED} SELECT email_id, status, gap, 90 AS days, top_inquiry FROM decided",
     "m13_second_letter": f"""{_BOTH}, {_RANKED}, t AS (SELECT email_id, arg_min(inquiry_id, rank) AS top, arg_min(letter_type, rank) AS kind, arg_min(inquiry_id, rank) FILTER (letter_type = 'second') AS second FROM ranked WHERE rank <= 3 GROUP BY 1)
      SELECT email_id, CASE WHEN kind = 'first' AND e.intent = 'payment_plan' AND second IS NOT NULL THEN second ELSE top END AS chosen FROM t JOIN emails e ON e.id = email_id""",
-    "m12_score_v1": f"""{_BOTH}, {_NEAR_RANKED}, d AS (SELECT *, date_diff('second', sent_at, received_at) // 86400 AS days FROM scored)
-     SELECT email_id, inquiry_id, round(score * 0.4::DOUBLE + 0.3::DOUBLE + CASE WHEN days < 0 THEN 0 WHEN days <= 7 THEN 1 WHEN days <= 14 THEN 0.9 WHEN days <= 30 THEN 0.7 WHEN days <= 60 THEN 0.5 ELSE 0.2 END::DOUBLE * 0.2::DOUBLE
-       + CASE WHEN contains(reference_number, eref) OR contains(eref, reference_number) THEN 0.1 ELSE 0 END::DOUBLE, 6) AS score_v1 FROM d""",
     "m14_review_payload": f"""{_BOTH}, {_DECIDED} SELECT email_id, status AS reason, CASE status WHEN 'no_recent_inquiry' THEN 4 ELSE 5 END AS priority, CAST(least(coalesce(n_candidates, 0), 3) AS INT) AS n_top FROM decided WHERE status <> 'auto_matched'""",
 }
