@@ -194,8 +194,16 @@ SQL = {
      newest AS (SELECT * FROM scoped WHERE routing_id_version = 'v2' QUALIFY row_number() OVER (PARTITION BY scope, kanzlei_prefix, creditor_idx, letter_type ORDER BY sent_at DESC, id) <= 50),
      named AS (SELECT scope, kanzlei_prefix, creditor_idx, letter_type, reference_number, max(id) AS inquiry_id FROM newest GROUP BY ALL HAVING count(*) = 1),
      recent AS (SELECT * FROM scoped QUALIFY row_number() OVER (PARTITION BY scope, kanzlei_prefix ORDER BY sent_at DESC, id) <= 100),
-     old AS (SELECT scope, kanzlei_prefix, creditor_idx, CAST(custkey % 10000 AS STRING) AS digits, arg_max(id, (sent_at, -id)) AS inquiry_id FROM recent WHERE routing_id_version = 'v1' GROUP BY ALL)
-     SELECT m.id, n.inquiry_id, 'combined_ref' AS method, 0.94::DOUBLE AS confidence FROM mails m JOIN named n USING (scope, kanzlei_prefix, creditor_idx, letter_type, reference_number) WHERE m.routing_id_version = 'v2'
+     old AS (SELECT scope, kanzlei_prefix, creditor_idx, CAST(custkey % 10000 AS STRING) AS digits, arg_max(id, (sent_at, -id)) AS inquiry_id FROM recent WHERE routing_id_version = 'v1' GROUP BY ALL),
+     parts AS (SELECT scope, kanzlei_prefix, creditor_idx, letter_type, client_hash, arg_max(id, (sent_at, -id)) AS inquiry_id FROM scoped WHERE routing_id_version = 'v2' GROUP BY ALL),
+     coded AS (SELECT *, CAST('0x' || substr(sha256(lower(reference_number)), 1, 6) AS BIGINT) AS v FROM mails WHERE routing_id_version = 'v2'),
+     hashed AS (SELECT *, """
+    + " || ".join(_DIGIT.format(36**p) for p in (3, 2, 1, 0))
+    + """ AS own_hash FROM coded)
+     SELECT m.id, coalesce(p.inquiry_id, n.inquiry_id) AS inquiry_id, 'combined_ref' AS method, 0.94::DOUBLE AS confidence
+     FROM hashed m LEFT JOIN parts p ON p.scope = m.scope AND p.kanzlei_prefix = m.kanzlei_prefix AND p.creditor_idx = m.creditor_idx AND p.letter_type = m.letter_type AND p.client_hash = m.own_hash
+       LEFT JOIN named n ON n.scope = m.scope AND n.kanzlei_prefix = m.kanzlei_prefix AND n.creditor_idx = m.creditor_idx AND n.letter_type = m.letter_type AND n.reference_number = m.reference_number
+     WHERE coalesce(p.inquiry_id, n.inquiry_id) IS NOT NULL
      UNION ALL SELECT m.id, o.inquiry_id, 'combined_ref', 0.94::DOUBLE FROM mails m JOIN old o ON o.scope = m.scope AND o.kanzlei_prefix = m.kanzlei_prefix AND o.creditor_idx = m.creditor_idx AND o.digits = CAST(m.custkey % 10000 AS STRING)
        WHERE m.routing_id_version = 'v1'""",
     "r8_unique_senders": inlined("inquiries")
