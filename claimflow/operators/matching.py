@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from claimflow.functions.similarity import name_similarity, pair_similarity, plain_name_score, reference_similarity, window_score, word_order_score
+from claimflow.operators.similar import similar_names, similar_references
 from claimflow.sources.tables import written
 
 BUCKET_DAYS = 30
@@ -104,11 +105,54 @@ def rank_exact(emails: DataFrame, inquiries: DataFrame, lookback_days: int = 90,
     has another address than the first of the ranking; :func:`decide_match` reads both. Mails without name and
     reference are scored 0 throughout. ``name`` and ``reference`` are columns of both tables; ids are integers.
     """
+    plain = lambda c: F.lower(F.trim(F.col(c)))
+    score = score_exact(plain("__name") == plain(name), plain("__reference") == plain(reference))
+
+    def alike(mails: DataFrame, offers: DataFrame, mine: str, theirs: str) -> DataFrame:
+        return mails.withColumn("key", plain(mine)).join(offers.withColumn("key", plain(theirs)), ["scope", "month", "key"])
+
+    return _rank(emails, inquiries, lookback_days, keep, name, reference, lambda pairs: pairs.withColumn("score", score), alike)
+
+
+def rank_fuzzy(
+    emails: DataFrame,
+    inquiries: DataFrame,
+    lookback_days: int = 90,
+    keep: int = 3,
+    name: str = "client_name",
+    reference: str = "reference_number",
+    name_weight: float = 0.4,
+    reference_weight: float = 0.6,
+) -> DataFrame:
+    """As :func:`rank_exact`, with the score of :func:`score_combined` and its signals: similar names and references count too.
+
+    A score above 0 takes a name of 0.85 or a reference of 0.80 at least. Such pairs of the third tier come from :func:`similar_names` and
+    :func:`similar_references` within a tenant and month; of the others, whose score is 0, the newest are listed. All listed pairs are scored, each
+    pair of texts once. Null and blank names and references count 0.
+    """
+    plain = lambda c: F.nullif(F.lower(F.trim(F.col(c))), F.lit(""))
+
+    def score(pairs: DataFrame) -> DataFrame:
+        pairs = score_names(pairs, "__name", name)
+        pairs = score_references(pairs.withColumn("__references", F.array_compact(F.array(F.when(F.trim("__reference") != "", F.col("__reference"))))), "__references", reference).drop("__references")
+        exact = score_exact(plain("__name") == plain(name), plain("__reference") == plain(reference))
+        pairs = pairs.withColumns({"exact_score": exact, "name_weight": F.lit(name_weight), "reference_weight": F.lit(reference_weight)})
+        return score_combined(pairs).drop("exact_score", "fuzzy_score", "name_algorithm")
+
+    def alike(mails: DataFrame, offers: DataFrame, mine: str, theirs: str) -> DataFrame:
+        find = similar_names if mine == "__name" else similar_references
+        found = find(mails.withColumn("text", F.col(mine)), offers.withColumn("text", F.col(theirs)), ["scope", "month"]).drop("similarity")
+        asked = mails.withColumn("left_text", F.col(mine)).join(found, ["scope", "month", "left_text"])
+        return asked.join(offers.withColumn("right_text", F.col(theirs)), ["scope", "month", "right_text"])
+
+    return _rank(emails, inquiries, lookback_days, keep, name, reference, score, alike)
+
+
+def _rank(emails: DataFrame, inquiries: DataFrame, lookback_days: int, keep: int, name: str, reference: str, score: Callable[[DataFrame], DataFrame], alike: Callable[..., DataFrame]) -> DataFrame:
+    """The cascade of :func:`rank_exact`. ``alike`` joins mails and inquiries of one scope and month by a column of each, so that all pairs that ``score`` sets above 0 come from one of two such joins."""
     own, other = {name: "__name", reference: "__reference"}, (name, reference, "creditor_email", "sent_at", "letter_type")
     asked = written(emails.select("id", "from_email", "kanzlei_id", "received_at", name, reference).withColumnsRenamed(own), "asked")
     inquiries = written(inquiries.select("id", "kanzlei_id", *other), "offered")
-    plain = lambda c: F.lower(F.trim(F.col(c)))
-    score = score_exact(plain("__name") == plain(name), plain("__reference") == plain(reference))
     found = written(candidates(asked, inquiries, lookback_days, False, ("__name", "__reference"), other), "near")
     windows = _windows(asked, lookback_days, ("__name", "__reference"))
     rest = windows.join(found.select("email_id").distinct(), "email_id", "left_anti")
@@ -126,20 +170,20 @@ def rank_exact(emails: DataFrame, inquiries: DataFrame, lookback_days: int = 90,
     mails = rest.withColumn("month", F.explode(F.sequence(_month(F.col("since")), _month(F.col("received_at")))))
     dated = offers.withColumn("month", _month(F.col("sent_at")))
     inside = (F.col("sent_at") >= F.col("since")) & (F.col("sent_at") <= F.col("received_at"))
-    keyed = lambda mine, theirs: mails.withColumn("key", plain(mine)).join(dated.withColumn("key", plain(theirs)), ["scope", "month", "key"]).where(inside)
+    keyed = lambda mine, theirs: alike(mails, dated, mine, theirs).where(inside)
     columns = ["email_id", "inquiry_id", "scope", "since", "received_at", "__name", "__reference", *other, "low", "high"]
     listed = newest.select(*columns).unionByName(keyed("__name", name).select(*columns)).unionByName(keyed("__reference", reference).select(*columns))
-    listed = listed.dropDuplicates(["email_id", "inquiry_id"]).withColumn("score", score)
-    ranked = written(rank_candidates(listed), "ranked")
+    ranked = written(rank_candidates(score(listed.dropDuplicates(["email_id", "inquiry_id"]))), "ranked")
 
     # is there any candidate of another address: those of the first one's address are counted in the window
     first = ranked.where("rank = 1").select("email_id", "scope", "since", "received_at", address.alias("address"), (F.col("high") - F.col("low")).alias("offered"))
     same = counted_until(points, _window_bounds(first.where("address <> ''"), ["scope", "address"]), ["scope", "address"])
     same = _window_counts(same).select("email_id", (F.col("high") - F.col("low")).alias("same"))
     sums = first.join(same, "email_id", "left").select("email_id", "offered", (F.col("offered") > F.coalesce("same", F.lit(0))).alias("other_address"))
-    shared = ["email_id", "inquiry_id", "tier", "score", "rank", "level", "__name", "__reference", *other]
+    signals = [c for c in ("name_score", "reference_score", "name_weight", "reference_weight", "strategy_used") if c in ranked.columns]
+    shared = ["email_id", "inquiry_id", "tier", "score", "rank", "level", "__name", "__reference", *other, *signals]
     wide = ranked.withColumn("tier", F.lit(3)).select(*shared).join(sums, "email_id")
-    near = rank_candidates(found.withColumn("score", score)).select(*shared).withColumns({"offered": F.lit(None).cast("long"), "other_address": F.lit(None).cast("boolean")})
+    near = rank_candidates(score(found)).select(*shared).withColumns({"offered": F.lit(None).cast("long"), "other_address": F.lit(None).cast("boolean")})
     return near.unionByName(wide)
 
 
