@@ -6,6 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from claimflow.operators import matching, metrics, writeback
+from claimflow.plans import texts
 from claimflow.sources import tables
 
 T = dt.datetime(2024, 1, 10)
@@ -98,3 +99,10 @@ def test_tables_round_trip(spark, tmp_path):
     (tmp_path / "fixtures.json").write_text(json.dumps([{"id": "1", "subject": "s", "body": "b\nb", "from_email": "a@b"}]))
     got = tables.read_eval_fixtures(spark, str(tmp_path / "fixtures.json")).collect()
     assert [(r["id"], r["body"]) for r in got] == [("1", "b\nb")]
+
+
+def test_t11_keeps_whole_numbers_beyond_five_digits(spark, tmp_path):
+    rows = [(99999, "A"), (123456, "B"), (7, "C"), (1234569, "D"), (12, "E")]
+    spark.createDataFrame(rows, "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r["c_custkey"]: r["code_ok"] for r in texts.t11_validate(spark, str(tmp_path)).collect()}
+    assert got == {99999: True, 123456: False, 7: False, 1234569: False, 12: True}
