@@ -40,7 +40,10 @@ def find_client(keys: DataFrame, clients: DataFrame) -> DataFrame:
     met = asked.join(offered.groupBy("key").agg(F.min("client_id").alias("client_id")), "key").select("id", "rank", "client_id", "found_by")
     # names stay two columns: the collation ignores control characters, so no separator would part them
     people = c.where("cf IS NOT NULL AND cl IS NOT NULL").groupBy(german(F.col("cf")).alias("first"), german(F.col("cl")).alias("last")).agg(F.min("client_id").alias("client_id"))
-    loose = keys.where(named).select("id", german(F.col("first_name")).alias("first"), german(F.col("last_name")).alias("last")).join(people, ["first", "last"])
+    # the collation is slow, so each name is met by it once, and rows by plain equality with the name
+    spelled = keys.where(named).select("first_name", "last_name").distinct()
+    known = spelled.withColumns({"first": german(F.col("first_name")), "last": german(F.col("last_name"))}).join(people, ["first", "last"]).select("first_name", "last_name", "client_id")
+    loose = keys.where(named).select("id", "first_name", "last_name").join(known, ["first_name", "last_name"])
     met = met.unionByName(loose.select("id", F.lit(4).alias("rank"), "client_id", F.lit("name_without_case").alias("found_by")))
     return met.groupBy("id").agg(F.min(F.struct("rank", "client_id", "found_by")).alias("b")).select("id", "b.client_id", "b.found_by")
 

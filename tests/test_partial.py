@@ -85,3 +85,11 @@ def test_cached_results(spark, tmp_path):
     stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "asked"))
     got = {r["id"]: (r["result"], r["cached"]) for r in run(streams.stream_cached_results(stream, 10), tmp_path, "cached").collect()}
     assert got == {1: ("first", False), 2: ("first", True), 3: ("third", False), 4: ("third", True), 5: (None, False), 6: (None, True)}
+
+
+def test_client_names_meet_the_collation_once(spark):
+    clients = spark.createDataFrame([(1, None, "Jörg", "Weiß"), (2, None, "Jorg", "Weiss")], "client_id long, aktenzeichen string, first_name string, last_name string")
+    keys = spark.range(60).select("id", F.lit(None).cast("string").alias("aktenzeichen"), F.when(F.col("id") % 2 == 0, "JÖRG").otherwise("jorg").alias("first_name"), F.when(F.col("id") % 2 == 0, "weiß").otherwise("WEISS").alias("last_name"))
+    found = writeback.find_client(keys, clients)
+    assert {(r["id"] % 2, r["client_id"]) for r in found.collect()} == {(0, 1), (1, 2)} and found.count() == 60
+    assert "Aggregate [first_name" in found._jdf.queryExecution().optimizedPlan().toString()
