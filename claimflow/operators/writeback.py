@@ -52,39 +52,54 @@ def words_longer(text: Column, size: int) -> Column:
     return F.filter(F.split(F.lower(F.trim(text)), r"\s+"), lambda w: F.length(w) > size)
 
 
+def _searched(email: Column, name: Column, prefix: str) -> dict[str, Column]:
+    """What :func:`_fits` compares of an address and a name, made once a row: trimmed and in lower case, the domain, the long words."""
+    a, s = F.lower(F.trim(email)), F.lower(F.trim(name))
+    return {f"{prefix}mail": F.nullif(a, F.lit("")), f"{prefix}domain": mail_domain(a), f"{prefix}name": F.nullif(s, F.lit("")), f"{prefix}words": words_longer(s, 3)}
+
+
+def _fits(searched: dict[str, Column], entries: list[dict[str, Column]]) -> Column:
+    """Whether an entry, once for each of its names, is the searched creditor; the dearest test comes last."""
+    a, s = searched, entries[0] if entries else {}
+    found = F.lit(False)
+    if s:
+        both = a["mail"].isNotNull() & s["mail"].isNotNull()
+        own_domain = (a["domain"] == s["domain"]) & ~a["domain"].isin(FREEMAIL)
+        found = both & (F.contains(a["mail"], s["mail"]) | F.contains(s["mail"], a["mail"]) | F.coalesce(own_domain, F.lit(False)))
+    for n in entries:
+        hit = F.contains(n["name"], a["name"]) | F.contains(a["name"], n["name"]) | F.arrays_overlap(a["words"], n["words"])
+        found = found | F.coalesce(a["name"].isNotNull() & n["name"].isNotNull() & hit, F.lit(False))
+    return found
+
+
 def creditor_matches(search_email: Column, search_name: Column, email: Column, names: list[Column]) -> Column:
     """Whether a list entry is the searched creditor: addresses contain each other or share a domain of its own, or names share a long word."""
-    a, b = F.lower(F.trim(search_email)), F.lower(F.trim(email))
-    both = (F.coalesce(a, F.lit("")) != "") & (F.coalesce(b, F.lit("")) != "")
-    own_domain = (mail_domain(a) == mail_domain(b)) & ~mail_domain(a).isin(FREEMAIL)
-    by_mail = both & (F.contains(a, b) | F.contains(b, a) | F.coalesce(own_domain, F.lit(False)))
-    s = F.lower(F.trim(search_name))
-    by_name = F.lit(False)
-    for n in names:
-        field = F.lower(F.trim(n))
-        hit = F.arrays_overlap(words_longer(s, 3), words_longer(field, 3)) | F.contains(field, s) | F.contains(s, field)
-        by_name = by_name | F.coalesce((F.coalesce(s, F.lit("")) != "") & (F.coalesce(field, F.lit("")) != "") & hit, F.lit(False))
-    return F.coalesce(by_mail, F.lit(False)) | by_name
+    bare = lambda parts: {k.lstrip("_"): c for k, c in parts.items()}
+    return _fits(bare(_searched(search_email, search_name, "_")), [bare(_searched(email, n, "_")) for n in names or [F.lit(None).cast("string")]])
 
 
 #: Name fields of a list entry; those that a table has are compared.
 NAME_FIELDS = ("sender_name", "glaeubiger_name", "actual_creditor", "creditor_name")
 
 
-def find_creditor(mails: DataFrame, creditors: DataFrame, test_mode: bool = False, name_fields: tuple[str, ...] = NAME_FIELDS) -> DataFrame:
-    """Per mail (id, client_id, from_email, creditor_name, position) the first entry of the client's list that fits: id, client_id, pos.
+def find_creditor(mails: DataFrame, creditors: DataFrame, test_mode: bool = False, name_fields: tuple[str, ...] = NAME_FIELDS, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Per mail (id, client_id, from_email, creditor_name, position) the first entry of the client's list that fits: id, client_id, pos, and the ``carried`` columns of the mail.
 
     ``creditors`` is the exploded list (client_id, pos, sender_email and the ``name_fields`` it has). A known position wins directly; ``test_mode`` leaves addresses aside.
-    Only entries of the mail's own client are compared, by every name field.
+    Only entries of the mail's own client are compared, by every name field. Texts are prepared once a row, before mails and entries meet, and the rows of a client stay together to the end.
     """
     held = [n for n in name_fields if n in creditors.columns]
-    entries = creditors.select("client_id", "pos", "sender_email", *[F.col(n).alias(f"__{n}") for n in held])
-    joined = mails.join(entries, "client_id")
     email = F.lit(None).cast("string") if test_mode else F.col("from_email")
-    fits = (F.col("pos") == F.col("position")) | creditor_matches(email, F.col("creditor_name"), F.col("sender_email"), [F.col(f"__{n}") for n in held])
-    met = joined.where(F.coalesce(fits, F.lit(False)))
-    best = met.groupBy("id", "client_id").agg(F.min(F.struct((F.coalesce(F.col("pos") != F.col("position"), F.lit(True))).alias("off"), "pos")).alias("b"))
-    return best.select("id", "client_id", "b.pos")
+    parts = ("mail", "domain", "name", "words")
+    asked = mails.select("id", "client_id", "position", *carried, *[c.alias(n) for n, c in _searched(email, F.col("creditor_name"), "__").items()])
+    offered = [_searched(F.col("sender_email"), F.col(n), f"__{i}_") for i, n in enumerate(held)] or [_searched(F.col("sender_email"), F.lit(None).cast("string"), "__0_")]
+    kept = {n: c for i, one in enumerate(offered) for n, c in one.items() if i == 0 or n.endswith(("name", "words"))}
+    joined = asked.join(creditors.select("client_id", "pos", *[c.alias(n) for n, c in kept.items()]), "client_id")
+    entries = [{p: F.col(f"__{i if p in ('name', 'words') else 0}_{p}") for p in parts} for i in range(len(offered))]
+    known = F.coalesce(F.col("pos") == F.col("position"), F.lit(False))
+    met = joined.where(known | _fits({p: F.col(f"__{p}") for p in parts}, entries))
+    best = met.groupBy("id", "client_id", *carried).agg(F.min(F.when(known, F.col("pos"))).alias("own"), F.min("pos").alias("least"))
+    return best.select("id", "client_id", F.coalesce("own", "least").alias("pos"), *carried)
 
 
 def find_creditor_by_overlap(mails: DataFrame, creditors: DataFrame, least: float = 0.4) -> DataFrame:
@@ -104,8 +119,9 @@ def apply_updates(clients: DataFrame, updates: DataFrame, fields: list[str], lis
     The latest update of a place wins; fields not named, claim_amount above all, stay. Updates are collapsed to one map per client, so each
     document is rebuilt once. Clients without updates, and positions beyond a list, change nothing.
     """
-    latest = first_rank(updates.where(F.col("client_id").isNotNull() & F.col("pos").isNotNull()), ["client_id", "pos"], [F.col("at").desc()])
-    packed = latest.groupBy("client_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("pos").cast("int"), F.struct(*fields)))).alias("__set"))
+    named = updates.where(F.col("client_id").isNotNull() & F.col("pos").isNotNull())
+    latest = named.groupBy("client_id", "pos").agg(F.max(F.struct("at", F.struct(*fields).alias("new"))).alias("u"))
+    packed = latest.groupBy("client_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("pos").cast("int"), "u.new"))).alias("__set"))
     joined = clients.join(packed, "client_id", "left")
 
     def changed(element: Column, index: Column) -> Column:

@@ -46,8 +46,8 @@ def k11_apply_amounts(spark, sf):
     none = lambda kind: F.lit(None).cast(kind)
     element = F.struct("pos", F.col("creditor_id").alias("id"), "claim_amount", none("double").alias("current_debt_amount"), none("double").alias("creditor_response_amount"), none("string").alias("amount_source"), none("string").alias("contact_status"))
     clients = c.groupBy("client_id").agg(F.array_sort(F.collect_list(element)).alias("final_creditor_list"))
-    approved = k9_find_creditor(spark, sf).join(domain(spark, sf, "emails").select("id", F.col("received_at").alias("at"), F.col("debt_amount").alias("amount")), "id")
-    approved = approved.withColumn("at", F.struct("at", "id"))
+    mails = _mails(spark, sf).withColumns({"at": F.struct(F.col("created_at").alias("at"), "id"), "amount": F.col("debt_amount")})
+    approved = wb.find_creditor(mails, c, carried=("at", "amount"))
     after = wb.apply_amounts(clients, approved).select("client_id", F.posexplode("final_creditor_list").alias("pos", "e"))
     return after.select("client_id", "pos", "e.id", "e.claim_amount", "e.current_debt_amount", "e.amount_source")
 
@@ -57,8 +57,10 @@ def k12_settlements(spark, sf):
     none = lambda kind: F.lit(None).cast(kind)
     element = F.struct("pos", "claim_amount", none("string").alias("settlement_response_status"), none("double").alias("settlement_counter_offer_amount"), none("string").alias("settlement_response_conditions"))
     clients = c.groupBy("client_id").agg(F.array_sort(F.collect_list(element)).alias("final_creditor_list"))
-    m = domain(spark, sf, "emails").select("id", F.struct("received_at", "id").alias("at"), F.when(F.col("part") % 2 == 0, "accepted").otherwise("counter_offer").alias("decision"), F.col("debt_amount").alias("offer"), F.lit("sofern").alias("conditions"))
-    after = wb.apply_settlements(clients, k9_find_creditor(spark, sf).join(m, "id")).select("client_id", F.posexplode("final_creditor_list").alias("pos", "e"))
+    decision = F.when(F.col("part") % 2 == 0, "accepted").otherwise("counter_offer")
+    m = _mails(spark, sf).withColumns({"at": F.struct("created_at", "id"), "decision": decision, "offer": F.col("debt_amount"), "conditions": F.lit("sofern")})
+    found = wb.find_creditor(m, c, carried=("at", "decision", "offer", "conditions"))
+    after = wb.apply_settlements(clients, found).select("client_id", F.posexplode("final_creditor_list").alias("pos", "e"))
     return after.select("client_id", "pos", "e.claim_amount", F.col("e.settlement_response_status").alias("status"), F.col("e.settlement_counter_offer_amount").alias("offer"))
 
 
