@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from claimflow.functions.names import ID_V1, ID_V2, normalize_name, split_person_name
 from claimflow.operators.consolidate import first_rank
 from claimflow.operators.extraction import nfkc
+from claimflow.sources.tables import written
 
 #: Subjects of automatic answers (fixed values).
 OUT_OF_OFFICE = [r"abwesenheitsnotiz", r"automatische\s+antwort", r"nicht\s+im\s+büro", r"out\s+of\s+office", r"automatic\s+reply", r"auto-reply", r"ooo:"]
@@ -45,10 +46,16 @@ def parse_inbound(raw: DataFrame, value_col: str = "value", now: Column | None =
 
 
 def dedup_inbound(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """New mails whose webhook id is not stored, one per id, the earliest; a null id is never a duplicate."""
-    keyed = new.where("webhook_id IS NOT NULL").join(existing.select("webhook_id"), "webhook_id", "left_anti")
-    once = first_rank(keyed, ["webhook_id"], [F.col("received_at").asc_nulls_last(), F.col("message_ref")])
-    return once.unionByName(new.where("webhook_id IS NULL"))
+    """New mails whose webhook id is not stored, one per id, the earliest; a null id is never a duplicate.
+
+    ``new`` is read once: rows without an id get a number of their own, which parts them from each other and from all stored ids.
+    """
+    known = written(existing.select(F.col("webhook_id").alias("__id"), F.lit(-1).cast("long").alias("__alone")).where("__id IS NOT NULL").distinct(), "known-mails")
+    known = F.broadcast(known) if known.limit(1_000_001).count() <= 1_000_000 else known
+    alone = F.when(F.col("webhook_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("long"))
+    keyed = new.withColumn("__alone", alone).withColumn("__id", F.coalesce("webhook_id", F.lit("")))
+    once = first_rank(keyed.join(known, ["__id", "__alone"], "left_anti"), ["__id", "__alone"], [F.col("received_at").asc_nulls_last(), F.col("message_ref")])
+    return once.select(*new.columns)
 
 
 def dedup_inquiries(new: DataFrame, existing: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from claimflow.operators import matching, metrics, writeback
+from claimflow.operators import intake, matching, metrics, writeback
 from claimflow.plans import texts
 from claimflow.sources import tables
 
@@ -118,3 +118,15 @@ def test_creditor_texts_are_prepared_before_the_join(spark):
     assert sorted(map(tuple, found.collect())) == [(1, 7, 1, 3.0), (2, 7, 1, 4.0), (3, 7, 2, 5.0)]
     joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
     assert joins and not any(word in x for x in joins for word in ("regexp", "split", "filter("))
+
+
+def test_inbound_mails_are_read_once(spark):
+    """Mails without an id are new, each of them, an empty id is an id, and one pass over the mails gives both kinds."""
+    day = lambda n: dt.datetime(2024, 1, n)
+    new = [("a", "m2", day(2)), ("a", "m1", day(1)), ("b", "m", None), ("b", "n", day(3)), (None, "x", day(1)), (None, "x", day(1)), ("", "e", day(4)), ("", "f", day(5)), ("s", "z", day(1)), ("c", "q", day(2)), ("c", "p", day(2))]
+    new = spark.createDataFrame(new, "webhook_id string, message_ref string, received_at timestamp")
+    stored = spark.createDataFrame([("s",), ("s",), (None,)], "webhook_id string")
+    found = intake.dedup_inbound(tables.written(new, "new-mails"), stored)
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [("a", "m1", day(1)), ("b", "n", day(3)), (None, "x", day(1)), (None, "x", day(1)), ("", "e", day(4)), ("c", "p", day(2))]))
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert sum("Relation" in x and "message_ref" in x for x in plan) == 1
