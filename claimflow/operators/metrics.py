@@ -198,7 +198,8 @@ def agreement_report(baseline: DataFrame, candidate: DataFrame, floors: dict[str
     An amount is invented where only the candidate has a settlement amount; a site with one fails at any rate. Other sites than those three are left out.
     """
     fields = sorted({f for site in AGREEMENT_FIELDS.values() for f in site})
-    row = F.struct("error", *fields)
+    asked = lambda f: F.col("call_site").isin(*[site for site, shape in AGREEMENT_FIELDS.items() if f in shape])
+    row = F.struct("error", *[F.when(asked(f), F.col(f)).alias(f) for f in fields])  # a row is sent with what its site compares
     b, c = (x.where(F.col("call_site").isin(*AGREEMENT_FIELDS)).select("id", "call_site", row.alias(n)) for x, n in ((baseline, "b"), (candidate, "c")))
     both = b.join(c, ["id", "call_site"], "full").withColumn("failed", F.col("b").isNull() | F.col("c").isNull() | F.col("b.error").isNotNull() | F.col("c.error").isNotNull())
     of_site = lambda values: reduce(lambda rest, site: rest.when(F.col("call_site") == site, values[site]), values, F.when(F.lit(False), 0)).otherwise(0)

@@ -130,3 +130,14 @@ def test_inbound_mails_are_read_once(spark):
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [("a", "m1", day(1)), ("b", "n", day(3)), (None, "x", day(1)), (None, "x", day(1)), ("", "e", day(4)), ("c", "p", day(2))]))
     plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
     assert sum("Relation" in x and "message_ref" in x for x in plan) == 1
+
+
+def test_agreement_sends_only_what_a_site_compares(spark):
+    """The three sites' rows of one mail don't carry one another's fields; what a site doesn't compare changes nothing."""
+    shape = "id long, call_site string, error string, intent string, is_creditor_reply boolean, client_name string, creditor_name string, debt_amount double, reference_numbers array<string>, counter_offer_amount double"
+    base = [(1, s, None, "a", True, " X ", None, 5.0, ["r", "q"], None) for s in ("intent", "entity", "settlement")]
+    cand = [(1, "intent", None, "a", False, "y", "z", 9.0, [], 3.0), (1, "entity", None, "b", True, "x", None, 5.005, ["q", "r"], 3.0), (1, "settlement", None, "b", False, "y", "z", 9.0, [], None)]
+    found = metrics.agreement_report(spark.createDataFrame(base, shape), spark.createDataFrame(cand, shape))
+    assert sorted((r["call_site"], r["compared"], r["matches"], r["invented"], r["passed"]) for r in found.collect()) == [("entity", 5, 5, 0, True), ("intent", 1, 1, 0, True), ("settlement", 1, 1, 0, True)]
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("client_name, CASE WHEN (call_site") == 2 or text.count("THEN client_name") == 2
