@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from claimflow.functions.amounts import parse_amount
+from claimflow.sources.tables import written
 
 #: Tier and pattern of an amount in a text, most telling first (fixed values).
 AMOUNT_PATTERNS = [
@@ -151,23 +152,25 @@ def nfkc(column: Column) -> Column:
 
 
 def normalize_german(texts: DataFrame, dictionary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and text: compatibility characters normal, white space one blank, ue/oe/ae restored where the dictionary has the word.
+    """id and text: compatibility characters normal, white space one blank, ue/oe/ae restored where the dictionary has the word. Null texts have no row.
 
     Each distinct word that holds one of the pairs is looked up once in ``dictionary`` (word); plain ASCII texts never
-    reach Python. The words of one text are one group, sized by the text.
+    reach Python. Of a text only those words are sent, each once, and the restored ones come back as a map; the text itself is rebuilt in one piece.
     """
     plain = F.col(text_col).rlike(r"^\p{ASCII}*$")
     normal = texts.where(plain).select(id_col, text_col).unionByName(texts.where(~plain).select(id_col, nfkc(F.col(text_col)).alias(text_col)))
-    words = normal.select(id_col, F.posexplode(F.split(F.trim(F.regexp_replace(text_col, r"\s+", " ")), " ")).alias("pos", "word"))
+    normal = normal.select(id_col, F.trim(F.regexp_replace(text_col, r"\s+", " ")).alias(text_col), F.monotonically_increasing_id().alias("__row"))
+    normal = written(normal, "normal-texts")
+    holds = lambda w: F.lower(w).rlike("ue|oe|ae")
+    words = normal.select("__row", F.explode(F.array_distinct(F.filter(F.split(text_col, " "), holds))).alias("word"))
     pairs = [("ue", "ü"), ("oe", "ö"), ("ae", "ä")]
-    asked = words.select("word").where(F.lower("word").rlike("ue|oe|ae")).distinct()
     clean = lambda w: F.lower(F.regexp_replace(w, r"(?U)[^\w\-]", ""))
-    tries = asked.withColumn("try", F.explode(F.array(*[F.when(F.contains("word", F.lit(a)), F.regexp_replace("word", f"^(.*?){a}", f"$1{b}")) for a, b in pairs]))).where("try IS NOT NULL")
+    tries = words.select("word").distinct().withColumn("try", F.explode(F.array(*[F.when(F.contains("word", F.lit(a)), F.regexp_replace("word", f"^(.*?){a}", f"$1{b}")) for a, b in pairs]))).where("try IS NOT NULL")
     known = tries.join(dictionary.select(F.lower("word").alias("known")).distinct(), clean(F.col("try")) == F.col("known"), "left_semi")
     fixed = known.groupBy("word").agg(F.min("try").alias("fixed"))
-    joined = words.join(fixed, "word", "left").withColumn("out", F.coalesce("fixed", "word"))
-    parts = joined.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "out"))).alias("p"))
-    return parts.select(id_col, F.array_join(F.transform("p", lambda x: x["out"]), " ").alias(text_col))
+    maps = words.join(fixed, "word").groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("word", "fixed"))).alias("__fixed"))
+    restored = F.array_join(F.transform(F.split(text_col, " "), lambda w: F.when(holds(w), F.coalesce(F.try_element_at("__fixed", w), w)).otherwise(w)), " ")
+    return normal.join(maps, "__row", "left").select(id_col, F.when(F.col("__fixed").isNull(), F.col(text_col)).otherwise(restored).alias(text_col))
 
 
 def validate_german(kind: str, value: Column) -> Column:

@@ -5,7 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from claimflow.operators import intake, matching, metrics, writeback
+from claimflow.operators import extraction, intake, matching, metrics, writeback
 from claimflow.plans import texts
 from claimflow.sources import tables
 
@@ -141,3 +141,12 @@ def test_agreement_sends_only_what_a_site_compares(spark):
     assert sorted((r["call_site"], r["compared"], r["matches"], r["invented"], r["passed"]) for r in found.collect()) == [("entity", 5, 5, 0, True), ("intent", 1, 1, 0, True), ("settlement", 1, 1, 0, True)]
     text = found._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("client_name, CASE WHEN (call_site") == 2 or text.count("THEN client_name") == 2
+
+
+def test_german_words_of_texts_with_one_id_stay_apart(spark):
+    """Texts are rebuilt in one piece: rows of one id, or of none, are texts of their own; every restored word is restored wherever it stands."""
+    rows = [(1, " Gruesse  an\tGruesse, blauer aelter"), (1, "Gruesse"), (None, "schoen"), (None, "x ﬁn schoen"), (2, ""), (3, None), (4, "Blauer Himmel")]
+    words = spark.createDataFrame([("Grüsse",), ("schön",), ("grüsse",)], "word string")
+    found = extraction.normalize_german(spark.createDataFrame(rows, "doc_id long, text string"), words).collect()
+    want = [(1, "Grüsse an Grüsse, blauer aelter"), (1, "Grüsse"), (None, "schön"), (None, "x fin schön"), (2, ""), (4, "Blauer Himmel")]
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, want))
