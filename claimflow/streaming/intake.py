@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import pandas as pd
@@ -137,12 +138,28 @@ class Probe:
 _PROBED = "domain string, id long, blocked boolean, addresses int"
 
 
-def _fold(rows: pd.DataFrame, probe: Probe) -> pd.DataFrame:
-    out = []
-    for row in rows.sort_values(["at_ms", "id"]).itertuples():
-        blocked, count = probe.step(int(row.at_ms), list(row.addresses))
-        out.append((row.domain, row.id, blocked, count))
-    return pd.DataFrame(out, columns=["domain", "id", "blocked", "addresses"])
+def _fold(domain: str | None, batches: Iterator[pd.DataFrame], probe: Probe, most_rows: int = 10_000) -> Iterator[pd.DataFrame | int]:
+    """A domain's messages through the machine in order of time, ``most_rows`` at once; at last the latest time of arrival.
+
+    Until all batches are there a message is held as numbers: its times and id, and 4 bytes an address that names one of the distinct ones.
+    """
+    known: dict[str, int] = {}
+    numbers, codes, sizes, arrived = [], array("i"), array("q", [0]), 0
+    for batch in batches:
+        numbers.append(batch[["at_ms", "id"]].copy())
+        arrived = max(arrived, int(batch["arrived_ms"].max()))
+        for addresses in batch["addresses"]:
+            codes.extend([known.setdefault(a, len(known)) for a in addresses])
+            sizes.append(len(codes))
+    rows, spelled = pd.concat(numbers, ignore_index=True), list(known)
+    numbers.clear()
+    order = rows.sort_values(["at_ms", "id"]).index.to_numpy()
+    for start in range(0, len(order), most_rows):
+        part = order[start : start + most_rows]
+        taken = rows.iloc[part]
+        out = [probe.step(int(at), [spelled[c] for c in codes[sizes[i] : sizes[i + 1]]]) for i, at in zip(part.tolist(), taken["at_ms"], strict=True)]
+        yield pd.DataFrame({"domain": domain, "id": taken["id"].to_numpy(), "blocked": [b for b, _ in out], "addresses": [n for _, n in out]})
+    yield arrived
 
 
 def _stretches(messages: DataFrame) -> DataFrame:
@@ -191,11 +208,12 @@ def stream_probing(messages: DataFrame) -> DataFrame:
             return
         names, times, blocked = state.get if state.exists else ([], [], 0)
         probe = Probe(dict(zip(names, times, strict=True)), blocked)
-        rows = pd.concat(list(batches))
-        out = _fold(rows, probe)
-        state.update((list(probe.seen), list(probe.seen.values()), probe.blocked_until))
-        state.setTimeoutTimestamp(int(rows["arrived_ms"].max()) + BLOCK_MS)
-        yield out
+        for part in _fold(key[0], batches, probe):
+            if isinstance(part, int):
+                state.update((list(probe.seen), list(probe.seen.values()), probe.blocked_until))
+                state.setTimeoutTimestamp(part + BLOCK_MS)
+            else:
+                yield part
 
     slim = _arriving(messages, "domain", "id", "at_ms", "addresses")
     return slim.groupBy("domain").applyInPandasWithState(update, _PROBED, "names array<string>, times array<long>, blocked long", "append", GroupStateTimeout.EventTimeTimeout)

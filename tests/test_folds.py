@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import pandas as pd
+
 from claimflow.operators import metrics
 from claimflow.streaming import intake as streams
 
@@ -71,3 +73,17 @@ def test_ids_of_any_length_and_texts_without(spark):
     assert {g[1:] for g in got if g[0] == 4 and g[1] != "parts"} == {("reference", "SC|7|2|12"), ("old", "MU|04|99")}
     assert {g[1:] for g in got if g[0] == 5} == {("id", "AB-XY-3")}
     assert {g[1:] for g in got if g[0] == 9} == {("id", "KB-01-2-C001-K7P"), ("parts", "KB|1|2|c001")}
+
+
+def test_probing_holds_a_batch_as_numbers_and_gives_it_in_parts():
+    rng = random.Random(8)
+    rows = [("d", i, rng.randrange(0, 900_000, 500), [f" A{rng.randrange(40)}" for _ in range(rng.randrange(7))], 5 + i) for i in range(3000)]
+    rng.shuffle(rows)
+    frame = pd.DataFrame(rows, columns=["domain", "id", "at_ms", "addresses", "arrived_ms"])
+    parts = list(streams._fold("d", iter([frame[:1000], frame[1000:1001], frame[1001:]]), streams.Probe(), 700))
+    assert parts.pop() == 3004 and [len(p) for p in parts] == [700, 700, 700, 700, 200]
+    plain, want = streams.Probe(), []
+    for domain, i, at, addresses, _ in sorted(rows, key=lambda r: (r[2], r[1])):
+        want.append((domain, i, *plain.step(at, addresses)))
+    assert [tuple(r) for p in parts for r in p.itertuples(index=False)] == want
+    assert len({w[2] for w in want}) == 2
