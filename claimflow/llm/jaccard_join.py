@@ -9,7 +9,8 @@ share is too large have their prefixes shortened, a minimum at a time, and are c
 joins them in the larger nodes, until their own recall reaches its target. Nodes
 are dealt into cells of bounded size; a cell checks its pairs, each
 pair at the longest prefix and in the first tree it shares, and gives back counts and one edge
-for each document, never the pairs.
+for each document, never the pairs. Near copies share nodes in most trees: large nodes with common members are dealt
+together, once for all trees, where that takes fewer cells.
 """
 
 from __future__ import annotations
@@ -21,11 +22,14 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from claimflow.llm.common import LOWER, NO_ID, UPPER, broadcast_if_small, stored, table, text_hash, without, words_of
 from claimflow.llm.quality_rules import WordHashes
 
 _LOWERED = str.maketrans(UPPER, LOWER)
+#: In place of a tree's number: a cell of large nodes that are dealt together.
+HOME = -1
 
 
 def shingle_set(text: str, hashes: WordHashes, size: int) -> np.ndarray:
@@ -126,7 +130,7 @@ def new_pairs(cell: pd.DataFrame) -> np.ndarray:
     """Which pairs (row below column) of a cell are checked here.
 
     Pairs with an open document that share no longer prefix in any tree and none of this length in an
-    earlier one; across the blocks if the cell has two.
+    earlier one; across the blocks if the cell has two. Pairs of one home are checked there, if they share a prefix in any tree, and in no tree's node.
     """
     keys, longer = np.stack(cell["keys"].to_list()), np.stack(cell["longer"].to_list())
     tree, block, open_ = int(cell["tree"].iloc[0]), cell["block"].to_numpy(), cell["open"].to_numpy(bool)
@@ -135,7 +139,12 @@ def new_pairs(cell: pd.DataFrame) -> np.ndarray:
         pairs &= open_[:, None] | open_[None, :]
     if cell["i"].iloc[0] != cell["j"].iloc[0]:
         pairs &= block[:, None] != block[None, :]
-    for own in (*longer.T, *keys.T[:tree]):
+    home = cell["home"].to_numpy()
+    if tree == HOME:
+        pairs &= np.logical_or.reduce([own[:, None] == own[None, :] for own in keys.T])
+    else:
+        pairs &= (home[:, None] != home[None, :]) | (home == 0)[:, None]
+    for own in (*longer.T, *keys.T[: max(tree, 0)]):
         if not pairs.any():
             break
         pairs &= own[:, None] != own[None, :]
@@ -216,11 +225,29 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def node_cells(classes: DataFrame, forest: Forest, depth: int, open_: DataFrame | None, cell_rows: int) -> DataFrame:
-    """Members of the nodes at ``depth`` that may hold new pairs, dealt into cells: key, i, j, block, tree, h1, h2, open, keys, longer.
+def shared_homes(large: DataFrame) -> DataFrame | None:
+    """key and home of the nodes ``large`` (h1, h2, key, members) that are dealt together; None if there are none.
+
+    Those are nodes linked by common members, if the square of all their members isn't above the sum of the squares of each node's.
+    """
+    links = large.select("key", F.min("key").over(Window.partitionBy("h1", "h2")).alias("least")).where("key != least")
+    links = stored(links.select(F.struct("key").alias("a"), F.struct(F.col("least").alias("key")).alias("b")).distinct(), "node-links")
+    if links.isEmpty():
+        return None
+    labels = components(links).select(F.col("c.key").alias("key"), F.col("label.key").alias("home"))
+    rows = large.join(broadcast_if_small(labels), "key")
+    squares = rows.groupBy("home", "key").agg(F.first("members").alias("n")).groupBy("home").agg(F.sum(F.col("n") * F.col("n")).alias("apart"))
+    sizes = rows.select("home", "h1", "h2").distinct().groupBy("home").agg(F.count("*").alias("n"))
+    fewer = squares.join(sizes, "home").where(F.col("n") * F.col("n") <= F.col("apart")).select("home")
+    return stored(labels.join(fewer, "home").select("key", "home"), "homes")
+
+
+def node_cells(classes: DataFrame, forest: Forest, depth: int, open_: DataFrame | None, cell_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Members of the nodes at ``depth`` that may hold new pairs, dealt into cells: key, i, j, block, tree, h1, h2; and for each member h1, h2, open, keys, longer, home.
 
     ``open_`` (h1, h2) names the documents whose prefixes are shortened to this depth; None: all of them. Of
-    the nodes those count that an open document is in and that a longer prefix doesn't hold whole.
+    the nodes those count that an open document is in and that a longer prefix doesn't hold whole. Nodes of over ``cell_rows`` members that
+    common members link have one home (:func:`shared_homes`), whose members are dealt once, and no longer by nodes of that home alone.
     """
     keyed = classes.select("h1", "h2", forest.prefixes(depth).alias("keys"), "signature")
     none = F.array().cast("array<bigint>")
@@ -243,15 +270,28 @@ def node_cells(classes: DataFrame, forest: Forest, depth: int, open_: DataFrame
         crowded = crowded.where("a != b").select("key", "members")
         placed = placed.drop("open", "child")
     met = stored(placed.join(crowded, "key"), "met")
+    homes = shared_homes(met.where(F.col("members") > cell_rows))
+    if homes is None:
+        met = met.withColumn("home", F.lit(0).cast("long"))
+    else:
+        own = F.coalesce(F.max("home").over(Window.partitionBy("h1", "h2")), F.lit(0))  # a member's large nodes have one home or none
+        met = stored(met.join(broadcast_if_small(homes), "key", "left").withColumn("home", own), "met")
+    members = met.groupBy("h1", "h2").agg(F.first("home").alias("home"))
+    members = stored(keyed.join(members, ["h1", "h2"]).select("h1", "h2", "open", "keys", "longer", "home"), "members")
+    if homes is not None:
+        at_home = members.where("home != 0").select("h1", "h2", "home")
+        size = at_home.groupBy("home").agg(F.count("*").alias("members"))
+        at_home = at_home.join(broadcast_if_small(size), "home").select("h1", "h2", F.lit(HOME).alias("tree"), F.col("home").alias("key"), "members")
+        met_there = met.groupBy("key").agg(F.min("home").alias("a"), F.max("home").alias("b")).where("a != 0 AND a = b").select("key")
+        met = met.join(broadcast_if_small(stored(met_there, "met-at-home")), "key", "left_anti").select(at_home.columns).unionByName(at_home)
     blocks = F.ceil(F.col("members") / F.lit(cell_rows)).cast("int")
     dealt = met.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("h2", "h1"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "tree", "h1", "h2")
-    return cells.join(keyed, ["h1", "h2"])
+    return dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "tree", "h1", "h2"), members
 
 
-def verified_links(rows: DataFrame, classes: DataFrame, cells: DataFrame, forest: Forest, shingle: int, similarity: tuple[int, int]) -> DataFrame:
-    """Exact links of the new pairs of all cells: what :func:`linked` gives, as a written table."""
+def verified_links(rows: DataFrame, classes: DataFrame, cells: DataFrame, members: DataFrame, forest: Forest, shingle: int, similarity: tuple[int, int]) -> DataFrame:
+    """Exact links of the new pairs of all cells of :func:`node_cells`: what :func:`linked` gives, as a written table."""
 
     def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def check(cell: pd.DataFrame) -> pd.DataFrame | None:
@@ -261,12 +301,11 @@ def verified_links(rows: DataFrame, classes: DataFrame, cells: DataFrame, forest
 
         yield from by_cell(batches, check)
 
-    grouped = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    grouped = cells.join(members, ["h1", "h2"]).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     wanted = stored(grouped.mapInPandas(needed, "key long, i int, j int, block int, tree int, h1 long, h2 long, open boolean"), "wanted")
 
-    kept = cells.select("h1", "h2", "keys", "longer").dropDuplicates(["h1", "h2"])
-    chosen = wanted.select("h1", "h2").distinct().join(classes.drop("signature"), ["h1", "h2"]).join(kept, ["h1", "h2"])
-    chosen = stored(chosen.select("h1", "h2", "copies", "keys", "longer", F.col("rep.id").alias("rid"), F.col("rep.th").alias("rth")), "chosen")
+    chosen = wanted.select("h1", "h2").distinct().join(classes.drop("signature"), ["h1", "h2"]).join(members, ["h1", "h2"])
+    chosen = stored(chosen.select("h1", "h2", "copies", "keys", "longer", "home", F.col("rep.id").alias("rid"), F.col("rep.th").alias("rth")), "chosen")
     reps = broadcast_if_small(chosen.select("rid", "rth"))
     texts = rows.join(reps, (rows["id"] == reps["rid"]) & (rows["th"] == reps["rth"])).select("id", "th", "text")
 
@@ -277,7 +316,7 @@ def verified_links(rows: DataFrame, classes: DataFrame, cells: DataFrame, forest
 
     held = texts.mapInPandas(sets, "id long, th long, shingles binary").dropDuplicates(["id", "th"])
     held = held.join(chosen, (held["id"] == chosen["rid"]) & (held["th"] == chosen["rth"]))
-    held = stored(held.select("h1", "h2", "copies", "keys", "longer", "shingles"), "sets")
+    held = stored(held.select("h1", "h2", "copies", "keys", "longer", "home", "shingles"), "sets")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from by_cell(batches, lambda cell: linked(cell, *similarity, forest))
@@ -294,7 +333,7 @@ def forest_links(
     The links found so far are weighed with the chance that a prefix finds one of their similarity; found over
     found and missed is a document's own recall.
     """
-    found = verified_links(rows, classes, node_cells(classes, forest, forest.depth, None, cell_rows), forest, shingle, similarity)
+    found = verified_links(rows, classes, *node_cells(classes, forest, forest.depth, None, cell_rows), forest, shingle, similarity)
     open_ = None
     for depth in range(forest.depth, 1, -1):
         lost = found.groupBy(F.col("a1").alias("h1"), F.col("a2").alias("h2")).agg(F.sum("links").alias("n"), F.sum(F.get("missed", F.lit(depth - 1))).alias("lost"))
@@ -302,7 +341,7 @@ def forest_links(
         open_ = stored(short if open_ is None else short.join(open_, ["h1", "h2"], "left_semi"), "open")
         if open_.isEmpty():
             break
-        more = verified_links(rows, classes, node_cells(classes, forest, depth - 1, open_, cell_rows), forest, shingle, similarity)
+        more = verified_links(rows, classes, *node_cells(classes, forest, depth - 1, open_, cell_rows), forest, shingle, similarity)
         found = found.unionByName(more)
     return found
 
