@@ -36,11 +36,15 @@ def shingle_hashes(words: Column, n: int, size: int) -> Column:
 
 
 def simhash(frame: DataFrame, keys: list[str], word: str) -> DataFrame:
-    """64-bit SimHash of each group's words: a bit is set where most of the words' hashes have it set."""
-    h = F.xxhash64(word)
-    ones = [F.sum(F.shiftrightunsigned(h, b).bitwiseAND(1)).alias(f"b{b}") for b in range(BITS)]
+    """64-bit SimHash of each group's words: a bit is set where most of the words' hashes have it set.
+
+    A sum counts a bit in its lower half and the bit ``BITS // 2`` above it in its upper half.
+    """
+    h, half = F.xxhash64(word), BITS // 2
+    ones = [F.sum(F.shiftrightunsigned(h, b).bitwiseAND((1 << half) + 1)).alias(f"b{b}") for b in range(half)]
     summed = frame.groupBy(*keys).agg(F.count("*").alias("words"), *ones)
-    bits = [F.when(2 * F.col(f"b{b}") > F.col("words"), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")) for b in range(BITS)]
+    counts = [F.col(f"b{b}").bitwiseAND((1 << half) - 1) for b in range(half)] + [F.shiftrightunsigned(F.col(f"b{b}"), half) for b in range(half)]
+    bits = [F.when(2 * n > F.col("words"), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")) for n in counts]
     return summed.select(*keys, reduce(Column.bitwiseOR, [F.shiftleft(x, b) for b, x in enumerate(bits)]).alias("print"))
 
 
@@ -152,7 +156,8 @@ def find_leaks(
     item_prints = simhash(items.select("item", "m", F.explode("iwords").alias("word")), ["item", "m"], "word")
     left = blocks(prints)
     right = near_blocks(item_prints, radius).withColumnRenamed("print", "iprint")
-    near = left.join(right, ["m", "block", "bits"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("iprint"))) <= radius)
+    # a merge, or Spark, which doesn't see how many rows an item spreads to, would broadcast them from the driver
+    near = left.join(right.hint("merge"), ["m", "block", "bits"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("iprint"))) <= radius)
     near = near.select("m", "content", "item").distinct()
 
     n_of = F.least(F.col("m"), F.lit(shingle))
